@@ -25,6 +25,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50, as a query of its key terms, against all documents."""
+    from graphlake.llm.bm25 import build_index, corpus_statistics, key_terms, search
+
+    docs = table(spark, sf_dir, "documents")
+    index = build_index(docs)
+    frequencies = index.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df"))
+    queries = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search(index, key_terms(queries, frequencies, corpus_statistics(index)[0]), k=10)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlake.llm.license_scan import scan_licenses
 
@@ -59,6 +70,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlake.llm.ngram_join import shingle_components
+
+    return shingle_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlake.llm.line_dedup import dedup_lines
 
@@ -87,6 +104,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlake.llm.quote_linking import link_quotes
+
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -137,10 +160,46 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP5_SQL = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM doc WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y
+  WHERE 100 * c >= 75 * (sx.n + sy.n - c)
+), twoway AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(doc_id, other) AS (
+  SELECT x, y FROM twoway UNION SELECT reach.doc_id, twoway.y FROM reach JOIN twoway ON reach.other = twoway.x
+)
+SELECT doc.doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
+       least(doc.doc_id, coalesce(m, doc.doc_id)) AS component_id
+FROM doc LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op3_license_scan, op4_toxicity, op6_line_dedup, op7_decontamination, op8_url_filter]
+    found = [
+        op1_packing,
+        op2_topk_search,
+        op3_license_scan,
+        op4_toxicity,
+        op5_ngram_join,
+        op6_line_dedup,
+        op7_decontamination,
+        op8_url_filter,
+        op9_quote_linking,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
+    return {"op5_ngram_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}

@@ -118,9 +118,12 @@ def fit(
     own = np.repeat(y, [len(s) for s in sets])
     names, inverse = np.unique(every, return_inverse=True)
     pos, all_ = np.bincount(inverse, weights=own), np.bincount(inverse)
-    a, b = (pos + 0.5) / (y.sum() + 1), (all_ - pos + 0.5) / (len(y) - y.sum() + 1)
-    strength = np.abs(np.log(a / b)) * np.sqrt(all_)
-    strength[all_ < 3] = 0
+    # How surprising a feature's labels are (likelihood ratio), against what the largest of so many would be by chance.
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = pos / all_, y.mean()
+        g2 = 2 * all_ * (np.where(p > 0, p * np.log(p / q), 0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - q)), 0))
+    tried = all_ >= 3
+    strength = np.where(tried & (g2 > 2 * np.log(max(tried.sum(), 2))), g2, 0)
     best = np.lexsort((names, -strength))[:keep]
     kept = np.sort(names[best[strength[best] > 0]])
     rows, cols = _spread(sets, kept)
