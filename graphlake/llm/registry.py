@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.llm.common import table
+from graphlake.llm.license_scan import TEMPLATES
 
 
 def tokenizer_path() -> str:
@@ -110,6 +111,12 @@ def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlake.llm.backoff_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 6))
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -186,6 +193,70 @@ LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) USING (doc
 """
 
 
+OP10_SQL = f"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), word AS (
+  SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM doc) GROUP BY w
+), total AS (
+  SELECT sum(n) AS n FROM word
+), pairs AS (
+  SELECT doc_id, i, CASE WHEN i > 1 THEN w[i - 1] END AS v, w[i] AS w
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc WHERE len(w) > 0)
+), pair AS (
+  SELECT v, w, count(*) AS n FROM pairs WHERE v IS NOT NULL GROUP BY v, w
+), scored AS (
+  SELECT doc_id, pair.n >= 2 AS hit,
+         CASE WHEN pairs.v IS NULL THEN ln(ww.n / total.n)
+              WHEN pair.n >= 2 THEN ln(pair.n / wv.n)
+              ELSE ln(0.4 * ww.n / total.n) END AS s
+  FROM pairs CROSS JOIN total
+  JOIN word ww ON ww.w = pairs.w
+  LEFT JOIN word wv ON wv.w = pairs.v
+  LEFT JOIN pair ON pair.v = pairs.v AND pair.w = pairs.w
+)
+SELECT doc.doc_id, len(doc.w)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_pairs_known,
+       round(coalesce(s, 0), 6) AS log_score
+FROM doc LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (WHERE hit) AS k, sum(s) AS s FROM scored GROUP BY doc_id
+) USING (doc_id)
+"""
+
+OP3_TEMPLATES = ", ".join(
+    f"('{label}', '{t}')" for label, texts in TEMPLATES.items() for t in texts
+)
+OP3_SQL = f"""
+WITH doc AS (
+  SELECT doc_id, text, regexp_extract_all({LOWER_SQL}, '{WORD}') AS w FROM documents
+), phrase(words, label) AS (
+  VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')
+), places AS (
+  SELECT doc_id, i - 1 AS spot, label
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc WHERE len(w) > 0), phrase
+  WHERE w[i:i + len(words) - 1] = words
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word,
+         list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+), template AS (
+  SELECT label, list_distinct(regexp_extract_all({LOWER_SQL}, '{WORD}')) AS t
+  FROM (VALUES {OP3_TEMPLATES}) x(label, text)
+), line AS (
+  SELECT doc_id, list_distinct(regexp_extract_all({LOWER_SQL}, '{WORD}')) AS w
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents)
+), matched AS (
+  SELECT doc_id, label, len(list_intersect(w, t)) / len(t) AS c FROM line, template
+  WHERE len(list_intersect(w, t)) >= ceil(round(0.8 * len(t), 9))
+), best AS (
+  SELECT doc_id, list(DISTINCT label) AS more, max(c) AS c FROM matched GROUP BY doc_id
+)
+SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM doc LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_packing,
@@ -197,9 +268,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_decontamination,
         op8_url_filter,
         op9_quote_linking,
+        op10_lm_scoring,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
+    return {"op3_license_scan": OP3_SQL, "op10_lm_scoring": OP10_SQL, "op5_ngram_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
