@@ -13,8 +13,8 @@ from functools import cache
 
 import numpy as np
 
-#: Words remembered by a worker; when full, it starts afresh.
-CACHE_WORDS = 400_000
+#: Words remembered by a worker; when full, those not seen since the last time go.
+CACHE_WORDS = 500_000
 # White space, printable ASCII and the Latin letters up to U+017F without U+0130, whose lower case is two characters.
 _UNKNOWN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
@@ -24,11 +24,37 @@ _DIGIT = "0-9²³¹¼½¾"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for U+0100 and up, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+class _Words(dict):
+    """Ids of normalised words, found by the tokenizer's model alone."""
+
+    def __init__(self, model) -> None:
+        self.model, self.letters, self.old = model, _byte_letters(), {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 @cache
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, _Words(tokenizer.model)
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
@@ -42,14 +68,5 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
             ids = tokenizer.encode(text, add_special_tokens=False).ids
             out.append(np.asarray(ids, "<u4").tobytes())
         else:
-            words = _WORDS.findall(text.lower())
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
-                out.append(b"".join(map(known.__getitem__, words)))
+            out.append(b"".join(map(known.__getitem__, _WORDS.findall(text.lower()))))
     return out
