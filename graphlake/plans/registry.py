@@ -410,9 +410,9 @@ def export_surface(spark, sf, nodes, edges):
 
 @query("""
 WITH pairs AS (SELECT DISTINCT 'c:' || o_custkey AS src, 's:' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
-m AS (SELECT 'c:' || o_custkey AS owner, o_orderstatus || (o_orderkey % 5) AS key, min(o_orderkey) AS id, count(*) AS n FROM orders GROUP BY 1, 2 HAVING n = 1),
-b AS (SELECT 's:' || l_suppkey AS owner, l_linestatus || (l_orderkey % 5) AS key, min(l_orderkey * 10 + l_linenumber) AS id, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING n < 150)
-SELECT DISTINCT 'm:' || m.id AS src, 'b:' || b.owner || b.id || ':' || b.key AS dst, 'implements' AS kind FROM pairs JOIN m ON m.owner = pairs.src JOIN b ON b.owner = pairs.dst AND b.key = m.key
+m AS (SELECT 'c:' || o_custkey AS owner, o_orderstatus || (o_orderkey % 5) AS key, min(o_orderkey) AS id, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) = 1),
+b AS (SELECT 's:' || l_suppkey AS owner, l_linestatus || (l_orderkey % 5) AS key, min(l_orderkey * 10 + l_linenumber) AS id, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) < 150)
+SELECT DISTINCT 'm:' || m.id AS src, 'b:' || b.owner || '/' || b.id || ':' || b.key AS dst, 'implements' AS kind FROM pairs JOIN m ON m.owner = pairs.src JOIN b ON b.owner = pairs.dst AND b.key = m.key
 """)
 def override_edges(spark, sf, nodes, edges):
     o, li = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
@@ -420,7 +420,7 @@ def override_edges(spark, sf, nodes, edges):
     pairs = o.join(li.filter("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey")).select(c.alias("src"), s.alias("dst"), F.lit("implements").alias("kind"))
     own = o.select(F.concat(F.lit("m:"), F.col("o_orderkey").cast("string")).alias("id"), c.alias("owner"), F.concat("o_orderstatus", (F.col("o_orderkey") % 5).cast("string")).alias("name"))
     base = li.groupBy(s.alias("owner"), F.concat("l_linestatus", (F.col("l_orderkey") % 5).cast("string")).alias("name")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.count("*").alias("n"))
-    base = base.filter("n < 150").select(F.concat(F.lit("b:"), F.col("owner"), F.col("k").cast("string"), F.lit(":"), F.col("name")).alias("id"), "owner", "name")
+    base = base.filter("n < 150").select(F.concat(F.lit("b:"), F.col("owner"), F.lit("/"), F.col("k").cast("string"), F.lit(":"), F.col("name")).alias("id"), "owner", "name")
     members = own.unionAll(base)
     n = members.select("id", F.lit("method").alias("kind"), "name").unionAll(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.lit("class"), "id"))
     e = pairs.distinct().unionAll(members.select(F.col("owner").alias("src"), F.col("id").alias("dst"), F.lit("contains")))
