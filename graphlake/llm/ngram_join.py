@@ -401,7 +401,7 @@ def shingle_components(
     totals = members.groupBy("grp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     all_ = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
-    bundles = max(spark.sparkContext.defaultParallelism * 2, all_["n"] // (BLOCK_SHINGLES // 4), all_["c"] // (BLOCK_SETS // 4))
+    bundles = max(spark.sparkContext.defaultParallelism * 2, all_["n"] // (BLOCK_SHINGLES // 4), all_["c"] // max(1, BLOCK_SETS // 4))
     members = members.join(totals.select("grp", blocks.alias("blocks")), "grp").select(
         F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"), "sid", "grp", "blocks"
     )
