@@ -7,7 +7,7 @@ import re
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SAFE = "!'()*-._~"  # fixed value: what URI components leave as it is, beside letters and digits
@@ -73,9 +73,14 @@ def describe(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.select("id", "text", "line", "signature").mapInPandas(run, "id string, doc string, signature string")
 
 
-@F.pandas_udf("string")
-def encode_component(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else quote(t, safe=_SAFE))
+def encode_component(text: Column) -> Column:
+    """The text as a URI component."""
+
+    @F.pandas_udf("string")
+    def encoded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else quote(t, safe=_SAFE))
+
+    return encoded(text)
 
 
 def canonical_json(value) -> str:

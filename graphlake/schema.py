@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Kinds of nodes and edges, in protocol order.
 NODE_KINDS = (
     "file package namespace module function class interface type enum variable method property parameter field "
@@ -23,29 +21,22 @@ HERITAGE = ["extends", "implements", "overrides"]
 PUBLIC_KINDS = ["class", "interface", "function", "type", "enum"]
 CONTAINERS = ["class", "interface", "namespace", "module", "enum", "file"]
 
-SPAN = T.StructType(
-    [
-        T.StructField("file", T.StringType()),
-        T.StructField("startLine", T.IntegerType()),
-        T.StructField("startCol", T.IntegerType()),
-        T.StructField("endLine", T.IntegerType()),
-        T.StructField("endCol", T.IntegerType()),
-    ]
+#: Schemas as text, which needs no session to import.
+SPAN = "struct<file:string,startLine:int,startCol:int,endLine:int,endCol:int>"
+NODE = (
+    "struct<id:string,kind:string,language:string,name:string,qualifiedName:string,file:string,external:boolean,"
+    "ignored:boolean,exported:boolean,closure:boolean,modifiers:array<string>,literals:array<string>,"
+    "enumMembers:array<struct<name:string,value:string>>,"
+    "objectMembers:array<struct<name:string,kind:string,line:int,signature:string>>,"
+    "decorators:array<struct<name:string,arguments:array<struct<literal:string>>>>,signature:string,"
+    f"evidence:{SPAN},implementation:{SPAN}>"
 )
-NODE = T.StructType.fromDDL(
-    "id string, kind string, language string, name string, qualifiedName string, file string, external boolean, "
-    "ignored boolean, exported boolean, closure boolean, modifiers array<string>, literals array<string>, "
-    "enumMembers array<struct<name:string,value:string>>, "
-    "objectMembers array<struct<name:string,kind:string,line:int,signature:string>>, "
-    "decorators array<struct<name:string,arguments:array<struct<literal:string>>>>, signature string"
-).add("evidence", SPAN).add("implementation", SPAN)
-EDGE = T.StructType.fromDDL("`from` string, `to` string, kind string").add("evidence", SPAN)
+EDGE = f"struct<`from`:string,`to`:string,kind:string,evidence:{SPAN}>"
 DUMP = (
-    T.StructType.fromDDL("project string, languages array<string>, indexer string, generation struct<input:string>")
-    .add("nodes", T.ArrayType(NODE))
-    .add("edges", T.ArrayType(EDGE))
-    .add("coverage", T.ArrayType(T.StructType.fromDDL("provider string, language string, target string, family string, state string")))
-    .add("unresolved", T.ArrayType(T.StructType.fromDDL("provider string, language string, target string, universe string, family string, reason string").add("evidence", SPAN)))
-    .add("diagnostics", T.ArrayType(T.StructType.fromDDL("file string, line int, column int, code string, message string, severity string")))
-    .add("warnings", T.ArrayType(T.StringType()))
+    "project string, languages array<string>, indexer string, generation struct<input:string>, "
+    f"nodes array<{NODE}>, edges array<{EDGE}>, "
+    "coverage array<struct<provider:string,language:string,target:string,family:string,state:string>>, "
+    f"unresolved array<struct<provider:string,language:string,target:string,universe:string,family:string,reason:string,evidence:{SPAN}>>, "
+    "diagnostics array<struct<file:string,line:int,column:int,code:string,message:string,severity:string>>, "
+    "warnings array<string>"
 )
