@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import table
+from graphlake.llm import url_filter
+from graphlake.llm.common import LOWER, UPPER, table
 from graphlake.llm.license_scan import TEMPLATES
 
 
@@ -257,6 +258,61 @@ FROM doc LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 
+
+
+def _url_sql() -> str:
+    """The verdicts in SQL; aliases by a recursive walk over the links."""
+    split = url_filter.SPLIT
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    part = lambda u, n: f"coalesce(regexp_extract({u}, '{split}', {n}), '')"
+    host = lambda u: f"translate({part(u, 2)}, '{UPPER}', '{LOWER}')"
+
+    def key(u: str) -> str:
+        query = f"array_to_string(list_filter(string_split(substr({part(u, 4)}, 2), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{url_filter.TRACKING}')), '&')"
+        kept = f"CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END"
+        return f"CASE WHEN contains({u}, '://') AND {host(u)} <> '' THEN {host(u)} || regexp_replace({part(u, 3)}, '/+$', '') || {kept} END"
+
+    def rule(u: str, value: int) -> str:
+        cases = [
+            f"WHEN ({host(u)} = '{h}' OR ends_with({host(u)}, '.{h}')) AND starts_with({part(u, 3)}, '{p}') THEN '{(action, h + p)[value]}'"
+            for action, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+        ]
+        return f"CASE {' '.join(cases)} END"
+
+    found = ", ".join(f"regexp_extract(coalesce(html, ''), {quoted(p)}, 1)" for p in url_filter.CANONICAL)
+    folder = f"regexp_replace({part('src', 3)}, '[^/]*$', '')"
+    return f"""
+WITH RECURSIVE link AS (
+  SELECT src, trim(l) AS l FROM (SELECT url AS src, unnest([{found}]) AS l FROM pages) WHERE l <> ''
+), resolved AS (
+  SELECT src, CASE WHEN l = '' OR {part('src', 2)} = '' THEN NULL WHEN contains(l, '://') THEN l
+    WHEN starts_with(l, '//') THEN {part('src', 1)} || ':' || l
+    WHEN starts_with(l, '/') THEN {part('src', 1)} || '://' || {part('src', 2)} || l
+    WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    ELSE {part('src', 1)} || '://' || {part('src', 2)} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || l END AS dst
+  FROM link
+), edge AS (
+  SELECT {key('src')} AS a, {key('dst')} AS b FROM resolved WHERE dst IS NOT NULL
+), twoway AS (
+  SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge
+), reach(k, other) AS (
+  SELECT a, b FROM twoway WHERE a <> b UNION SELECT reach.k, twoway.b FROM reach JOIN twoway ON reach.other = twoway.a
+), alias AS (
+  SELECT k, least(k, min(other)) AS alias FROM reach GROUP BY k
+), node AS (
+  SELECT {key('u')} AS k, {rule('u', 0)} AS action
+  FROM (SELECT url AS u FROM pages UNION ALL SELECT src FROM resolved WHERE dst IS NOT NULL UNION ALL SELECT dst FROM resolved WHERE dst IS NOT NULL)
+), decided AS (
+  SELECT coalesce(alias, k) AS alias, min(action) AS action FROM node LEFT JOIN alias USING (k)
+  WHERE k IS NOT NULL AND action IS NOT NULL GROUP BY 1
+), page AS (
+  SELECT page_id, {host('url')} AS host, {part('url', 3)} AS path, {rule('url', 1)} AS rule, {rule('url', 0)} AS own, {key('url')} AS k FROM pages
+)
+SELECT page_id, host, path, rule, coalesce(own, decided.action, 'allow') AS verdict
+FROM page LEFT JOIN alias USING (k) LEFT JOIN decided ON decided.alias = coalesce(alias.alias, page.k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_packing,
@@ -274,4 +330,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": OP3_SQL, "op10_lm_scoring": OP10_SQL, "op5_ngram_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
+    return {"op8_url_filter": _url_sql(), "op3_license_scan": OP3_SQL, "op10_lm_scoring": OP10_SQL, "op5_ngram_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
