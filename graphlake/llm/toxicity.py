@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlake.llm.common import materialize
+
 #: Labelled rows that a classifier is fitted on at most.
 MAX_TRAIN = 8_000
 FEATURES = 4096
@@ -97,35 +99,50 @@ def _spread(sets: list[np.ndarray], kept: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows[ok], at[ok]
 
 
+def chosen_features(names: np.ndarray, pos: np.ndarray, all_: np.ndarray, n: int, n_pos: int, tried: int, keep: int) -> np.ndarray:
+    """The features (sorted) whose labels surprise most, of those that stand in three texts or more.
+
+    The measure is the likelihood ratio, held against what the largest of
+    ``tried`` features would have by chance.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = pos / all_, n_pos / n
+        g2 = 2 * all_ * (np.where(p > 0, p * np.log(p / q), 0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - q)), 0))
+    strength = np.where((all_ >= 3) & (g2 > 2 * np.log(max(tried, 2))), np.round(g2, 6), 0)
+    best = np.lexsort((names, -strength))[:keep]
+    return np.sort(names[best[strength[best] > 0]])
+
+
 def fit(
     sets: list[np.ndarray],
     labels: np.ndarray,
     pairs: list[tuple[np.ndarray, np.ndarray]] = (),
     counterfactual: float = 4.0,
-    ridge: float = 1e-3,
-    steps: int = 300,
     keep: int = FEATURES,
 ) -> Classifier:
-    """Fit on feature sets and 0/1 labels; ``pairs`` are sentences and their counterparts.
-
-    With one label only, or none, the score is constant.
-    """
+    """Choose features and fit on feature sets and 0/1 labels; ``pairs`` are sentences and their counterparts."""
     y = np.asarray(labels, np.float64)
+    kept = np.zeros(0, np.int64)
+    if len(y) and y.min() < y.max():
+        names, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        pos, all_ = np.bincount(inverse, weights=np.repeat(y, [len(s) for s in sets])), np.bincount(inverse)
+        kept = chosen_features(names, pos, all_, len(y), int(y.sum()), int((all_ >= 3).sum()), keep)
+    return fit_chosen(sets, y, pairs, kept, counterfactual)
+
+
+def fit_chosen(
+    sets: list[np.ndarray],
+    y: np.ndarray,
+    pairs: list[tuple[np.ndarray, np.ndarray]],
+    kept: np.ndarray,
+    counterfactual: float = 4.0,
+    ridge: float = 1e-3,
+    steps: int = 300,
+) -> Classifier:
+    """Fit weights of the chosen features. With one label only, or none, the score is constant."""
     rate = (y.sum() + 0.5) / (len(y) + 1)
     if not len(y) or y.min() == y.max():
         return Classifier(np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    every = np.concatenate(sets)
-    own = np.repeat(y, [len(s) for s in sets])
-    names, inverse = np.unique(every, return_inverse=True)
-    pos, all_ = np.bincount(inverse, weights=own), np.bincount(inverse)
-    # How surprising a feature's labels are (likelihood ratio), against what the largest of so many would be by chance.
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p, q = pos / all_, y.mean()
-        g2 = 2 * all_ * (np.where(p > 0, p * np.log(p / q), 0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - q)), 0))
-    tried = all_ >= 3
-    strength = np.where(tried & (g2 > 2 * np.log(max(tried.sum(), 2))), g2, 0)
-    best = np.lexsort((names, -strength))[:keep]
-    kept = np.sort(names[best[strength[best] > 0]])
     rows, cols = _spread(sets, kept)
     r1, c1 = _spread([p[0] for p in pairs], kept)
     r2, c2 = _spread([p[1] for p in pairs], kept)
@@ -177,18 +194,43 @@ def train_classifier(
     # At most max_train rows of two numbers: small enough to broadcast whatever the tables' size.
     rows = docs.select(id_.cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(chosen), "__id")
 
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many of a batch's texts hold a feature, and how many of these are toxic; feature -1 is every text."""
+        for part in parts:
+            for at in range(0, len(part), 500):
+                some = part.iloc[at : at + 500]
+                sets = [np.append(features(t), -1) for t in some["__text"]]
+                names, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+                y = np.repeat(some["__y"].to_numpy(np.float64), [len(s) for s in sets])
+                yield pd.DataFrame({"f": names, "pos": np.bincount(inverse, weights=y).astype(np.int64), "n": np.bincount(inverse)})
+
+    stats = rows.mapInPandas(counted, "f long, pos long, n long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    stats = materialize(stats.filter((F.col("n") >= 3) | (F.col("f") < 0)), "features")
+    total = stats.filter("f < 0").first()
+    n, n_pos = (total["n"], total["pos"]) if total else (0, 0)
+    kept = np.zeros(0, np.int64)
+    if 0 < n_pos < n:
+        tried = stats.filter("f >= 0").count()
+        p, q = F.col("pos") / F.col("n"), n_pos / n
+        part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+        g2 = 2 * F.col("n") * (part(p, F.lit(q)) + part(1 - p, F.lit(1 - q)))
+        likely = stats.filter("f >= 0").withColumn("g2", g2).filter(F.col("g2") > 2 * float(np.log(max(tried, 2))) - 0.01)
+        best = likely.orderBy(F.desc("g2"), "f").limit(2 * FEATURES).toPandas()  # a fixed number of rows
+        kept = chosen_features(best["f"].to_numpy(np.int64), best["pos"].to_numpy(np.float64), best["n"].to_numpy(np.int64), n, n_pos, tried, FEATURES)
+
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Texts and their counterparts as the chosen features alone."""
         for part in parts:
             out = []
             for i, t, y in zip(part["__id"], part["__text"], part["__y"], strict=True):
                 other = swapped(t)
-                out.append((i, y, features(t), None if other is None else features(other)))
+                out.append((i, y, np.intersect1d(features(t), kept), None if other is None else np.intersect1d(features(other), kept)))
             yield pd.DataFrame(out, columns=["i", "y", "f", "c"])
 
     found = rows.mapInPandas(read, "i long, y int, f array<long>, c array<long>").toPandas().sort_values("i", kind="stable")
     sets = [np.asarray(x, np.int64) for x in found["f"]]
     pairs = [(s, np.asarray(c, np.int64)) for s, c in zip(sets, found["c"], strict=True) if c is not None]
-    return fit(sets, found["y"].to_numpy(np.float64), pairs, counterfactual)
+    return fit_chosen(sets, found["y"].to_numpy(np.float64), pairs, kept, counterfactual)
 
 
 def held_out(id_col: str):
