@@ -32,6 +32,7 @@ from graphlake.llm.common import materialize, text_key
 BITS = 20
 #: Pairs that one task counts and scores at once, about.
 PART_PAIRS = 6_000_000
+_HISTOGRAM = 100_000
 _PACK = 5  # bytes of a pair's number
 _MASK = np.int64((1 << 2 * BITS) - 1)
 _MUL = 0x9E3779B97F4A7C15 & ((1 << 2 * BITS) - 1) | 1
@@ -120,7 +121,7 @@ def _packed(vocabulary, parts: int):
                     both = (v >= 0) & (w >= 0)
                     pairs.append((v[both] << BITS) | w[both])
                     owner.append(np.full(int(both.sum()), d, np.int32))
-            if not pairs:
+            if not sum(map(len, pairs)):
                 continue
             pair, doc = _mixed(np.concatenate(pairs), _MUL), np.concatenate(owner)
             part = ((pair * parts) >> (2 * BITS)).astype(np.int32)
@@ -232,7 +233,15 @@ def score_documents(
         read.select("key", "text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words"
     )
     total = counts.agg(F.sum("n")).first()[0] or 0
-    most = counts.orderBy(F.desc("n"), "word").limit(1 << vocabulary_bits).toPandas().sort_values("word")
+    # The least count that leaves no more words than have numbers, from a histogram of fixed size.
+    counted = counts.groupBy(F.least("n", F.lit(_HISTOGRAM)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
+    room, least = 1 << vocabulary_bits, _HISTOGRAM + 1
+    for row in counted:
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["n"]
+    most = counts.filter(F.col("n") >= least).toPandas().sort_values("word")
     vocabulary = spark.sparkContext.broadcast(Vocabulary(most["word"].to_numpy(np.int64), most["n"].to_numpy(np.int64), total))
 
     parts = max(1, min(1 << 16, -(-total // PART_PAIRS)), spark.sparkContext.defaultParallelism)
