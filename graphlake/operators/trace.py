@@ -78,6 +78,8 @@ def trace(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "forw
     max_nodes = max(1, min(16 if impact else 32, max_nodes))
     forward = direction == "forward"
     walk, hubs = walkable(nodes, edges, focus, include_external, forward)
+    walk = materialize(walk, "walk")  # every level reads it
+    hubs = None if hubs is None else materialize(hubs, "hubs")
     own, far = ("src", "dst") if forward else ("dst", "src")
     out = Trace([(start, 0)])
     seen, frontier = {start}, [start]
@@ -121,7 +123,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, foc
     if start == goal:
         return [start]
     walk, _ = walkable(nodes, edges, focus, include_external)
-    hop = walk.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
+    hop = materialize(walk.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct(), "walk")
     level = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(None).cast("string").alias("parent"))
     levels, seen = [], level.select("id")
     for _ in range(max_depth):

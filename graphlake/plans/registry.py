@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.functions import text as X
-from graphlake.operators import assembly, degrees, details, handles, lookup, overview, reduce, topology, tour, trace, trust
+from graphlake.operators import assembly, degrees, details, handles, identity, lookup, overview, reduce, topology, tour, trace, trust
 from graphlake.plans import testgraph
+from graphlake.sources import artifacts
+from graphlake.sources.static import tables
 from graphlake.streaming import generations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -571,6 +573,81 @@ def legacy_handles(spark, sf, nodes, edges):
     return assembly.legacy_handles(nodes)
 
 
+@query(f"""
+WITH ends AS (SELECT (SELECT min(id) FROM nodes WHERE kind = 'method') AS a, (SELECT max(id) FROM nodes WHERE kind = 'class' AND id LIKE 's:%') AS z),
+walk(id, depth) AS (SELECT a, 0 FROM ends UNION SELECT dst, depth + 1 FROM walk JOIN (SELECT src, dst FROM edges e JOIN nodes x ON x.id = e.src JOIN nodes y ON y.id = e.dst WHERE e.{WALK} AND NOT x.external AND NOT y.external) ON src = walk.id WHERE depth < 6)
+SELECT a AS start, z AS goal, coalesce((SELECT min(depth) FROM walk WHERE id = z), -1)::BIGINT AS length FROM ends
+""", recursive=True)
+def trace_shortest_path_len(spark, sf, nodes, edges):
+    start = nodes.filter("kind = 'method'").agg(F.min("id")).first()[0]
+    goal = nodes.filter("kind = 'class' AND id LIKE 's:%'").agg(F.max("id")).first()[0]
+    path = trace.shortest_path(nodes, edges, start, goal, max_depth=6)
+    return spark.range(1).select(F.lit(start).alias("start"), F.lit(goal).alias("goal"), F.lit(len(path) - 1).cast("long").alias("length"))
+
+
+@query()
+def trace_bounded(spark, sf, nodes, edges):
+    start = nodes.filter("kind = 'method' AND NOT external").agg(F.min("id")).first()[0]
+    found = trace.trace(nodes, edges, start, max_depth=3, max_nodes=12)
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(d).alias("depth")) for i, d in found.reached])).alias("r")
+    return spark.range(1).select(rows).select("r.*")
+
+
+@query()
+def tour_diverse(spark, sf, nodes, edges):
+    degree = degrees.degrees(edges)
+    seeds = tour.pick_diverse(tour.seed_scores(nodes, tour.centrality(nodes, edges, degree), ["brand", "part", "1"]))
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, seeds)).cast("array<string>")).alias("rank", "id"))
+
+
+@query()
+def semantic_id(spark, sf, nodes, edges):
+    null = F.lit(None).cast("string")
+    facts = nodes.select("id", "kind", F.coalesce("qualified_name", "name").alias("display"), "language", F.lit("declaration").alias("role"), F.col("name").alias("symbol"), F.col("file").alias("module"), *[null.alias(c) for c in ("target", "unit", "document", "overload")])
+    return identity.semantic_ids(facts, "g1").select("id", "semantic_id")
+
+
+@query()
+def static_facts(spark, sf, nodes, edges):
+    """Facts of generated sources: a file of each nation with a class that extends its region's."""
+    body = F.concat(F.lit("import { Region } from './region';\n/** A nation. */\nexport class "), F.regexp_replace("name", "[^A-Za-z]", ""), F.lit(" extends Region {\n  trade(n) {\n    return helper(n);\n  }\n}\nfunction helper(n) {\n  return n;\n}\n"))
+    sources = nodes.filter("kind = 'module'").select(F.concat(F.lit("src/"), "name", F.lit(".ts")).alias("file"), F.lit("typescript").alias("language"), body.alias("text"))
+    return tables.extract_facts(sources)
+
+
+@query("""
+WITH rel AS (SELECT 'o:' || l_orderkey AS s, 's:' || l_suppkey AS o, l_linenumber % 2 = 1 AS c, l_quantity > 25 AS v, l_returnflag = 'R' AS k FROM lineitem)
+SELECT o AS src, s AS dst, 'contains' AS kind FROM rel WHERE c UNION SELECT s, o, 'overrides' FROM rel WHERE v UNION SELECT o, s, 'calls' FROM rel WHERE k
+""")
+def native_relations(spark, sf, nodes, edges):
+    bits = artifacts.RELATIONS
+    role = lambda kind, on: F.when(on, bits[kind][0]).otherwise(0)
+    li = _t(spark, sf, "lineitem")
+    roles = role("contains", F.col("l_linenumber") % 2 == 1) + role("overrides", F.col("l_quantity") > 25) + role("calls", F.col("l_returnflag") == "R")
+    rows = li.select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("subject"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("object"), roles.alias("roles"))
+    return artifacts.native_relations(rows)
+
+
+@query("""
+WITH occ AS (SELECT 'o:' || l_orderkey AS s, 's:' || l_suppkey AS o, l_linenumber AS line, l_returnflag = 'R' AS c, l_linestatus = 'O' AS r FROM lineitem)
+SELECT s AS src, o AS dst, 'calls' AS kind, line FROM occ WHERE c UNION ALL SELECT s, o, 'type_ref', line FROM occ WHERE r
+""")
+def native_occurrences(spark, sf, nodes, edges):
+    roles = F.when(F.col("l_returnflag") == "R", artifacts.ROLES["calls"]).otherwise(0) + F.when(F.col("l_linestatus") == "O", artifacts.ROLES["references"]).otherwise(0)
+    occ = _t(spark, sf, "lineitem").select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("owner"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("symbol"), roles.alias("roles"), F.col("l_linenumber").alias("line"))
+    return artifacts.native_occurrences(occ, nodes)[0]
+
+
+@query("""
+WITH asked AS (SELECT DISTINCT id AS file, regexp_extract(file, '^(.*)\\.ts$', 1) AS path FROM nodes WHERE kind = 'module' UNION SELECT id, 'none/' || id FROM nodes WHERE kind = 'module')
+SELECT file, path, path || '.ts' AS target FROM asked WHERE path || '.ts' IN (SELECT file FROM nodes)
+""")
+def resolve_modules(spark, sf, nodes, edges):
+    modules = nodes.filter("kind = 'module'")
+    asked = modules.select(F.col("id").alias("file"), F.regexp_extract("file", r"^(.*)\.ts$", 1).alias("path")).unionAll(modules.select("id", F.concat(F.lit("none/"), "id")))
+    return assembly.resolve_modules(asked, nodes.select("file").distinct(), ["", ".ts", ".tsx", "/index.ts"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
