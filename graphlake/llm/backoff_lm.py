@@ -241,8 +241,10 @@ def score_documents(
         if room < 0:
             break
         least = row["n"]
-    most = counts.filter(F.col("n") >= least).toPandas().sort_values("word")
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(most["word"].to_numpy(np.int64), most["n"].to_numpy(np.int64), total))
+    most = counts.filter(F.col("n") >= least).toArrow()  # 16 bytes a word; as rows they would be objects
+    words, often = most["word"].to_numpy(), most["n"].to_numpy()
+    order = np.argsort(words)
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(words[order], often[order], total))
 
     parts = max(1, min(1 << 16, -(-total // PART_PAIRS)), spark.sparkContext.defaultParallelism)
     dealt = read.mapInArrow(_packed(vocabulary, parts), PACKED)
