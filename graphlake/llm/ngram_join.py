@@ -374,11 +374,11 @@ def shingle_components(
     first = materialize(read.mapInArrow(run, schema), "sets")
     meta = first.filter("kind = 0").drop("kind")
     often = (
-        first.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).filter("n >= 16").orderBy(F.desc("n"), "sid").limit(FREQUENT).toPandas()
+        first.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).filter("n >= 16").orderBy(F.desc("n"), "sid").limit(FREQUENT).toArrow()
     )
-    token = often["sid"].to_numpy(np.int64).astype(np.uint64)
+    token = often["sid"].to_numpy().astype(np.uint64)
     order = np.argsort(token)
-    frequent = spark.sparkContext.broadcast((token[order], often["n"].to_numpy(np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((token[order], often["n"].to_numpy()[order]))
 
     run, schema = _prefixes(width, percent, frequent)
     heads = docs.select(text.alias("text")).mapInArrow(run, schema)
