@@ -28,7 +28,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document whose id is divisible by 50, as a query of its key terms, against all documents."""
+    """Every document whose id is divisible by 50, as a query of all its distinct terms, against all documents."""
     from graphlake.llm.bm25 import build_index, corpus_statistics, key_terms, search
 
     docs = table(spark, sf_dir, "documents")

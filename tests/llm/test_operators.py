@@ -402,6 +402,54 @@ def test_search_matches_brute_force(spark, docs, rows, empty, monkeypatch):
     assert bm25.search(index, terms.limit(0)).count() == 0
 
 
+def test_registered_search_takes_whole_texts(spark, tmp_path, monkeypatch):
+    from graphlake.llm.registry import op2_topk_search
+
+    monkeypatch.setattr(bm25, "TERM_BLOCK", 300, raising=False)
+    rows = [(10 * i, r[1]) for i, r in enumerate(corpus(90)) if r[0] is not None] + [(5, "only here " + " ".join(f"w{i}" for i in range(40)))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    bags = [(d, Counter(words(t))) for d, t in rows]
+    n, mean, df = len(bags), sum(sum(b.values()) for _, b in bags) / len(bags), Counter(w for _, b in bags for w in b)
+    got = defaultdict(list)
+    for r in op2_topk_search(spark, str(tmp_path)).collect():
+        got[r.query_id].append((r.rank, r.doc_id, r.score))
+    longest = 0
+    for q, terms in bags:
+        if q % 50:
+            continue
+        longest = max(longest, len(terms))
+        found = []
+        for d, b in bags:
+            s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in terms if t in b)
+            if s:
+                found.append((-round(s, 9), d))
+        want = [(i, d, pytest.approx(-s, abs=1e-8)) for i, (s, d) in enumerate(sorted(found)[:10], 1)]
+        assert sorted(got[q]) == want
+    assert longest > 40
+
+
+@pytest.mark.parametrize("dense", [1, 300, 8_000_000])
+def test_many_terms_are_added_up_exactly(monkeypatch, dense):
+    monkeypatch.setattr(bm25, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    n = 150
+    lists = [np.sort(rng.choice(n, rng.integers(1, n), replace=False)).astype(np.uint32) for _ in range(60)]
+    gains = [rng.choice([0.5, 1.0, 0.25], len(x)) for x in lists]
+    held = bm25._Postings(np.concatenate(lists), np.concatenate(gains), np.array([len(x) for x in lists]), n)
+    wanted = [np.sort(rng.choice(60, rng.integers(17, 60), replace=False)) for _ in range(25)]
+    ids, heaps = (np.arange(n) * 3).tolist(), [[] for _ in wanted]
+    heaps[0] = [(1e6, -1)] * 6 + [(0.25, -2)]
+    bm25.heapq.heapify(heaps[0])
+    before = [list(h) for h in heaps]
+    held.improve_all(heaps, wanted, 7, ids)
+    for old, heap, rows in zip(before, heaps, wanted, strict=True):
+        total = defaultdict(float)
+        for r in rows.tolist():
+            for d, g in zip(lists[r].tolist(), gains[r].tolist(), strict=True):
+                total[d] += g
+        assert sorted(heap) == sorted([(round(s, 9), -ids[d]) for d, s in total.items()] + old)[-7:]
+
+
 def test_block_max_wand_is_exact():
     rng = random.Random(8)
     for _ in range(200):
