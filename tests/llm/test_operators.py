@@ -510,6 +510,22 @@ def test_quotes_are_linked_and_removed(spark):
     assert quote_linking.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_runs_of_lines_and_nested_quotes_are_linked(spark):
+    long = "a one\nb two\n\nc three\nd four\ne five"
+    rows = [
+        (1, 0, long), (1, 1, "> B two\n> \n> c  three\nyes"), (1, 2, "> c three d four\n> e five\nrewrapped"), (1, 3, "> b two\n> d four\nnot a run"), (1, 4, "> a one\n> x\nno"),
+        (2, 0, "first thing\nsecond thing"), (2, 1, "my answer"), (2, 2, ">> first thing\n>> second thing\n> my answer\nand mine"), (2, 3, ">> my answer\n> lost\nhm"),
+        (3, 0, "root"), (3, 1, "middle"), (3, 2, "upper"), (3, 3, ">>> root\n>> middle\n> upper\nall"), (3, 4, "alone"), (4, 0, "> d four\n> e five\nelsewhere"), (None, 1, ">> root\n> middle"), (1, 0, long),
+    ]
+    got = quote_linking.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert len(got) == len(rows)
+    by = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn, r.n_quotes, r.n_linked, r.thread) for r in got}
+    assert [by[1, t] for t in range(5)] == [(None, None, 0, 0, 0), (1, 0, 1, 1, 0), (1, 0, 1, 1, 0), (None, None, 1, 0, 3), (None, None, 1, 0, 4)]
+    assert by[4, 0] == (1, 0, 1, 1, 0)
+    assert [by[2, t] for t in range(4)] == [(None, None, 0, 0, 0), (2, 0, 0, 0, 0), (2, 1, 2, 2, 0), (None, None, 2, 1, 0)]
+    assert [by[3, t] for t in range(5)] == [(None, None, 0, 0, 0), (3, 0, 0, 0, 0), (3, 1, 0, 0, 0), (3, 2, 3, 3, 0), (None, None, 0, 0, 4)]
+
+
 # --- language model
 
 
