@@ -246,6 +246,23 @@ def trace_reverse_d3(spark, sf, nodes, edges):
     return _reach(nodes, edges, "class", False)
 
 
+def _reach_all(nodes, edges, kind, forward):
+    starts = nodes.filter(F.col("kind") == kind).select(F.col("id").alias("seed"))
+    return trace.reach(starts, edges.filter(trace.traversable(F.col("kind"), "all")), 3, forward)
+
+
+@query()
+def trace_forward_all_d3(spark, sf, nodes, edges):
+    """What ``trace_forward_d3`` has for five methods, for all of them."""
+    return _reach_all(nodes, edges, "method", True)
+
+
+@query()
+def trace_reverse_all_d3(spark, sf, nodes, edges):
+    """What ``trace_reverse_d3`` has for five classes, for all of them."""
+    return _reach_all(nodes, edges, "class", False)
+
+
 DISPATCH = f"""
 runs AS (SELECT DISTINCT src AS id FROM edges WHERE {EXEC}), ups AS (
   SELECT DISTINCT dst AS base, src AS impl FROM edges WHERE kind IN ('overrides', 'implements')
@@ -299,6 +316,12 @@ def reach_files_d4(spark, sf, nodes, edges):
     return tour.files_reached(seeds, nodes, edges)
 
 
+@query()
+def reach_files_all_d4(spark, sf, nodes, edges):
+    """What ``reach_files_d4`` has for twenty methods, for all of them."""
+    return tour.files_reached(nodes.filter("kind = 'method'").select("id"), nodes, edges)
+
+
 @query(f"""
 WITH {DEGREE}, surface AS (
   SELECT n.id, greatest(coalesce(d.export_fan_in, 0), coalesce(max(o.export_fan_in), 0)) AS s FROM nodes n LEFT JOIN degree d ON d.id = n.id

@@ -11,6 +11,7 @@ import __spark_entry__
 from graphlake.api import Graph, inspect
 from graphlake.functions import docs, text
 from graphlake.operators import assembly, degrees, details, handles, identity, lookup, reduce, topology, trace
+from graphlake.plans import registry
 from graphlake.sources import artifacts, dump
 from graphlake.sources.static import extract, masking, tables
 from graphlake.streaming import generations
@@ -63,6 +64,32 @@ def test_reach_and_shortest_path(random_graph, spark):
     assert trace.shortest_path(n, e, "n0", "nowhere") == []
 
 
+def test_registered_walks_start_from_all_nodes_of_a_kind(random_graph, spark, monkeypatch):
+    nodes, edges, n, e = random_graph
+    nodes = nodes + [node(f"m{i}", "method") for i in range(25)]
+    edges = edges + [(f"m{i}", f"n{i}", "calls", 1) for i in range(25)]
+    n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
+    monkeypatch.setattr(registry.testgraph, "build", lambda *_: (n, e))
+
+    def within(pairs, start, depth):
+        seen, level = {start: 0}, {start}
+        for d in range(1, depth + 1):
+            level = {b for a, b in pairs if a in level} - set(seen)
+            seen.update(dict.fromkeys(level, d))
+        return seen
+
+    got = __spark_entry__.queries()
+    walk = {(a, b) for a, b, k, _ in edges if k not in ("contains", "exports", "imports")}
+    for name, kind, pairs in (("trace_forward_all_d3", "method", walk), ("trace_reverse_all_d3", "class", {(b, a) for a, b in walk})):
+        want = {(x[0], i, d) for x in nodes if x[1] == kind for i, d in within(pairs, x[0], 3).items()}
+        rows = [(r.seed, r.id, r.depth) for r in got[name](spark, "").collect()]
+        assert len(rows) == len(want) and set(rows) == want and len({r[0] for r in rows}) > 5
+    made = [(r.src, r.dst) for r in degrees.dispatch_edges(n, e)[0].collect()]
+    pairs, file = {(a, b) for a, b, k, _ in edges if k in ("calls", "instantiates", "renders")} | set(made), {x[0]: x[5] for x in nodes}
+    want = {x[0]: len({file[i] for i in within(pairs, x[0], 4)}) for x in nodes if x[1] == "method"}
+    assert len(want) > 20 and {r.seed: r.files for r in got["reach_files_all_d4"](spark, "").collect()} == want
+
+
 def test_trace_dispatches_and_reports_what_it_leaves_out(spark):
     nodes = [node(x) for x in ("caller", "start", "base", "i1", "i2", "l1", "l2")]
     edges = [("caller", "start", "calls", 1), ("start", "base", "calls", 2), ("i1", "base", "overrides", 1), ("i2", "base", "overrides", 1), ("i1", "l1", "calls", 1), ("i2", "l2", "calls", 1)]
