@@ -48,6 +48,30 @@ TEMPLATES = {
     "mpl-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0"],
     "reserved": ["All rights reserved worldwide"],
 }
+#: Label, a sentence that announces the license, words that must stand with it, and words that make it another.
+NOTICES = [
+    ("agpl", "licensed under the GNU Affero General Public License", "affero", ""),
+    ("agpl", "modify it under the terms of the GNU Affero General Public License", "affero", ""),
+    ("apache-2.0", TEMPLATES["apache-2.0"][0], "apache", ""),
+    ("apache-2.0", TEMPLATES["apache-2.0"][1], "compliance", ""),
+    ("bsd", TEMPLATES["bsd"][0], "redistribution binary", ""),
+    ("cc-by-4.0", TEMPLATES["cc-by-4.0"][0], "creative commons attribution", "noncommercial sharealike noderivatives"),
+    ("cc-by-nc", TEMPLATES["cc-by-nc"][0], "cc nc", ""),
+    ("cc-by-nc", TEMPLATES["cc-by-nc"][1], "commons noncommercial", ""),
+    ("cc-by-sa", TEMPLATES["cc-by-sa"][0], "cc sa", ""),
+    ("cc-by-sa", TEMPLATES["cc-by-sa"][1], "commons sharealike", ""),
+    ("cc0", TEMPLATES["cc0"][0], "cc0", ""),
+    ("gpl", "licensed under the GNU General Public License", "gnu general public", "affero lesser library"),
+    ("gpl", TEMPLATES["gpl"][0], "gnu general public", "affero lesser library"),
+    ("gpl", TEMPLATES["gpl"][1], "gnu general public", "affero lesser library"),
+    ("isc", TEMPLATES["isc"][0], "fee", ""),
+    ("lgpl", "licensed under the GNU Lesser General Public License", "lesser", ""),
+    ("lgpl", "modify it under the terms of the GNU Lesser General Public License", "lesser", ""),
+    ("mit", TEMPLATES["mit"][0], "mit", ""),
+    ("mit", TEMPLATES["mit"][1], "charge obtaining", ""),
+    ("mpl-2.0", TEMPLATES["mpl-2.0"][0], "mozilla", ""),
+    ("reserved", TEMPLATES["reserved"][0], "reserved", ""),
+]
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -150,3 +174,58 @@ def scan_licenses(
     return base.join(best, ["__key_id", "__key_text"], "left").select(
         F.col("__id").alias(id_col), "n_words", "places", F.coalesce("matches", none).alias("matches"), "__key_id", "__key_text"
     )
+
+
+def scan_notices(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """License notices of each document, wherever its lines end.
+
+    Returns the id, ``n_words`` and ``matches``: label and containment of the
+    licenses of which a notice has at least ``threshold`` of its distinct words
+    in as many consecutive words as it is long, with all words that it must have
+    and none that make it another license. Only documents that hold so many of a
+    notice's words anywhere are looked through; nothing is shuffled.
+
+    * Null or empty text has no words or matches.
+    * Repeated rows get equal results; ids may be null.
+    """
+    kind = "array<struct<label:string,containment:double>>"
+    array = lambda ws: F.array(*map(F.lit, ws))
+
+    def notice(words: Column, held: Column, label: str, text: str, must: str, never: str) -> Column:
+        own = _template_words(text)
+        n, need = len(_WORD.findall(text.lower())), _needed(len(own), threshold)
+        asked, other = must.split(), never.split()
+        rare = [F.array_contains(held, w) for w in asked]
+
+        def best(at: Column) -> Column:
+            window = F.slice(words, at + 1, n)
+            fits = F.size(F.array_intersect(window, array(asked))) == len(asked)
+            if other:
+                fits = fits & ~F.arrays_overlap(window, array(other))
+            shared = F.size(F.array_intersect(window, array(own)))
+            return F.when(fits & (shared >= need), shared / len(own))
+
+        # The best window can be moved on to begin at a word of the notice.
+        starts = F.filter(F.transform(words, lambda w, i: F.when(w.isin(own), i)), lambda i: i.isNotNull())
+        most = F.array_max(F.transform(starts, best))
+        found = F.filter(F.array(F.struct(F.lit(label).alias("label"), most.alias("containment"))), lambda m: m["containment"].isNotNull())
+        for has in rare:
+            found = F.when(has, found)
+        return F.coalesce(F.when(F.size(F.array_intersect(held, array(own))) >= need, found), F.array().cast(kind))
+
+    vocabulary = sorted({w for _, text, must, _ in NOTICES for w in [*_template_words(text), *must.split()]})
+
+    def merged(every: Column) -> Column:
+        labels = F.array_sort(F.array_distinct(F.transform(every, lambda m: m["label"])))
+        best = lambda x: F.array_max(F.transform(F.filter(every, lambda m: m["label"] == x), lambda m: m["containment"]))
+        return F.transform(labels, lambda x: F.struct(x.alias("label"), best(x).alias("containment")))
+
+    def scanned(words: Column) -> Column:
+        def of(held: Column) -> Column:
+            every = F.concat(*[notice(words, held, *x) for x in NOTICES])
+            return F.when(F.size(held) > 2, let(every, merged)).otherwise(F.array().cast(kind))
+
+        return F.struct(F.size(words).cast("long").alias("n_words"), let(F.array_intersect(words, array(vocabulary)), of).alias("matches"))
+
+    read = docs.select(F.col(f"`{id_col}`").alias(id_col), let(words_of(F.col(f"`{text_col}`")), scanned).alias("__s"))
+    return read.select(id_col, "__s.n_words", "__s.matches")

@@ -59,6 +59,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses by notices that may cross lines, told apart by the words that distinguish them."""
+    from graphlake.llm.license_scan import scan_notices
+
+    found = scan_notices(table(spark, sf_dir, "documents"))
+    labels = F.array_join(F.transform("matches", lambda m: m["label"]), ",")
+    return found.select("doc_id", "n_words", labels.alias("labels"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("score"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlake.llm.toxicity import held_out, score_toxicity, train_classifier
 
@@ -318,6 +327,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_packing,
         op2_topk_search,
         op3_license_scan,
+        op3_license_notices,
         op4_toxicity,
         op5_ngram_join,
         op6_line_dedup,

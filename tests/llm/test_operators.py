@@ -526,6 +526,25 @@ def test_runs_of_lines_and_nested_quotes_are_linked(spark):
     assert [by[3, t] for t in range(5)] == [(None, None, 0, 0, 0), (3, 0, 0, 0, 0), (3, 1, 0, 0, 0), (3, 2, 3, 3, 0), (None, None, 0, 0, 4)]
 
 
+def test_wrapped_notices_are_found_and_told_apart(spark):
+    cases = [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal", "mit"),
+        ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:", "bsd"),
+        (" * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided", "isc"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+        ("This work is licensed under the GNU Affero General\nPublic License, version 3.", "agpl"),
+        ("redistribute it and/or modify it under the\nterms of the GNU Lesser General Public License", "lgpl"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("x\nLicensed under CC BY-SA 4.0.", "cc-by-sa"), ("Released under the MIT License", "mit"), ("Released under the BSD License", ""),
+        ("This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License", "cc-by-nc"),
+        ("This work is licensed under a Creative Commons\nAttribution 4.0 International License", "cc-by-4.0"),
+        ("permission free charge granted " + "w " * 30 + "person obtaining copy of this software and associated documentation files to any is hereby", ""), (None, ""), ("", ""),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_notices(rows).collect()}
+    assert [",".join(m.label for m in got[i].matches) for i in range(len(cases))] == [want for _, want in cases]
+    assert [got[i].n_words for i in range(len(cases))] == [len(words(t)) for t, _ in cases]
+
+
 # --- language model
 
 
