@@ -41,6 +41,55 @@ IDENTITY = [
     "immigrants refugees foreigners natives",
     "disabled blind deaf autistic",
     "old young elderly teenage",
+    # French
+    "femmes hommes filles garçons",
+    "femme homme fille garçon",
+    "lesbienne bisexuelle hétérosexuelle transgenre",
+    "homosexuel bisexuel hétérosexuel",
+    "musulman chrétien juif hindou bouddhiste athée",
+    "musulmane chrétienne juive",
+    "musulmans chrétiens juifs hindous bouddhistes athées",
+    "musulmanes chrétiennes juives",
+    "noir blanc asiatique métis",
+    "noirs blancs asiatiques",
+    "africain américain européen indien mexicain chinois arabe",
+    "africains américains européens indiens mexicains arabes",
+    "immigrés réfugiés étrangers autochtones",
+    "handicapé aveugle sourd autiste",
+    "handicapés aveugles sourds autistes",
+    "vieux jeunes âgés adolescents",
+    # German
+    "frauen männer mädchen jungen",
+    "frau mann",
+    "weiblich männlich transgeschlechtlich nichtbinär",
+    "schwul lesbisch bisexuell heterosexuell",
+    "schwule lesben heterosexuelle",
+    "muslimisch christlich jüdisch hinduistisch buddhistisch atheistisch",
+    "muslime christen juden buddhisten atheisten",
+    "muslimin christin jüdin",
+    "schwarze weiße asiatische indigene",
+    "afrikaner amerikaner europäer inder mexikaner chinesen araber",
+    "afrikanisch amerikanisch europäisch indisch mexikanisch chinesisch arabisch",
+    "einwanderer flüchtlinge ausländer einheimische",
+    "behinderte blinde gehörlose autisten",
+    "alte junge ältere jugendliche",
+    # Spanish
+    "mujeres hombres niñas niños",
+    "mujer hombre niña niño",
+    "femenina masculina transgénero",
+    "lesbiana homosexual heterosexual",
+    "lesbianas bisexuales heterosexuales homosexuales",
+    "musulmán cristiano judío hindú budista ateo",
+    "musulmana cristiana judía",
+    "musulmanas cristianos judíos hindúes budistas ateos",
+    "negro blanco asiático indígena",
+    "negros blancos asiáticos indígenas",
+    "africano americano europeo indio mexicano chino árabe",
+    "africanos americanos europeos indios mexicanos chinos árabes",
+    "inmigrantes refugiados extranjeros nativos",
+    "discapacitado ciego sordo autista",
+    "discapacitados ciegos sordos autistas",
+    "viejos jóvenes ancianos adolescentes",
 ]
 _WORD = re.compile(r"[^\W\d_]+")
 _SWAPS = {w: [v for v in line.split() if v != w] for line in IDENTITY for w in line.split()}

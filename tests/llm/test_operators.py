@@ -353,6 +353,15 @@ def test_toxicity_learns_words_and_not_groups():
     assert toxicity.fit(sets[:1], np.array([0])).score(None) < 0.5
 
 
+def test_groups_are_swapped_in_all_languages():
+    for text in ("the muslims came", "les immigrés arrivent", "die Flüchtlinge kommen", "los judíos vienen", "Muslime und Frauen", "una mujer"):
+        other = toxicity.swapped(text)
+        assert other is not None and other != text.lower() and len(other.split()) == len(text.split())
+    listed = [w for line in toxicity.IDENTITY for w in line.split()]
+    assert len(listed) == len(set(listed))
+    assert toxicity.swapped("le graphe des appels") is None
+
+
 def test_toxicity_on_tables(spark, docs, empty):
     rows = [(i, ("idiot " if i % 4 == 0 else "") + f"some w{i % 7} text w{i % 11}", 1, 1, "k") for i in range(300)]
     table = spark.createDataFrame(rows, DOC)
