@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphlake.functions.text import is_external, is_support_path, is_test_path, matched_terms, shared_path_depth, subwords
@@ -72,26 +71,24 @@ def seed_scores(nodes: DataFrame, central: DataFrame, terms: list[str]) -> DataF
     return own.select("id", "name", "file", "terms", F.round((F.col("centrality") + named + filed) * align * damp, 6).alias("score")).filter("score > 0")
 
 
-def pick_diverse(scored: DataFrame, limit: int = 5, pool: int = 200) -> list[str]:
+def pick_diverse(scored: DataFrame, limit: int = 5) -> list[str]:
     """Greedy choice: newly covered terms first, then score; no second name of one file that begins alike.
 
-    The choice is sequential by nature, so the best ``pool`` by score and the best
-    of every set of terms are brought to the driver, which holds all that could be
-    chosen: a candidate is only worth more than a better scored one through a term.
+    The choice is sequential by nature: each step is a look through all
+    candidates that are left, of which one row comes to the driver.
     """
-    order = F.row_number().over(W.partitionBy("terms").orderBy(F.desc("score"), "id"))
-    rows = scored.withColumn("r", order).filter(F.col("r") <= limit).orderBy(F.desc(F.size("terms")), F.desc("score"), "id").limit(pool).collect()
-    rows += [r for r in scored.withColumn("r", F.lit(0)).orderBy(F.desc("score"), "id").limit(pool).collect()]
-    left = {r["id"]: r for r in rows}
+    left = materialize(scored.select("id", "name", "file", "terms", "score"), "candidates")
     chosen, covered = [], set()
-    while left and len(chosen) < limit:
-        best = max(left.values(), key=lambda r: (120 * len(set(r["terms"]) - covered) + r["score"], [-ord(c) for c in r["id"]]))
-        del left[best["id"]]
-        alike = [c for c in chosen if c["file"] == best["file"] and best["name"].lower().startswith(c["name"].lower())]
-        if not alike:
-            chosen.append(best)
-            covered |= set(best["terms"])
-    return [c["id"] for c in chosen]
+    while len(chosen) < limit:
+        new = F.size(F.array_except("terms", F.array(*map(F.lit, sorted(covered))).cast("array<string>")))
+        best = left.orderBy(F.desc(120 * new + F.col("score")), "id").first()
+        if best is None:
+            break
+        chosen.append(best["id"])
+        covered |= set(best["terms"])
+        alike = (F.col("file") == best["file"]) & F.startswith(F.lower("name"), F.lower(F.lit(best["name"])))
+        left = left.filter((F.col("id") != best["id"]) & ~F.coalesce(alike, F.lit(False)))
+    return chosen
 
 
 def nearby(seeds: list[str], tables: list[DataFrame], limit: int = 10) -> list[str]:

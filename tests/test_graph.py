@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from graphlake.api import Graph, inspect
 from graphlake.functions import docs, text
-from graphlake.operators import assembly, degrees, details, handles, identity, lookup, reduce, topology, trace
+from graphlake.operators import assembly, degrees, details, handles, identity, lookup, reduce, topology, tour, trace
 from graphlake.plans import registry
 from graphlake.sources import artifacts, dump
 from graphlake.sources.static import extract, masking, tables
@@ -90,6 +90,16 @@ def test_registered_walks_start_from_all_nodes_of_a_kind(random_graph, spark, mo
     assert len(want) > 20 and {r.seed: r.files for r in got["reach_files_all_d4"](spark, "").collect()} == want
 
 
+def test_tour_looks_past_candidates_that_are_alike(spark):
+    rows = [(f"a{i:03}", f"order{i or str()}", "f.ts", ["order"], 1000.0 - i) for i in range(260)] + [("z", "other", "g.ts", ["order"], 1.0)]
+    rows += [(f"q{i:03}", f"q{i}", "q.ts", [], 50.0) for i in range(4)] + [("late", "late", "h.ts", [], 49.0)]
+    scored = spark.createDataFrame(rows, "id string, name string, file string, terms array<string>, score double")
+    own = scored.filter("id < 'b' OR id = 'z'")
+    assert tour.pick_diverse(own) == ["a000", "z"]
+    assert tour.pick_diverse(scored) == ["a000", "q000", "q001", "q002", "q003"]
+    assert tour.pick_diverse(scored.filter("false")) == []
+
+
 def test_trace_dispatches_and_reports_what_it_leaves_out(spark):
     nodes = [node(x) for x in ("caller", "start", "base", "i1", "i2", "l1", "l2")]
     edges = [("caller", "start", "calls", 1), ("start", "base", "calls", 2), ("i1", "base", "overrides", 1), ("i2", "base", "overrides", 1), ("i1", "l1", "calls", 1), ("i2", "l2", "calls", 1)]
