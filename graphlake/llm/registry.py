@@ -124,7 +124,8 @@ def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlake.llm.backoff_lm import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 6))
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.col("n_known").alias("n_pairs_known"), F.round("log_score", 6).alias("log_score"))
 
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

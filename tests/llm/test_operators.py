@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -557,22 +559,46 @@ def test_wrapped_notices_are_found_and_told_apart(spark):
 # --- language model
 
 
-@pytest.mark.parametrize("bits", [1, 4, 20])
-def test_backoff_scores_match_brute_force(spark, docs, rows, empty, bits):
+def backoff(rows, order, cutoff):
+    """Scores by counting with dictionaries."""
     texts = [blank_words(r[1]) for r in rows]
-    ones, twos = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
-    total = sum(ones.values())
-    want = Counter()
+    counts = Counter(tuple(t[i : i + k]) for t in texts for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    total = sum(map(len, texts))
+
+    def score(gram):
+        if len(gram) == 1:
+            return math.log(counts[gram] / total)
+        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= cutoff else math.log(0.4) + score(gram[1:])
+
     for r, t in zip(rows, texts):
-        s, hits = math.log(ones[t[0]] / total) if t else 0.0, 0
-        for v, w in zip(t, t[1:]):
-            hit = twos[v, w] >= 2
-            hits += hit
-            s += math.log(twos[v, w] / ones[v]) if hit else math.log(0.4 * ones[w] / total)
-        want[r[0], len(t), hits, round(s, 5)] += 1
-    got = backoff_lm.score_documents(docs, vocabulary_bits=bits)
-    assert Counter((r.doc_id, r.n_words, r.n_pairs_known, round(r.log_score, 5)) for r in got.collect()) == want
-    assert backoff_lm.score_documents(empty).count() == 0
+        grams = [tuple(t[max(0, i - order + 1) : i + 1]) for i in range(len(t))]
+        yield r[0], len(t), sum(len(g) == order and counts[g] >= cutoff for g in grams), round(sum(map(score, grams)), 5)
+
+
+@pytest.mark.parametrize("order, cutoff, buckets, chunk", [(2, 2, 1, 2_000_000), (2, 2, 1024, 300), (1, 1, 3, 50), (3, 1, 16, 200), (4, 2, 70_000, 1)])
+def test_backoff_scores_match_brute_force(spark, docs, rows, empty, monkeypatch, order, cutoff, buckets, chunk):
+    got = backoff_lm.score_documents(docs, order, cutoff, buckets=buckets)
+    assert Counter((r.doc_id, r.n_words, r.n_known, round(r.log_score, 5)) for r in got.collect()) == Counter(backoff(rows, order, cutoff))
+    assert backoff_lm.score_documents(empty, order, cutoff).count() == 0
+    # Chunks of few words, without a session: what a task emits is the same however its texts are cut.
+    monkeypatch.setattr(backoff_lm, "CHUNK_WORDS", chunk)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    chunks = list(backoff_lm._chunks(iter([batch])))
+    bits = (buckets - 1).bit_length()
+    asked = pa.Table.from_batches(backoff_lm._asked(order, bits)(chunks)).sort_by([("bucket", "ascending"), ("chunk", "ascending")])
+    answers = pa.Table.from_batches(backoff_lm._answered(bits)(iter(asked.to_batches(max_chunksize=5))))
+    total = sum(len(blank_words(r[1])) for r in rows)
+    score = backoff_lm._scored(order, bits, cutoff, 0.4, total)
+    parts = [score(pa.Table.from_batches([c]), answers.filter(pc.equal(answers["chunk"], c["chunk"][0]))) for c in chunks]
+    found = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert Counter((i, n, k, round(s, 5)) for i, n, k, s in found) == Counter(backoff(rows, order, cutoff))
+
+
+def test_backoff_counts_a_very_long_text_whole(spark):
+    rows = [(1, "a b " * 60_000), (2, "b a c"), (3, None)]
+    got = backoff_lm.score_documents(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert got.schema["doc_id"].dataType.simpleString() == "int"
+    assert Counter((r.doc_id, r.n_words, r.n_known, round(r.log_score, 3)) for r in got.collect()) == Counter((i, n, k, round(s, 3)) for i, n, k, s in backoff(rows, 2, 2))
 
 
 def test_hash_of_a_line_is_its_text(docs):
