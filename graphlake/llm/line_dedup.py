@@ -8,6 +8,9 @@ Only hashes and positions are shuffled with the lines.  The text itself moves
 once, to meet its list of dropped positions.  A line that every document holds
 is counted through a distinct (line, document) step first, so its rows are dealt
 over all tasks, and the count that follows is combined before it is shuffled.
+Lines that many documents hold are known by then: the fewer than HOT_KEYS keys
+that hold more than their share of rows are told to all tasks, and only the
+others are dealt by their key when lines meet what is dropped.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import BLANK, ascii_lower, let, text_key
+from graphlake.llm.common import BLANK, ascii_lower, hot_keys, join_spread, let, materialize, text_key
 
 
 def line_key(line: Column) -> Column:
@@ -40,7 +43,9 @@ def dedup_lines(
     * Keys shorter than ``min_chars`` code points are never dropped.
     * A document is a distinct (id, text): a row that is there twice counts
       once, and both rows get the same result.  Ids may be null.
-    * An empty table gives an empty table.
+    * An empty table gives an empty table.  Columns may have any names but those
+      two and names that begin with two underscores; they are passed on.
+    * A text of any length is split as a whole: a task holds its lines.
     """
     docs = docs.drop("n_lines", "n_dropped")
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
@@ -54,12 +59,13 @@ def dedup_lines(
         keyed.select("__h1", "__h2", "__key_id", "__key_text")
         .distinct()
         .groupBy("__h1", "__h2")
-        .count()
-        .filter(F.col("count") >= min_docs)
-        .select("__h1", "__h2")
+        .agg(F.count("*").alias("__n"))
+        .filter(F.col("__n") >= min_docs)
     )
+    common = materialize(common, "common")
     dropped = (
-        keyed.join(common, ["__h1", "__h2"])
+        join_spread(keyed, common, hot_keys(common, "__n"), ["__h1", "__h2"])
+        .filter(F.col("__n").isNotNull())
         .groupBy("__key_id", "__key_text")
         .agg(F.collect_set("__pos").alias("__drop"))
     )
