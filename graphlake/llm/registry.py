@@ -29,13 +29,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose id is divisible by 50, as a query of all its distinct terms, against all documents."""
-    from graphlake.llm.bm25 import build_index, corpus_statistics, key_terms, search
+    from graphlake.llm.bm25 import build_index, corpus_statistics, document_frequencies, key_terms, search
 
     docs = table(spark, sf_dir, "documents")
     index = build_index(docs)
-    frequencies = index.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df"))
     queries = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
-    return search(index, key_terms(queries, frequencies, corpus_statistics(index)[0]), k=10)
+    return search(index, key_terms(queries, document_frequencies(index), corpus_statistics(index)[0]), k=10)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,17 +381,17 @@ def test_toxicity_on_tables(spark, docs, empty):
 # --- BM25
 
 
-def test_search_matches_brute_force(spark, docs, rows, empty, monkeypatch):
-    monkeypatch.setattr(bm25, "SHARD_WORDS", 500)
-    monkeypatch.setattr(bm25, "BLOCK", 4)
-    monkeypatch.setattr(bm25, "QUERY_BLOCK", 5)
-    index = bm25.build_index(docs)
+@pytest.mark.parametrize("few", [0, 3, 16])
+def test_search_matches_brute_force(spark, docs, rows, empty, monkeypatch, few):
+    monkeypatch.setattr(bm25, "TERM_BLOCK", 100)
+    index = bm25.build_index(docs, shard_words=100)
+    assert index.count() > 16 and index.select("level").distinct().count() > 1
     n, mean = bm25.corpus_statistics(index)
-    frequencies = index.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df"))
+    frequencies = bm25.document_frequencies(index)
     queries = docs.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "text").dropDuplicates(["query_id"])
     terms = bm25.key_terms(queries, frequencies, n, most=6)
     got = defaultdict(list)
-    for r in bm25.search(index, terms, k=5).collect():
+    for r in bm25.search(index, terms, k=5, few=few).collect():
         got[r.query_id].append((r.rank, r.doc_id, r.score))
     wanted, df = defaultdict(dict), {}
     for r in terms.collect():
@@ -442,17 +442,19 @@ def test_registered_search_takes_whole_texts(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("dense", [1, 300, 8_000_000])
 def test_many_terms_are_added_up_exactly(monkeypatch, dense):
     monkeypatch.setattr(bm25, "DENSE", dense)
+    monkeypatch.setattr(bm25, "SPREAD", 100)
     rng = np.random.default_rng(3)
     n = 150
     lists = [np.sort(rng.choice(n, rng.integers(1, n), replace=False)).astype(np.uint32) for _ in range(60)]
     gains = [rng.choice([0.5, 1.0, 0.25], len(x)) for x in lists]
-    held = bm25._Postings(np.concatenate(lists), np.concatenate(gains), np.array([len(x) for x in lists]), n)
+    held = bm25.Postings(np.concatenate(lists), np.concatenate(gains), np.array([len(x) for x in lists]), n)
     wanted = [np.sort(rng.choice(60, rng.integers(17, 60), replace=False)) for _ in range(25)]
     ids, heaps = (np.arange(n) * 3).tolist(), [[] for _ in wanted]
     heaps[0] = [(1e6, -1)] * 6 + [(0.25, -2)]
     bm25.heapq.heapify(heaps[0])
     before = [list(h) for h in heaps]
-    held.improve_all(heaps, wanted, 7, ids)
+    held.prepare(np.bincount(np.concatenate(wanted), minlength=60), len(wanted))
+    held.improve_all(heaps, wanted, 7, ids, [-1.0] * len(wanted))
     for old, heap, rows in zip(before, heaps, wanted, strict=True):
         total = defaultdict(float)
         for r in rows.tolist():
