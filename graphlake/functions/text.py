@@ -15,19 +15,19 @@ SUFFIXES = ["ation", "ing", "ment", "ence", "ance", "ion", "ity", "ed", "es", "s
 TEST_PATH = (
     r"(^|/)(test|tests|__tests__|spec)/",
     r"(^|/)[A-Za-z0-9_]*Test/",
-    r"\.(test|spec)\.[^/]*$",
-    r"(^|/)test[-_]*\.[^/.]+$",
-    r"_test\.[^/.]+$",
+    r"\.(test|spec)\.[^/]+$",
+    r"(^|/)test[-_][^/]+\.[^/]+$",
+    r"_test\.[^/]+$",
 )
 SUPPORT_PATH = (
     r"^bundled://",
     r"(^|/)(deps|node_modules|vendor|site-packages)/",
-    r"(^|/)(test|tests|__tests__|spec|sample|samples|fixture|fixtures|example|examples)/",
-    r"\.(test|spec)\.[^/]*$",
-    r"_test\.[^/.]+$",
-    r"(^|/)typings\.ts$",
-    r"\.d\.ts$",
-    r"(^|/)(dist|build|coverage|generated|gen)/",
+    r"(^|/)(test|tests|__tests__|spec|sample|samples|fixture|fixtures|__fixtures__|example|examples)/",
+    r"\.(test|spec)\.[^/]+$",
+    r"_test\.[^/]+$",
+    r"(^|/)typings\.[cm]?ts$",
+    r"\.d\.[cm]?ts$",
+    r"(^|/)(dist|build|coverage|generated|__generated__|gen)/",
 )
 EXTERNAL_PATH = r"^bundled://|(^|/)(node_modules|vendor|site-packages)/"
 
@@ -51,7 +51,7 @@ def is_support_path(path: Column) -> Column:
 
 
 def is_public_api_noise(path: Column) -> Column:
-    return is_support_path(path) | F.rlike(path, F.lit(r"(^|/)(typings\.ts$|internal/)"))
+    return is_support_path(path) | F.rlike(path, F.lit(r"(^|/|\.)typings\.[cm]?ts$|(^|/)internal/"))
 
 
 def is_external(external: Column, path: Column) -> Column:
@@ -79,6 +79,16 @@ def matched_terms(words: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: F.exists(words, lambda w: alike(w, t)))
 
 
+def is_production(external: Column, ignored: Column, path: Column) -> Column:
+    """What a tour is about: neither external, ignored, a test nor support."""
+    return ~F.coalesce(external, F.lit(False)) & ~F.coalesce(ignored, F.lit(False)) & ~is_test_path(path) & ~is_support_path(path)
+
+
+def is_private_like(name: Column) -> Column:
+    """Names that begin with an underscore, or whose member does."""
+    return F.startswith(name, F.lit("_")) | F.contains(name, F.lit("._"))
+
+
 def dirname(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
 
@@ -93,11 +103,10 @@ def file_stem(path: Column) -> Column:
 
 def shared_path_depth(a: Column, b: Column) -> Column:
     """How many leading folders two paths share."""
-    x, y = F.split(dirname(a), "/"), F.split(dirname(b), "/")
-    n = F.least(F.size(x), F.size(y))
+    x, y = F.split(a, "/"), F.split(b, "/")
+    n = F.least(F.size(x), F.size(y)) - 1
     same = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.slice(x, 1, i) == F.slice(y, 1, i))
-    named = (dirname(a) != "") & (dirname(b) != "")
-    return F.when(named, F.size(F.filter(same, lambda s: s))).otherwise(F.lit(0))
+    return F.when(n > 0, F.size(F.filter(same, lambda s: s))).otherwise(F.lit(0))
 
 
 def callable_base(name: Column) -> Column:
@@ -110,11 +119,6 @@ def member_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"\s+", " "))
 
 
-def utf16_order(text: Column) -> Column:
-    """A sort key in the order of UTF-16 code units."""
-    return F.hex(F.encode(text, "UTF-16BE"))
-
-
 def owner_key(name: Column) -> Column:
     """The dotted name without its last part; null for a name of one part."""
     return F.when(F.contains(name, F.lit(".")), F.regexp_extract(name, r"^(.*)\.[^.]*$", 1))

@@ -94,38 +94,48 @@ def merge_semantic_nodes(nodes: DataFrame, facts: list[str]) -> tuple[DataFrame,
 
 
 def synthesise_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A file node for every file of the workspace with declarations, and for edge ends that name a file."""
+    """A file node for every file of the workspace with declarations, and for every path that an edge leaves from.
+
+    A file has the language of its first declaration (by ``ord``, else by id); a
+    bare path that of the first node it leads to, or is unknown.
+    """
+    order = F.col("ord") if "ord" in nodes.columns else F.col("id")
     own = nodes.filter(~F.col("external") & (F.col("file") != "") & (F.col("kind") != "file"))
-    of_nodes = own.groupBy(F.col("file").alias("id")).agg(F.min("language").alias("language"))
-    bare = edges.select(F.col("src").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti").filter(F.contains("id", F.lit("/")) & ~F.contains("id", F.lit("#")))
-    every = of_nodes.unionByName(bare.withColumn("language", F.lit("unknown"))).groupBy("id").agg(F.min("language").alias("language"))
-    made = every.join(nodes.filter("kind = 'file'").select("id"), "id", "left_anti")
+    of_nodes = own.groupBy(F.col("file").alias("id")).agg(F.min_by("language", order).alias("language"))
+    first = F.col("ord") if "ord" in edges.columns else F.col("dst")
+    bare = edges.select("src", "dst", first.alias("__o")).join(nodes.select(F.col("id").alias("src")), "src", "left_anti").filter((F.col("src") != "") & ~F.contains("src", F.lit("#")))
+    bare = bare.join(nodes.select(F.col("id").alias("dst"), "language"), "dst", "left")
+    of_edges = bare.groupBy(F.col("src").alias("id")).agg(F.coalesce(F.min_by("language", "__o"), F.lit("unknown")).alias("language"))
+    every = of_nodes.unionByName(of_edges.join(of_nodes.select("id"), "id", "left_anti"))
+    made = every.join(nodes.select("id"), "id", "left_anti")
     named = {"kind": F.lit("file"), "name": F.substring_index("id", "/", -1), "file": F.col("id"), "external": F.lit(False), "ignored": F.lit(False), "exported": F.lit(False), "closure": F.lit(False)}
     cols = [named[c].alias(c) if c in named else F.col(c) if c in ("id", "language") else F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns]
     return nodes.unionByName(made.select(*cols))
 
 
 def synthesise_containment(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A contains edge to every declaration from its owner by dotted name in its file, or else from its file."""
-    owners = nodes.filter("kind <> 'file'").groupBy("file", full_name().alias("__o")).agg(F.min("id").alias("owner"))
-    inner = nodes.filter(~F.col("external") & (F.col("kind") != "file") & (F.col("file") != ""))
-    keyed = inner.select(F.col("id").alias("dst"), "file", owner_key(full_name()).alias("__o"))
+    """A contains edge to every declaration from its owner by dotted name in its file, or else from its file, unless there is that edge.
+
+    Of several owners of a name the last counts (by ``ord``, else by id).
+    """
+    order = F.col("ord") if "ord" in nodes.columns else F.col("id")
+    local = nodes.filter(~F.col("external") & (F.col("kind") != "file"))
+    owners = local.groupBy("file", full_name().alias("__o")).agg(F.max_by("id", order).alias("owner"))
+    keyed = local.filter(F.col("file") != "").select(F.col("id").alias("dst"), "file", owner_key(full_name()).alias("__o"))
     made = keyed.join(owners, ["file", "__o"], "left").select(F.coalesce("owner", "file").alias("src"), "dst", F.lit("contains").alias("kind"))
-    made = made.filter(F.col("src") != F.col("dst")).join(edges.filter("kind = 'contains'").select("dst").distinct(), "dst", "left_anti")
+    made = made.join(edges.filter("kind = 'contains'").select("src", "dst").distinct(), ["src", "dst"], "left_anti")
     cols = [F.col(c) if c in EDGE_KEY else F.lit(None).cast(edges.schema[c].dataType).alias(c) for c in edges.columns]
     return edges.unionByName(made.select(*cols))
 
 
 def override_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of classes tied by implements or extends that share a key which is unique on both sides."""
-    kinds = F.col("kind").isin("class", "interface")
-    types = nodes.filter(kinds).select("id")
+    """Members of types tied by implements or extends that share a name, arguments included, which is unique on both sides."""
     pairs = edges.filter(F.col("kind").isin("implements", "extends")).select("src", "dst", F.col("kind").alias("how"))
-    pairs = pairs.join(types.withColumnRenamed("id", "src"), "src", "left_semi").join(types.withColumnRenamed("id", "dst"), "dst", "left_semi")
     members = (
         edges.filter("kind = 'contains'")
         .select(F.col("src").alias("owner"), F.col("dst").alias("id"))
-        .join(nodes.filter(F.col("kind").isin("method", "property", "field")).select("id", member_key(callable_base(F.col("name"))).alias("key")), "id")
+        .distinct()
+        .join(nodes.filter(F.col("kind").isin("method", "property", "field")).select("id", member_key(F.col("name")).alias("key")), "id")
     )
     unique = members.groupBy("owner", "key").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").drop("n")
     own = unique.select(F.col("owner").alias("src"), "key", F.col("id").alias("a"))
@@ -152,6 +162,28 @@ def export_surface(own: DataFrame, forwards: DataFrame) -> DataFrame:
     return found.select("file", "id").distinct()
 
 
+def export_edges(nodes: DataFrame, forwards: DataFrame) -> DataFrame:
+    """``src`` (a file), ``dst``, ``kind``: every file that puts a declaration on the wire, itself or by forwarding it."""
+    own = nodes.filter(~F.col("external") & (F.col("file") != "") & F.col("exported")).select("file", "id", "name")
+    return export_surface(own, forwards).select(F.col("file").alias("src"), F.col("id").alias("dst"), F.lit("exports").alias("kind"))
+
+
+def finalise(nodes: DataFrame, edges: DataFrame, forwards: DataFrame, ignored_files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The facts that no single file shows: kinds of members, closures, what is ignored, and the export surface.
+
+    Doing it again changes nothing.
+    """
+    if "ord" not in nodes.columns:
+        nodes = nodes.withColumn("ord", F.col("id"))
+    nodes = mark_closures(normalise_kinds(nodes))
+    if ignored_files is not None:
+        nodes = mark_ignored(nodes, ignored_files)
+    nodes = materialize(nodes, "nodes")
+    made = export_edges(nodes, forwards).join(edges.select(*EDGE_KEY), EDGE_KEY, "left_anti")
+    cols = [F.col(c) if c in EDGE_KEY else F.lit(None).cast(edges.schema[c].dataType).alias(c) for c in edges.columns]
+    return nodes, edges.unionByName(made.select(*cols))
+
+
 def resolve_modules(imports: DataFrame, files: DataFrame, suffixes: list[str]) -> DataFrame:
     """``target`` of each import (file, path): the first of ``path + suffix`` that is a file."""
     tried = F.posexplode(F.array(*map(F.lit, suffixes))).alias("rank", "suffix")
@@ -172,28 +204,94 @@ def lane_overlap(strict: DataFrame, generic: DataFrame, key: list[str]) -> DataF
     return strict.select(*key).distinct().join(generic.select(*key).distinct(), key, "left_semi")
 
 
-def violations(nodes: DataFrame, edges: DataFrame, coverage: DataFrame | None = None, unresolved: DataFrame | None = None) -> DataFrame:
-    """``rule`` and ``subject`` of everything that makes a graph invalid."""
-    ids = nodes.select("id")
+def _rule(df: DataFrame, text: str, *subject: str) -> DataFrame:
+    return df.select(F.lit(text).alias("rule"), F.concat_ws(" ", *(subject or EDGE_KEY)).alias("subject"))
+
+
+#: Paths are relative, with single slashes and no steps back, or name what a tool bundles.
+_PATH = r"^(?!/)(?!.*(^|/)\.{0,2}(/|$))(?!.*[\\\x00])(?!^[A-Za-z]:).+$"
+_ID = r"^(.*[^\\]|)#.*:([a-z_]+)$"
+
+
+def violations(
+    nodes: DataFrame,
+    edges: DataFrame,
+    coverage: DataFrame | None = None,
+    unresolved: DataFrame | None = None,
+    languages: list[str] | None = None,
+    provenance: DataFrame | None = None,
+) -> DataFrame:
+    """``rule`` and ``subject`` of everything that makes a graph invalid.
+
+    Spans are read where the tables have them (``line`` and ``end_line``); the
+    trust tables are held against each other where they are given.
+    """
+    ids, files = nodes.select("id"), nodes.select("file").distinct()
+    null = F.lit("\0")
+    text = F.col("id").isNull() | (F.col("id") == "") | F.contains("id", null) | F.col("name").isNull() | (F.col("name") == "") | F.contains("name", null)
+    if "qualified_name" in nodes.columns:
+        text = text | F.coalesce((F.col("qualified_name") == "") | F.contains("qualified_name", null), F.lit(False))
+    fileless = F.col("external") & (F.col("kind") == "external_symbol") & (F.col("file") == "")
+    bundled = F.startswith("file", F.lit("bundled://"))
+    old = ~F.startswith("id", F.lit("@v2/")) & ~F.startswith("id", F.lit("@g2/")) & ~fileless & (F.col("kind") != "file") & F.contains("id", F.lit("#"))
     found = [
-        nodes.groupBy("id").count().filter("count > 1").select(F.lit("duplicate node").alias("rule"), F.col("id").alias("subject")),
-        nodes.filter(~F.col("kind").isin(NODE_KINDS) | F.col("kind").isNull()).select(F.lit("unknown node kind"), "id"),
-        nodes.filter(F.col("file").isNull() | F.rlike("file", F.lit(r"\\|^\./|//|/\./")) & ~F.startswith("file", F.lit("bundled:///"))).select(F.lit("path is not canonical"), "id"),
-        edges.groupBy(*EDGE_KEY).count().filter("count > 1").select(F.lit("duplicate edge"), F.concat_ws(" ", *EDGE_KEY)),
-        edges.filter(~F.col("kind").isin(EDGE_KINDS) | F.col("kind").isNull()).select(F.lit("unknown edge kind"), F.concat_ws(" ", *EDGE_KEY)),
-        edges.filter(F.col("line") < 1).select(F.lit("line is not positive"), F.concat_ws(" ", *EDGE_KEY)),
-        *[edges.select(F.col(e).alias("id"), "src", "dst", "kind").join(ids, "id", "left_anti").select(F.lit(f"missing {e}"), F.concat_ws(" ", *EDGE_KEY)) for e in ("src", "dst")],
+        _rule(nodes.groupBy("id").count().filter("count > 1"), "duplicate node", "id"),
+        _rule(nodes.filter(text), "identity or name is empty", "id"),
+        _rule(nodes.filter(~F.col("kind").isin(NODE_KINDS) | F.col("kind").isNull()), "unknown node kind", "id"),
+        _rule(nodes.filter(F.col("file").isNull() | ~fileless & ~bundled & ~F.rlike("file", F.lit(_PATH))), "path is not canonical", "id"),
+        _rule(nodes.filter(old & ((F.regexp_extract("id", _ID, 2) != F.col("kind")) | ~F.startswith("id", F.concat(F.regexp_replace("file", "([#\\\\])", r"\\$1"), F.lit("#"))))), "id does not match its file and kind", "id"),
+        _rule(edges.groupBy(*EDGE_KEY).count().filter("count > 1"), "duplicate edge"),
+        _rule(edges.filter(~F.col("kind").isin(EDGE_KINDS) | F.col("kind").isNull()), "unknown edge kind"),
     ]
+    for df, subject in ((nodes, ("id",)), (edges, tuple(EDGE_KEY))):
+        if "line" in df.columns:
+            found.append(_rule(df.filter(F.col("line") < 1), "line is not positive", *subject))
+            if "end_line" in df.columns:
+                found.append(_rule(df.filter(F.col("end_line") < F.col("line")), "span ends before it begins", *subject))
+    for e in ("src", "dst"):
+        open_ends = edges.select(F.col(e).alias("id"), *EDGE_KEY).join(ids, "id", "left_anti").join(files.select(F.col("file").alias("id")), "id", "left_anti")
+        found.append(_rule(open_ends, f"missing {e}"))
+    if languages is not None:
+        found.append(_rule(nodes.filter(~F.col("language").isin(languages)), "language is not of the dump", "id"))
+    if provenance is not None:
+        found += provenance_violations(provenance, languages)
     if coverage is not None:
-        rows = coverage.groupBy("provider", "language", "target").agg(F.count_distinct("family").alias("n"))
-        found.append(rows.filter(F.col("n") != len(EDGE_KINDS)).select(F.lit("coverage is not exhaustive"), F.concat_ws(" ", "provider", "language", "target")))
+        key = ["provider", "language", "target", "family"]
+        rows = coverage.groupBy(*key[:3]).agg(F.count_distinct("family").alias("n"))
+        found.append(_rule(rows.filter(F.col("n") != len(EDGE_KINDS)), "coverage is not exhaustive", *key[:3]))
+        found.append(_rule(coverage.groupBy(*key).count().filter("count > 1"), "duplicate coverage", *key))
+        if provenance is not None:
+            said = provenance.select("provider", F.explode("languages").alias("language"))
+            found.append(_rule(said.join(coverage, ["provider", "language"], "left_anti"), "coverage is missing", "provider", "language"))
         if unresolved is not None:
-            partial = coverage.filter("state = 'partial'").select("provider", "language", "target", "family")
-            left = unresolved.join(partial, ["provider", "language", "target", "family"], "left_anti")
-            found.append(left.select(F.lit("unresolved without partial coverage"), F.concat_ws(" ", "provider", "family")).distinct())
+            left = unresolved.join(coverage.filter("state = 'partial'").select(*key), key, "left_anti")
+            found.append(_rule(left.distinct(), "unresolved without partial coverage", "provider", "family"))
+    if unresolved is not None and provenance is not None:
+        owners = provenance.select("provider", F.explode("languages").alias("language"), "universe")
+        found.append(_rule(unresolved.join(owners, ["provider", "language", "universe"], "left_anti").select("provider", "language", "universe").distinct(), "unresolved of another universe", "provider", "language"))
     return reduce(lambda a, b: a.unionAll(b), found)
 
 
+def provenance_violations(provenance: DataFrame, languages: list[str] | None = None) -> list[DataFrame]:
+    """Rules on who says what: (provider, languages, facts, capabilities, tool, schema_version, protocol_version, universe, manifest, content)."""
+    digest = r"^[0-9a-f]{64}$"
+    repeated = F.lit(False)
+    for c in ("languages", "facts", "capabilities"):
+        repeated = repeated | (F.size(c) != F.size(F.array_distinct(c)))
+    envelope = (F.size("languages") == 0) | (F.col("tool") == "") | (F.col("schema_version") < 1) | (F.col("protocol_version") < 0)
+    envelope = envelope | F.array_contains("capabilities", "") | ~F.array_contains("capabilities", "universe")
+    found = [
+        _rule(provenance.groupBy("provider").count().filter("count > 1 OR provider = ''"), "provider is empty or there twice", "provider"),
+        _rule(provenance.filter(repeated), "a list of the provider repeats itself", "provider"),
+        _rule(provenance.filter(envelope), "the producer's envelope is invalid", "provider"),
+    ]
+    found += [_rule(provenance.filter(~F.rlike(c, F.lit(digest))), f"{c} is no SHA-256", "provider") for c in ("universe", "manifest", "content")]
+    if languages is not None:
+        claimed = provenance.select("provider", F.explode("languages").alias("language")).filter(~F.col("language").isin(languages))
+        found.append(_rule(claimed, "provider claims an absent language", "provider", "language"))
+    return found
+
+
 def coverage_matrix(languages: DataFrame, supported: list[str], provider: str = "static") -> DataFrame:
     """Languages times families: partial where supported. Both sides are lists of a fixed length."""
     families = F.explode(F.array(*map(F.lit, EDGE_KINDS))).alias("family")
@@ -203,7 +301,8 @@ def coverage_matrix(languages: DataFrame, supported: list[str], provider: str =
 
 def legacy_handles(nodes: DataFrame) -> DataFrame:
     """``handle`` of each node of a semantic id: file, name (with and without arguments) and kind."""
-    names = F.array_distinct(F.array(full_name(), callable_base(full_name())))
+    bare = F.when(F.col("kind").isin("function", "method", "constructor"), callable_base(full_name())).otherwise(full_name())
+    names = F.array_distinct(F.array(full_name(), bare))
     return nodes.select("id", F.explode(names).alias("n"), "file", "kind").select("id", F.concat("file", F.lit("#"), "n", F.lit(":"), "kind").alias("handle"))
 
 

@@ -36,18 +36,33 @@ HUB = 12
 
 
 def dispatch_edges(nodes: DataFrame, edges: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
-    """Edges from a declaration without a body to what overrides or implements it, and the hubs that have too many.
+    """Edges from a declaration without a body to what overrides or implements it, and those of hubs that have too many.
 
     A declaration has no body if it runs nothing; only those that do run
-    something are dispatched to.
+    something are dispatched to. An edge has the place at which it is overridden.
     """
     runs = edges.filter(F.col("kind").isin(EXECUTION)).select(F.col("src").alias("id")).distinct()
-    up = edges.filter(F.col("kind").isin(DISPATCH_SOURCE)).select(F.col("dst").alias("base"), F.col("src").alias("impl"))
-    up = up.join(runs.withColumnRenamed("id", "impl"), "impl", "left_semi").join(runs.withColumnRenamed("id", "base"), "base", "left_anti").distinct()
-    count = up.groupBy("base").agg(F.count("*").alias("n"))
-    few = count.filter(F.col("n") < hub).select("base")
-    made = up.join(few, "base", "left_semi").select(F.col("base").alias("src"), F.col("impl").alias("dst"), F.lit("dispatches").alias("kind"))
-    return made, count.filter(F.col("n") >= hub).select(F.col("base").alias("id"), "n")
+    place = [c for c in ("line", "col") if c in edges.columns]
+    up = edges.filter(F.col("kind").isin(DISPATCH_SOURCE)).select(F.col("dst").alias("src"), F.col("src").alias("dst"), *place)
+    up = up.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    up = up.join(runs.withColumnRenamed("id", "dst"), "dst", "left_semi").join(runs.withColumnRenamed("id", "src"), "src", "left_anti")
+    up = up.groupBy("src", "dst").agg(F.min(F.struct(*place)).alias("p")) if place else up.distinct()
+    made = up.select("src", "dst", F.lit("dispatches").alias("kind"), *[F.col(f"p.{c}") for c in place])
+    few = up.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") < hub).select("src")
+    return made.join(few, "src", "left_semi"), made.join(few, "src", "left_anti")
+
+
+def open_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``degrees`` without the edges whose other end is a closure, which a tour does not show."""
+    if "closure" not in nodes.columns:
+        return degrees(edges)
+    closed = nodes.filter("closure").select("id")
+    into = edges.join(closed.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst", "kind")
+    out = edges.join(closed.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "kind")
+    left, right = degrees(into), degrees(out)
+    cols = ["in_all", "in_real", "in_exec", "export_fan_in"]
+    joined = left.select("id", *cols).join(right.select("id", "out_all", "out_real", "out_exec"), "id", "full_outer")
+    return joined.fillna(0).select("id", "in_all", "out_all", "in_real", "out_real", "in_exec", "out_exec", "export_fan_in")
 
 
 def shared_utilities(nodes: DataFrame, degree: DataFrame, fan_in: int = HUB, fan_out: int = 1) -> DataFrame:

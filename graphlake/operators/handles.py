@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,32 +24,76 @@ def suffix_index(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.contains("qualified_name", F.lit("."))).select(F.explode(ends).alias("symbol"), "id")
 
 
-def candidates(handles: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``handle``, ``tier``, ``id`` of the first tier that finds anything.
+def keys(nodes: DataFrame) -> DataFrame:
+    """``lane``, ``key``, ``id``: all that a node can be called.
 
-    0 an id, 1 file#name:kind, 2 a name (``A::b`` read as ``A.b``), 3 the end of
-    a dotted name, 4 a name without its arguments, 5 file stem and symbol.
+    ``id``; ``legacy`` (file#name:kind); ``name`` (also qualified); ``cpp``, the
+    same and their ends for C++, where ``::`` is a dot; ``suffix``, the dotted ends
+    of a qualified name; ``call``, names of callables without their arguments and
+    their dotted ends; ``stem`` and ``stem_call``, a file's stem with a name.
     """
-    h = handles.select("handle").distinct().withColumn("dotted", F.regexp_replace("handle", "::", "."))
-    legacy = nodes.select("id", F.concat("file", F.lit("#"), F.coalesce("qualified_name", "name"), F.lit(":"), "kind").alias("handle"))
-    named = symbol_index(nodes).withColumnRenamed("symbol", "dotted")
-    ends = suffix_index(nodes).withColumnRenamed("symbol", "dotted")
-    bases = nodes.filter("kind <> 'file'").select("id", callable_base(F.coalesce("qualified_name", "name")).alias("dotted"))
-    stems = nodes.filter("kind <> 'file'").select("id", F.concat(file_stem(F.col("file")), F.lit("."), F.coalesce("qualified_name", "name")).alias("dotted"))
-    tiers = [
-        h.join(nodes.select(F.col("id").alias("handle"), "id"), "handle"),
-        h.join(legacy, "handle"),
-        h.join(named, "dotted"),
-        h.join(ends, "dotted"),
-        h.join(bases, "dotted"),
-        h.join(stems, "dotted"),
+    own = nodes.filter("kind <> 'file'").withColumn("full", F.coalesce("qualified_name", F.lit("")))
+    calls = own.filter(F.col("kind").isin("function", "method", "constructor"))
+    calls = calls.select("id", "file", callable_base(F.col("name")).alias("name"), callable_base(F.col("full")).alias("full"))
+    cpp = own.filter("language = 'cpp'").select("id", F.regexp_replace("name", "::", ".").alias("name"), F.regexp_replace("full", "::", ".").alias("full"))
+    both = lambda df, lane: df.select(F.lit(lane).alias("lane"), F.explode(F.array("name", "full")).alias("key"), "id")
+    ends = lambda df, lane: suffix_index(df.select("id", F.col("full").alias("qualified_name"))).select(F.lit(lane).alias("lane"), F.col("symbol").alias("key"), "id")
+    stem = lambda df: df.withColumns({c: F.when(F.col(c) != "", F.concat(file_stem(F.col("file")), F.lit("."), c)).otherwise("") for c in ("name", "full")})
+    every = [
+        nodes.select(F.lit("id").alias("lane"), F.col("id").alias("key"), "id"),
+        own.select(F.lit("legacy").alias("lane"), F.concat("file", F.lit("#"), F.coalesce("qualified_name", "name"), F.lit(":"), "kind").alias("key"), "id"),
+        both(own, "name"),
+        both(cpp, "cpp"),
+        ends(cpp, "cpp"),
+        ends(own, "suffix"),
+        both(calls, "call"),
+        ends(calls, "call").filter(F.contains("key", F.lit("."))),
+        both(stem(own), "stem"),
+        both(stem(calls), "stem_call"),
     ]
-    every = None
-    for rank, tier in enumerate(tiers):
-        rows = tier.select("handle", F.lit(rank).alias("tier"), "id").distinct()
-        every = rows if every is None else every.unionAll(rows)
-    best = F.min("tier").over(W.partitionBy("handle"))
-    return every.withColumn("best", best).filter("tier = best").drop("best")
+    return reduce(lambda a, b: a.unionAll(b), every).filter("key <> ''")
+
+
+def tries(handles: DataFrame) -> DataFrame:
+    """``handle``, ``tier``, ``lane``, ``key``: how a handle may be read, in the order in which readings are tried.
+
+    As an id; as a name, first as it is written, then with dots for ``::``; as a
+    file's stem and a name; and at last its member alone, for which what comes
+    before the last dot is a value.
+    """
+    h, dotted = F.col("handle"), F.regexp_replace("handle", "::", ".")
+    again = F.contains(h, F.lit("::"))
+
+    def member(form: Column) -> Column:
+        symbol = F.regexp_replace(F.substring_index(form, "#", -1), ":[^:]*$", "")
+        dot = F.when(F.rlike(form, F.lit(r"^.+\.[^.]+$")), F.substring_index(form, ".", -1))
+        return F.when(F.contains(form, F.lit("#")), F.when(symbol != "", symbol)).otherwise(dot)
+
+    def named(form: Column) -> list[tuple[str, Column]]:
+        has = F.contains(form, F.lit("."))
+        return [
+            ("name", form),
+            ("cpp", F.when(has | F.contains(form, F.lit("::")), F.regexp_replace(form, "::", "."))),
+            ("suffix", F.when(has, form)),
+            ("call", F.when(~F.contains(form, F.lit("(")), form)),
+        ]
+
+    def filed(form: Column) -> list[tuple[str, Column]]:
+        split = F.rlike(form, F.lit(r"^[^.]+\..")) & F.lit(True)
+        key = F.when(split, F.concat(F.lower(F.regexp_extract(form, r"^([^.]+)\.", 1)), F.lit("."), F.regexp_extract(form, r"(?s)^[^.]+\.(.*)$", 1)))
+        return [("stem", key), ("stem_call", F.when(~F.contains(form, F.lit("(")), key))]
+
+    second = F.when(again, dotted)
+    order = [("id", h), ("legacy", h), *named(h), *named(second), *filed(h), *filed(second), *named(member(h)), *named(member(second))]
+    each = F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(lane).alias("lane"), key.alias("key")) for i, (lane, key) in enumerate(order)])
+    return handles.select("handle").distinct().select("handle", F.explode(each).alias("t")).select("handle", "t.tier", "t.lane", "t.key").filter("key <> ''")
+
+
+def candidates(handles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``handle``, ``tier``, ``id`` of the first reading that finds anything (``tries``, ``keys``): one join for all readings."""
+    found = tries(handles).join(keys(nodes), ["lane", "key"]).select("handle", "tier", "id").distinct()
+    best = found.groupBy("handle").agg(F.min("tier").alias("tier"))
+    return found.join(best, ["handle", "tier"])
 
 
 def rank_candidates(found: DataFrame, nodes: DataFrame, degree: DataFrame, limit: int = 12) -> DataFrame:

@@ -9,17 +9,23 @@ from graphlake.functions.text import dirname
 
 
 def inspect(nodes: DataFrame, edges: DataFrame, query: str | None = None, relations: list[str] | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Nodes whose id, name or coordinate is the query (or all), their neighbours, and the edges between what is kept."""
+    """Nodes whose id, name or coordinate is the query (or all), what an edge ties to them, and the edges that touch one of them.
+
+    The limit cuts the hits first; what is left of it goes to their neighbours.
+    Edges are kept if both their ends are.
+    """
     limit = max(1, min(500, limit))
-    hits = nodes if query is None else nodes.filter((F.col("id") == query) | (F.col("name") == query) | (F.col("coordinate") == query))
+    query = (query or "").strip()
+    hits = nodes if not query else nodes.filter((F.col("id") == query) | (F.col("name") == query) | (F.col("coordinate") == query))
+    seeds = hits.select("id").orderBy("id").limit(limit)  # at most 500 rows
     used = edges.filter(F.col("kind").isin(relations)) if relations else edges
-    ids = hits.select("id")
-    near = used.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
-    near = near.unionAll(used.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src"))
-    rank = ids.select("id", F.lit(0).alias("hop")).unionAll(near.select("id", F.lit(1))).groupBy("id").agg(F.min("hop").alias("hop"))
+    ends = [used.join(F.broadcast(seeds.select(F.col("id").alias(e))), e, "left_semi").select(*used.columns) for e in ("src", "dst")]
+    used = ends[0].unionByName(ends[1]).distinct()
+    near = used.select(F.explode(F.array("src", "dst")).alias("id"), F.lit(1).alias("hop"))
+    rank = seeds.select("id", F.lit(0).alias("hop")).unionByName(near).groupBy("id").agg(F.min("hop").alias("hop"))
     kept = nodes.join(rank, "id").orderBy("hop", "id").limit(limit)
     for end in ("src", "dst"):
-        used = used.join(kept.select(F.col("id").alias(end)), end, "left_semi")
+        used = used.join(F.broadcast(kept.select(F.col("id").alias(end))), end, "left_semi")  # at most 500 rows
     return kept, used
 
 
@@ -42,5 +48,19 @@ def file_joins(nodes: DataFrame, files: DataFrame, limit: int | None = None) ->
     return every if limit is None else every.orderBy("id", "file").limit(max(0, min(500, limit)))
 
 
+def fence(code_project: str, topology_project: str, generation: str | None, confirmed: str | None, published: bool) -> dict[str, str | None]:
+    """Whether files of a topology may be tied to code: one project, a topology that was published, and code that stood still while it was read."""
+    reason = None
+    if code_project != topology_project:
+        reason = "the code and the topology are of different projects"
+    elif not published:
+        reason = "no provider published a topology"
+    elif generation is None:
+        reason = "the code says no input generation"
+    elif generation != confirmed:
+        reason = "the code moved while the topology was read"
+    return {"state": "unavailable" if reason else "compatible", "codeInputGeneration": generation, "reason": reason}
+
+
 def verdict(n_nodes: int, n_hits: int) -> str:
     return "outside" if not n_nodes else "answer" if n_hits else "clarify"

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphlake.functions.text import is_external, is_support_path, is_test_path, matched_terms, shared_path_depth, subwords
-from graphlake.operators.degrees import dispatch_edges
-from graphlake.operators.trace import reach
-from graphlake.schema import EXECUTION, INVOKE
+from graphlake.functions.text import is_private_like, is_production, is_support_path, is_test_path, matched_terms, shared_path_depth, stem_word, subwords
+from graphlake.operators.lookup import query_words
+from graphlake.schema import DISPATCH_SOURCE, INVOKE, STRUCTURAL
 from graphlake.sources.shared import materialize
 
 REACH_DEPTH, REACH_NODES = 4, 400
+#: Of the seeds of a tour, the share of those that the caller named.
+NAMED_SHARE = 0.5
+#: Of a flow, the share that an earlier flow has told, from which on it is the same story.
+OVERLAP = 0.6
+# Kinds of declarations that a tour may begin at, those of them that must run something, and those that a flow starts from.
+SEED_KINDS = "class function method constructor property field variable module namespace enum".split()
+DATA_KINDS = "property field".split()
+FLOW_KINDS = "function method constructor property field variable".split()
 
 
 def public_fan_in(nodes: DataFrame, edges: DataFrame, degree: DataFrame) -> DataFrame:
@@ -28,10 +36,24 @@ def public_fan_in(nodes: DataFrame, edges: DataFrame, degree: DataFrame) -> Data
     return joined.select("id", F.greatest(F.coalesce("export_fan_in", F.lit(0)), F.coalesce("of_owner", F.lit(0))).alias("public_fan_in"))
 
 
+def _production(nodes: DataFrame) -> DataFrame:
+    return nodes.filter(is_production(F.col("external"), F.col("ignored"), F.col("file")))
+
+
+def invocations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``src``, ``dst``: what makes what run, among production code.
+
+    A declaration that invokes nothing leads to what overrides or implements it.
+    """
+    invoke = edges.filter(F.col("kind").isin(INVOKE)).select("src", "dst")
+    up = edges.filter(F.col("kind").isin(DISPATCH_SOURCE)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    every = invoke.unionAll(up.join(invoke.select("src").distinct(), "src", "left_anti")).distinct()
+    return every.join(_production(nodes).select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
 def files_reached(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = REACH_DEPTH, budget: int = REACH_NODES) -> DataFrame:
-    """``seed``, ``files``: distinct files within ``depth`` invocations; a seed that has seen ``budget`` nodes goes no further."""
-    made, _ = dispatch_edges(nodes, edges)
-    hop = edges.filter(F.col("kind").isin(INVOKE)).select("src", "dst").unionAll(made.select("src", "dst")).distinct()
+    """``seed``, ``files``: distinct files of what lies within ``depth`` invocations; a seed that has seen ``budget`` nodes goes no further."""
+    hop = materialize(invocations(nodes, edges), "hop")  # every level reads it
     found = frontier = materialize(seeds.select(F.col("id").alias("seed"), "id"), "reach")
     for level in range(1, depth + 1):
         if level > 1:
@@ -40,57 +62,104 @@ def files_reached(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: i
         nxt = frontier.join(hop.withColumnRenamed("src", "id"), "id").select("seed", F.col("dst").alias("id")).distinct()
         frontier = materialize(nxt.join(found, ["seed", "id"], "left_anti"), "reach")
         found = found.unionByName(frontier)
-    return found.join(nodes.select("id", "file"), "id").groupBy("seed").agg(F.count_distinct("file").alias("files"))
+    file = F.when(F.col("seed") != F.col("id"), F.col("file"))
+    return found.join(nodes.select("id", "file"), "id").groupBy("seed").agg(F.count_distinct(file).alias("files"))
 
 
 def centrality(nodes: DataFrame, edges: DataFrame, degree: DataFrame) -> DataFrame:
-    """``id``, ``centrality`` (0 to 100) of public production declarations: how public, times how far or how often used."""
-    own = nodes.filter(~is_external(F.col("external"), F.col("file")) & ~F.col("ignored") & ~is_support_path(F.col("file")) & ~is_test_path(F.col("file")) & (F.col("kind") != "file"))
+    """``id``, ``centrality`` (0 to 100) of public production declarations: how public, times how far they reach or how often they are invoked."""
+    own = _production(nodes).select("id")
+    callers = edges.filter(F.col("kind").isin(INVOKE)).join(own.withColumnRenamed("id", "src"), "src", "left_semi")
+    fan_in = callers.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("fan_in"))
     surface = public_fan_in(nodes, edges, degree).filter("public_fan_in > 0")
-    seeds = materialize(own.select("id").join(surface, "id").join(degree.select("id", "in_exec"), "id", "left").fillna(0, ["in_exec"]), "seeds")
+    seeds = materialize(own.join(surface, "id").join(fan_in, "id", "left").fillna(0, ["fan_in"]), "seeds")
     far = files_reached(seeds, nodes, edges)
-    joined = seeds.join(far.withColumnRenamed("seed", "id"), "id", "left").fillna(0, ["files"])
-    most = joined.agg(F.greatest(F.lit(1), F.max("files")).alias("f"), F.greatest(F.lit(1), F.max("in_exec")).alias("e"))
+    joined = materialize(seeds.join(far.withColumnRenamed("seed", "id"), "id", "left").fillna(0, ["files"]), "load")
+    most = joined.agg(F.greatest(F.lit(1), F.max("files")).alias("f"), F.greatest(F.lit(1), F.max("fan_in")).alias("e"))
     raw = joined.crossJoin(F.broadcast(most)).select(  # one row
-        "id", (F.log2(1 + F.col("public_fan_in")) * F.greatest(F.col("files") / F.col("f"), F.col("in_exec") / F.col("e"))).alias("raw")
+        "id", (F.log2(1 + F.col("public_fan_in")) * F.greatest(F.col("files") / F.col("f"), F.col("fan_in") / F.col("e"))).alias("raw")
     )
     top = raw.agg(F.max("raw").alias("top"))
     return raw.crossJoin(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.round(100 * F.col("raw") / F.col("top"), 4)).otherwise(0.0).alias("centrality"))
 
 
+def seed_candidates(nodes: DataFrame, degree: DataFrame) -> DataFrame:
+    """The nodes that a tour may begin at: with a place, of production code, no closures, and data only if it runs something."""
+    own = nodes.filter(F.col("kind").isin(SEED_KINDS) & ~F.col("external") & ~F.col("ignored") & F.col("line").isNotNull() & ~is_support_path(F.col("file")))
+    if "closure" in nodes.columns:
+        own = own.filter(~F.coalesce("closure", F.lit(False)))
+    runs = degree.filter("out_exec > 0").select("id").withColumn("__runs", F.lit(True))
+    return own.join(runs, "id", "left").filter(~F.col("kind").isin(DATA_KINDS) | F.col("__runs")).drop("__runs")
+
+
+def query_terms(texts: list[str], project: str = "") -> list[str]:
+    """The words of the names that a caller gave: over two letters, none that the project's own name holds, each once."""
+    words = [w for text in texts for w in query_words(text) if len(w) > 2 and w not in project.lower()]
+    return list(dict.fromkeys(words))
+
+
 def seed_scores(nodes: DataFrame, central: DataFrame, terms: list[str]) -> DataFrame:
-    """``id``, ``file``, ``score``, ``terms`` of the declarations a tour could begin at."""
+    """``id``, ``name``, ``file``, ``score``, ``terms`` of the declarations a tour could begin at."""
     array = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    own = nodes.join(central, "id").withColumn("terms", matched_terms(subwords(F.col("name")), array))
-    named, filed = 8.0 * F.size("terms"), 2.0 * F.size(matched_terms(subwords(F.col("file")), array))
-    if terms:
-        align = F.when(named + filed >= 24, 1.45).when(named + filed >= 8, 1.15).otherwise(0.45)
-    else:
-        align = F.lit(1.0)
-    damp = F.when(F.startswith("name", F.lit("_")), 0.25).otherwise(1.0)
-    return own.select("id", "name", "file", "terms", F.round((F.col("centrality") + named + filed) * align * damp, 6).alias("score")).filter("score > 0")
+    full = F.coalesce("qualified_name", "name")
+    words = F.concat(subwords(F.col("name")), subwords(F.coalesce("qualified_name", F.lit(""))))
+    own = nodes.join(central, "id", "left").fillna(0.0, ["centrality"]).withColumn("terms", matched_terms(words, array))
+    match = 8.0 * F.size("terms") + 2.0 * F.size(matched_terms(subwords(F.col("file")), array))
+    align = F.when(match >= 24, 1.45).when(match >= 8, 1.15).otherwise(0.45) if terms else F.lit(1.0)
+    damp = F.when(is_private_like(full), 0.25).otherwise(1.0)
+    return own.select("id", "name", "file", "terms", F.round((F.col("centrality") + match) * align * damp, 6).alias("score")).filter("score > 0")
+
 
+def pick_diverse(scored: DataFrame, limit: int = 5, terms: list[str] | None = None) -> list[str]:
+    """Greedy choice: newly covered terms first, then score; none that restates a chosen one.
 
-def pick_diverse(scored: DataFrame, limit: int = 5) -> list[str]:
-    """Greedy choice: newly covered terms first, then score; no second name of one file that begins alike.
+    A name restates another of its file if the stems of one are the beginning of
+    the other's. Without ``terms`` (by default all that anything matches) the
+    choice is the order of scores alone.
 
     The choice is sequential by nature: each step is a look through all
     candidates that are left, of which one row comes to the driver.
     """
-    left = materialize(scored.select("id", "name", "file", "terms", "score"), "candidates")
+    if terms is not None and not terms:
+        return [r["id"] for r in scored.orderBy(F.desc("score"), "id").limit(limit).collect()]
+    stems = F.transform(subwords(F.col("name")), stem_word)
+    left = materialize(scored.select("id", "file", "terms", "score", stems.alias("stems")), "candidates")
     chosen, covered = [], set()
     while len(chosen) < limit:
         new = F.size(F.array_except("terms", F.array(*map(F.lit, sorted(covered))).cast("array<string>")))
-        best = left.orderBy(F.desc(120 * new + F.col("score")), "id").first()
+        best = left.orderBy(F.desc(120 * new + F.col("score")), F.desc("score"), "id").first()
         if best is None:
             break
         chosen.append(best["id"])
         covered |= set(best["terms"])
-        alike = (F.col("file") == best["file"]) & F.startswith(F.lower("name"), F.lower(F.lit(best["name"])))
-        left = left.filter((F.col("id") != best["id"]) & ~F.coalesce(alike, F.lit(False)))
+        own = F.array(*map(F.lit, best["stems"])).cast("array<string>")
+        n = F.least(F.size("stems"), F.lit(len(best["stems"])))
+        restates = (F.col("file") == best["file"]) & (n > 0) & (F.slice("stems", 1, n) == F.slice(own, 1, n))
+        left = left.filter((F.col("id") != best["id"]) & ~F.coalesce(restates, F.lit(False)))
     return chosen
 
 
+def mix_seeds(mentioned: list[str], hits: list[str], named: list[str], central: list[str], explicit: bool, allowed: set[str], limit: int) -> list[str]:
+    """The seeds of a tour: what the question mentions, what it spells out, a share of what the caller named, then what is central.
+
+    Only those in ``allowed`` are taken; without any, the hits are tried.
+    """
+    share = int(limit * NAMED_SHARE)
+    order = [*mentioned, *(hits if explicit else []), *named[:share], *central]
+    seeds = list(dict.fromkeys(i for i in order if i in allowed)) or list(dict.fromkeys(i for i in hits if i in allowed))
+    return seeds[:limit]
+
+
+def tells_anew(landed: set[str], told: list[set[str]]) -> bool:
+    """Whether a flow lands elsewhere than each told one, by the share of the smaller of the two."""
+    return bool(landed) and all(o and len(landed & o) / min(len(landed), len(o)) < OVERLAP for o in told)
+
+
+def flow_hops(hops: list[tuple], hidden: set[str]) -> list[tuple]:
+    """The hops of a flow that a tour shows: not structural, no end that is hidden, and none into a shared utility (also hidden as an end)."""
+    return [h for h in hops if h[2] not in STRUCTURAL and h[0] not in hidden and h[1] not in hidden]
+
+
 def nearby(seeds: list[str], tables: list[DataFrame], limit: int = 10) -> list[str]:
     """Neighbours of the seeds in turn: the first of each, then the second of each, and so on."""
     out: dict[str, None] = {}
@@ -106,19 +175,33 @@ def nearby(seeds: list[str], tables: list[DataFrame], limit: int = 10) -> list[s
 
 
 def test_anchors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 8) -> DataFrame:
-    """Callers in test files, the nearest by path first."""
+    """``seed``, ``id``, ``kind``, ``near`` of what test files hold of edges to the seeds, of each seed the nearest by path first."""
     n = nodes.select("id", "file")
-    calls = edges.filter(F.col("kind").isin([*EXECUTION, "tests", "references"])).join(seeds.select(F.col("id").alias("dst")), "dst", "left_semi")
-    joined = calls.join(n.withColumnRenamed("id", "src").withColumnRenamed("file", "test"), "src").join(n.withColumnRenamed("id", "dst"), "dst")
-    near = joined.filter(is_test_path(F.col("test"))).select(F.col("src").alias("id"), "test", shared_path_depth(F.col("test"), F.col("file")).alias("near"))
-    return near.groupBy("id", "test").agg(F.max("near").alias("near")).orderBy(F.desc("near"), "id").limit(limit)
+    own = seeds.select(F.col("id").alias("dst")).distinct().join(n.withColumnRenamed("id", "dst"), "dst")
+    tests = nodes.filter(is_test_path(F.col("file"))).select(F.col("id").alias("src"), F.col("file").alias("test"))
+    joined = edges.join(own, "dst").join(tests, "src")
+    near = joined.select(F.col("dst").alias("seed"), F.col("src").alias("id"), "kind", shared_path_depth(F.col("file"), F.col("test")).alias("near")).distinct()
+    order = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("near"), "id", "kind"))
+    return near.withColumn("r", order).filter(F.col("r") <= limit).drop("r")
+
+
+def unique_anchors(anchors: list[dict], limit: int = 14) -> list[dict]:
+    """Anchors in order, one of each file, line, name and reason."""
+    by = {(a.get("file"), a.get("line"), a.get("name"), a.get("reason")): a for a in reversed(anchors)}
+    first = {id(a) for a in by.values()}
+    return [a for a in anchors if id(a) in first][:limit]
 
 
 def invocation_sites(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id``, ``sites``: distinct places of each kind from which production code is invoked."""
-    own = nodes.filter(~F.col("external") & ~is_support_path(F.col("file"))).select(F.col("id").alias("dst"))
-    e = edges.filter(F.col("kind").isin(INVOKE)).join(own, "dst", "left_semi")
-    return e.groupBy(F.col("dst").alias("id")).agg(F.count_distinct(F.struct("kind", "src", F.coalesce("line", F.lit(0)))).alias("sites"))
+    """``id``, ``sites``: at how many places each node invokes production code other than itself.
+
+    Edges of one kind at one place are one site; an edge without a place is one for each target.
+    """
+    own = _production(nodes).select(F.col("id").alias("dst"))
+    e = edges.filter(F.col("kind").isin(INVOKE) & (F.col("src") != F.col("dst"))).join(own, "dst", "left_semi")
+    column = F.coalesce(F.col("col") if "col" in edges.columns else F.lit(None).cast("int"), F.lit(0))
+    site = F.struct("kind", "line", F.when(F.col("line").isNull(), F.col("dst")).alias("to"), F.when(F.col("line").isNotNull(), column).alias("col"))
+    return e.groupBy(F.col("src").alias("id")).agg(F.count_distinct(site).alias("sites"))
 
 
-__all__ = ["centrality", "files_reached", "invocation_sites", "nearby", "pick_diverse", "public_fan_in", "reach", "seed_scores", "test_anchors"]
+__all__ = ["centrality", "files_reached", "invocation_sites", "mix_seeds", "nearby", "pick_diverse", "public_fan_in", "query_terms", "seed_candidates", "seed_scores", "test_anchors", "unique_anchors"]

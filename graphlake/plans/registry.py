@@ -60,27 +60,45 @@ def overview_counts(spark, sf, nodes, edges):
     return overview.counts(nodes)
 
 
+SHOWN = "coalesce(qualified_name, name)"
+
+
 @query("""
 SELECT regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir, count(DISTINCT file) AS files, sum(exported::INT)::BIGINT AS exported
-FROM nodes WHERE NOT external AND NOT ignored GROUP BY 1 ORDER BY files DESC, dir LIMIT 10
+FROM nodes JOIN flags USING (id) WHERE NOT external AND NOT ignored AND NOT support GROUP BY 1 ORDER BY files DESC, dir LIMIT 10
 """)
 def overview_layers(spark, sf, nodes, edges):
     return overview.layers(nodes)
 
 
-@query(f"WITH {DEGREE} SELECT nodes.id, name, kind, in_real AS fan_in, out_real AS fan_out FROM nodes JOIN degree USING (id) WHERE NOT external AND in_real + out_real > 0 ORDER BY in_real + out_real DESC, id LIMIT 10")
+@query("SELECT count(*) FILTER (WHERE kind = 'file') AS files, count(*) AS nodes, (SELECT count(*) FROM edges) AS edges FROM nodes")
+def overview_totals(spark, sf, nodes, edges):
+    return overview.totals(nodes, edges)
+
+
+@query(f"""
+WITH {DEGREE} SELECT nodes.id, {SHOWN} AS name, kind, in_real AS fan_in, out_real AS fan_out FROM nodes JOIN flags USING (id) JOIN degree USING (id)
+WHERE NOT external AND NOT ignored AND NOT support AND in_real + out_real > 0 ORDER BY in_real + out_real DESC, id LIMIT 10
+""")
 def overview_hotspots(spark, sf, nodes, edges):
     return overview.hotspots(nodes, degrees.degrees(edges))
 
 
-@query(f"""
-WITH {DEGREE} SELECT nodes.id, name, kind, file, coalesce(in_real + out_real, 0) AS degree FROM nodes LEFT JOIN degree USING (id)
-WHERE exported AND NOT external AND kind IN ('class', 'interface', 'function', 'type', 'enum') ORDER BY degree DESC, id LIMIT 15
+@query(rf"""
+WITH {DEGREE} SELECT nodes.id, {SHOWN} AS name, kind, file, coalesce(in_real + out_real, 0) AS degree FROM nodes JOIN flags USING (id) LEFT JOIN degree USING (id)
+WHERE exported AND NOT external AND kind IN ('class', 'interface', 'function', 'type', 'enum') AND NOT support AND NOT regexp_matches(file, '(^|/|\.)typings\.[cm]?ts$|(^|/)internal/')
+ORDER BY degree DESC, id LIMIT 15
 """)
 def overview_public_api(spark, sf, nodes, edges):
     return overview.public_api(nodes, degrees.degrees(edges))
 
 
+@query("SELECT id, test AS is_test, support AS is_support, outside AS is_external FROM flags")
+def path_classes(spark, sf, nodes, edges):
+    file = F.col("file")
+    return nodes.select("id", X.is_test_path(file).alias("is_test"), X.is_support_path(file).alias("is_support"), X.is_external(F.col("external"), file).alias("is_external"))
+
+
 @query(f"WITH {DEGREE} SELECT * FROM degree")
 def degree_real(spark, sf, nodes, edges):
     return degrees.degrees(edges)
@@ -91,54 +109,105 @@ def export_fan_in(spark, sf, nodes, edges):
     return degrees.export_fan_in(edges)
 
 
-LOOKUP = "supplier 7 class"
 WORDS = "list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+'), lambda w: len(w) > 0), lambda w: lower(w))"
 
 
-def _lookup_sql() -> str:
-    full = "coalesce(qualified_name, name)"
-    hit = "CASE WHEN list_contains(nw, '{0}') THEN 12 WHEN list_contains(fw, '{0}') THEN 8 WHEN contains(lower(f), '{0}') THEN 5 WHEN contains(lower(file), '{0}') THEN 3 ELSE 0 END"
-    terms = lookup.query_words(LOOKUP)
-    hits = [hit.format(t) for t in terms]
-    whole = LOOKUP.lower()
+def _lookup_sql(whole: str, terms: list[str], codes: list[str], kinds: list[str], internal: bool, support: bool) -> str:
+    """The score in SQL, for a query whose words, spelled-out names and wishes are given."""
+    hit = "CASE WHEN list_contains(nw, '{0}') THEN 12 WHEN list_contains(fw, '{0}') THEN 8 WHEN contains(n, '{0}') THEN 5 WHEN list_contains(pw, '{0}') THEN 3 ELSE 0 END"
+    inside = "(list_contains(nw, '{0}') OR list_contains(fw, '{0}') OR contains(n, '{0}'))"
+    code = "CASE WHEN n = '{0}' OR q = '{0}' THEN 110 WHEN ends_with(q, '.{0}') THEN 95 WHEN contains('{0}', '.') AND ends_with(q, '{0}') THEN 85 ELSE 0 END"
+    asked = f"CASE WHEN kind IN ({', '.join(repr(k) for k in kinds)}) THEN 16 ELSE 0 END" if kinds else "0"
     return f"""
 WITH {DEGREE}, named AS (
-  SELECT *, {full} AS f, {WORDS.format('name')} AS nw, {WORDS.format(full)} AS fw FROM nodes WHERE NOT external
+  SELECT nodes.*, test, support, lower(name) AS n, lower({SHOWN}) AS q, {WORDS.format('name')} AS nw, {WORDS.format(SHOWN)} AS fw, {WORDS.format('file')} AS pw
+  FROM nodes JOIN flags USING (id) WHERE NOT outside
 ), based AS (
-  SELECT *, (CASE WHEN lower(name) = '{whole}' OR lower(f) = '{whole}' THEN 100 WHEN ends_with(lower(f), '.{whole}') THEN 85 WHEN contains('{whole}', '.' || lower(name)) THEN 60 ELSE 0 END)
-    + {" + ".join(hits)} + CASE WHEN {" AND ".join(f"({h}) > 0" for h in hits)} THEN 10 ELSE 0 END
-    + CASE WHEN starts_with(lower(name), '{terms[0]}') THEN 4 ELSE 0 END AS base FROM named
+  SELECT *, CASE WHEN n = '{whole}' OR q = '{whole}' THEN 100 WHEN contains(q, '.') AND contains('{whole}', q) THEN 85 WHEN contains('{whole}', '.') AND contains(q, '{whole}') THEN 60 ELSE 0 END
+    + {" + ".join([hit.format(t) for t in terms] + [code.format(c) for c in codes])} + {asked}
+    + CASE WHEN {" AND ".join(inside.format(t) for t in terms)} THEN 10 ELSE 0 END + CASE WHEN starts_with(n, '{terms[0]}') THEN 4 ELSE 0 END AS base FROM named
 ), scored AS (
-  SELECT id, file, floor(round((base + CASE WHEN kind = 'class' THEN 16 ELSE 0 END + least(8, 2 * log2(1 + coalesce(in_real + out_real, 0))))
-    * (1 + least(0.4, 0.14 * log2(1 + coalesce(export_fan_in, 0)))) * CASE WHEN ignored THEN 0.3 ELSE 1 END, 6) + 0.5)::BIGINT AS score
+  SELECT id, file, floor(round((base + least(8, 2 * log2(1 + coalesce(in_real + out_real, 0)))) * (1 + least(0.4, 0.14 * log2(1 + coalesce(export_fan_in, 0))))
+    * CASE WHEN ignored THEN 0.3 ELSE 1 END * CASE WHEN test THEN 0.7 ELSE 1 END * CASE WHEN support AND NOT {support} THEN 0.35 ELSE 1 END
+    * CASE WHEN NOT {internal} AND (starts_with({SHOWN}, '_') OR contains({SHOWN}, '._') OR list_has_any(fw, ['internal', 'internals'])) THEN 0.82 ELSE 1 END, 6) + 0.5)::BIGINT AS score
   FROM based LEFT JOIN degree USING (id) WHERE base > 0
 )
 """
 
 
-@query(_lookup_sql() + " SELECT * FROM scored")
+LOOKUP = "supplier 7 class"
+LOOKUP_SQL = _lookup_sql("supplier 7 class", ["supplier", "7", "class"], [], ["class"], False, False)
+#: Spells out names, asks for two kinds, for tests and for what is internal; one word stands twice.
+SPELLED = "`order7` method or Customer.order12 function in internal tests, order7"
+SPELLED_SQL = _lookup_sql(
+    "`order7` method or customer.order12 function in internal tests, order7",
+    ["order7", "method", "or", "customer", "order12", "function", "in", "internal", "tests", "order7"], ["order7", "order12", "customer.order12"],
+    ["constructor", "function", "method", "variable"], True, True,
+)
+PER_FILE = ", ranked AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, id) AS r FROM scored) SELECT id, file, score FROM ranked WHERE r <= 3 ORDER BY score DESC, id LIMIT 5"
+
+
+@query(LOOKUP_SQL + " SELECT * FROM scored")
 def lookup_score(spark, sf, nodes, edges):
     return lookup.score(nodes, degrees.degrees(edges), LOOKUP)
 
 
-@query(_lookup_sql() + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, id) AS r FROM scored) SELECT id, file, score FROM ranked WHERE r <= 3 ORDER BY score DESC, id LIMIT 5")
+@query(SPELLED_SQL + " SELECT * FROM scored")
+def lookup_spelled(spark, sf, nodes, edges):
+    return lookup.score(nodes, degrees.degrees(edges), SPELLED)
+
+
+@query(LOOKUP_SQL + PER_FILE)
 def lookup_topk_per_file(spark, sf, nodes, edges):
     return lookup.lookup(nodes, degrees.degrees(edges), LOOKUP)
 
 
 def _handles(nodes: DataFrame) -> DataFrame:
-    """Names of every kind: ids, names, dotted ends, and some that nothing has."""
-    return nodes.filter(F.col("kind").isin("class", "module")).select(F.explode(F.array("id", "name", F.concat(F.lit("no."), "name"))).alias("handle"))
+    """Ids, names, old handles, dotted ends, names without arguments, names in a file, other spellings, and some that nothing has."""
+    full, base = F.coalesce("qualified_name", "name"), F.split_part("name", F.lit("("), F.lit(1))
+    types = nodes.filter(F.col("kind").isin("class", "module")).select(F.explode(F.array("id", "name", F.concat(F.lit("no."), "name"), F.concat("file", F.lit("#"), full, F.lit(":"), "kind"))))
+    some = nodes.filter("kind = 'method' AND line % 50 = 0")
+    calls = some.select(F.explode(F.array(base, F.concat(F.split_part("qualified_name", F.lit("."), F.lit(1)), F.lit("."), base), F.concat(X.file_stem(F.col("file")), F.lit("."), base), F.concat(F.upper(X.file_stem(F.col("file"))), F.lit("."), "name"))))
+    cpp = nodes.filter("language = 'cpp'").select(F.explode(F.array(F.regexp_replace("qualified_name", "::", "."), "qualified_name")))
+    return types.unionAll(calls).unionAll(cpp).toDF("handle")
 
 
-HANDLES = "asked AS (SELECT DISTINCT unnest([id, name, 'no.' || name]) AS handle FROM nodes WHERE kind IN ('class', 'module'))"
+STEM = "lower(regexp_replace(regexp_extract(file, '[^/]*$'), '(.)\\.[^.]*$', '\\1'))"
+ENDS = "SELECT id, unnest(list_transform(range(2, len(parts) + 1), lambda i: array_to_string(parts[i:], '.'))) AS key FROM (SELECT id, string_split({0}, '.') AS parts FROM {1})"
 CANDIDATES = f"""
-{HANDLES}, tiers AS (
-  SELECT handle, 0 AS tier, id FROM asked JOIN nodes ON id = handle
-  UNION SELECT handle, 2, id FROM asked JOIN nodes ON name = handle
-  UNION SELECT handle, 2, id FROM asked JOIN nodes ON qualified_name = handle
-  UNION SELECT handle, 3, id FROM asked JOIN nodes ON ends_with(qualified_name, '.' || handle)
-), firsts AS (SELECT handle, min(tier) AS tier FROM tiers GROUP BY handle),
+asked AS (
+  SELECT DISTINCT unnest([id, name, 'no.' || name, file || '#' || {SHOWN} || ':' || kind]) AS handle FROM nodes WHERE kind IN ('class', 'module')
+  UNION SELECT unnest([split_part(name, '(', 1), split_part(qualified_name, '.', 1) || '.' || split_part(name, '(', 1), {STEM} || '.' || split_part(name, '(', 1), upper({STEM}) || '.' || name]) FROM nodes WHERE kind = 'method' AND line % 50 = 0
+  UNION SELECT unnest([replace(qualified_name, '::', '.'), qualified_name]) FROM nodes WHERE language = 'cpp'
+), calls AS (
+  SELECT id, file, rtrim(split_part(name, '(', 1)) AS base, rtrim(split_part(coalesce(qualified_name, ''), '(', 1)) AS qualified FROM nodes WHERE kind IN ('function', 'method', 'constructor')
+), cpp AS (
+  SELECT id, replace(name, '::', '.') AS base, replace(coalesce(qualified_name, ''), '::', '.') AS qualified FROM nodes WHERE language = 'cpp'
+), keys AS (
+  SELECT 'id' AS lane, id AS key, id FROM nodes
+  UNION ALL SELECT 'legacy', file || '#' || {SHOWN} || ':' || kind, id FROM nodes
+  UNION ALL SELECT 'name', unnest([name, qualified_name]), id FROM nodes
+  UNION ALL SELECT 'cpp', unnest([base, qualified]), id FROM cpp UNION ALL SELECT 'cpp', key, id FROM ({ENDS.format('qualified', 'cpp')})
+  UNION ALL SELECT 'suffix', key, id FROM ({ENDS.format('qualified_name', 'nodes')})
+  UNION ALL SELECT 'call', unnest([base, qualified]), id FROM calls UNION ALL SELECT 'call', key, id FROM ({ENDS.format('qualified', 'calls')}) WHERE contains(key, '.')
+  UNION ALL SELECT 'stem', {STEM} || '.' || unnest([name, qualified_name]), id FROM nodes
+  UNION ALL SELECT 'stem_call', {STEM} || '.' || unnest([base, nullif(qualified, '')]), id FROM calls
+), forms AS (
+  SELECT handle, 0 AS second, handle AS form FROM asked UNION ALL SELECT handle, 1, replace(handle, '::', '.') FROM asked WHERE contains(handle, '::')
+), readings AS (
+  SELECT handle, 2 + 4 * second AS base, form FROM forms
+  UNION ALL SELECT handle, 14 + 4 * second, CASE WHEN contains(form, '#') THEN regexp_replace(regexp_extract(form, '[^#]*$'), ':[^:]*$', '') WHEN regexp_matches(form, '^.+\\.[^.]+$') THEN regexp_extract(form, '[^.]*$') END FROM forms
+), filed AS (
+  SELECT handle, second, form, lower(regexp_extract(form, '^([^.]+)\\.', 1)) || '.' || regexp_extract(form, '^[^.]+\\.(.*)$', 1) AS key FROM forms WHERE regexp_matches(form, '^[^.]+\\..')
+), tries AS (
+  SELECT handle, 0 AS tier, 'id' AS lane, handle AS key FROM asked UNION ALL SELECT handle, 1, 'legacy', handle FROM asked
+  UNION ALL SELECT handle, base, 'name', form FROM readings
+  UNION ALL SELECT handle, base + 1, 'cpp', replace(form, '::', '.') FROM readings WHERE contains(form, '.') OR contains(form, '::')
+  UNION ALL SELECT handle, base + 2, 'suffix', form FROM readings WHERE contains(form, '.')
+  UNION ALL SELECT handle, base + 3, 'call', form FROM readings WHERE NOT contains(form, '(')
+  UNION ALL SELECT handle, 10 + 2 * second, 'stem', key FROM filed UNION ALL SELECT handle, 11 + 2 * second, 'stem_call', key FROM filed WHERE NOT contains(form, '(')
+), tiers AS (SELECT DISTINCT handle, tier, id FROM tries JOIN keys USING (lane, key) WHERE key <> ''),
+firsts AS (SELECT handle, min(tier) AS tier FROM tiers GROUP BY handle),
 found AS (SELECT handle, tier, id FROM tiers JOIN firsts USING (handle, tier))
 """
 
@@ -156,8 +225,8 @@ def handle_suffix(spark, sf, nodes, edges):
 @query(f"""
 WITH {DEGREE}, {CANDIDATES}, scored AS (
   SELECT handle, tier, id, round(least(48, log2(1 + coalesce(export_fan_in, 0)) * 20) + CASE WHEN exported THEN 12 ELSE 0 END
-    - CASE WHEN external THEN 60 ELSE 0 END + least(24, log2(1 + coalesce(in_all + out_all, 0)) * 6), 6) AS score
-  FROM found JOIN nodes USING (id) LEFT JOIN degree USING (id)
+    - CASE WHEN external THEN 60 ELSE 0 END - CASE WHEN support THEN 30 ELSE 0 END + least(24, log2(1 + coalesce(in_all + out_all, 0)) * 6), 6) AS score
+  FROM found JOIN nodes USING (id) JOIN flags USING (id) LEFT JOIN degree USING (id)
 ), ranked AS (SELECT handle, tier, row_number() OVER (PARTITION BY handle ORDER BY score DESC, id) AS rank, id, score FROM scored)
 SELECT * FROM ranked WHERE rank <= 12
 """)
@@ -169,19 +238,35 @@ def _wanted(nodes: DataFrame, kind: str) -> DataFrame:
     return nodes.filter(F.col("kind") == kind).select("id")
 
 
-@query("SELECT src AS id, dst AS member, n.name, n.kind, n.line FROM edges JOIN nodes o ON o.id = src AND o.kind = 'class' JOIN nodes n ON n.id = dst WHERE edges.kind = 'contains'")
+@query(f"SELECT src AS id, dst AS member, coalesce(n.qualified_name, n.name) AS name, n.kind, n.line FROM edges JOIN nodes o ON o.id = src AND o.kind = 'class' JOIN nodes n ON n.id = dst WHERE edges.kind = 'contains'")
 def details_members(spark, sf, nodes, edges):
     return details.members(_wanted(nodes, "class"), nodes, edges)
 
 
+@query("""
+SELECT 'p:' || p_partkey AS id, unnest([0, 1]) AS ord, unnest(['size', p_type]) AS name, unnest(['property', 'method']) AS kind, unnest([NULL, p_size]) AS line, unnest(['size: number', NULL]) AS signature FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'p:' || p_partkey, unnest([0, 1]), p_brand || '.' || unnest(['A', 'B']), 'property', NULL, unnest(['A = ' || p_size, NULL]) FROM part WHERE p_partkey % 2 = 1
+""")
+def details_literal_members(spark, sf, nodes, edges):
+    part, null, odd = _t(spark, sf, "part"), F.lit(None).cast("string"), F.col("p_partkey") % 2 == 1
+    objects = F.array(F.struct(F.lit("size").alias("name"), F.lit("property").alias("kind"), F.lit(None).cast("int").alias("line"), F.lit("size: number").alias("signature")), F.struct(F.col("p_type").alias("name"), F.lit("method").alias("kind"), F.col("p_size").cast("int").alias("line"), null.alias("signature")))
+    values = F.array(F.struct(F.lit("A").alias("name"), F.col("p_size").cast("string").alias("value")), F.struct(F.lit("B").alias("name"), null.alias("value")))
+    rows = part.select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.when(odd, "enum").otherwise("variable").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("qualified_name"), objects.alias("object_members"), values.alias("enum_members"))
+    return details.literal_members(rows, rows)
+
+
+# Places of an edge in its source, and how its kind ranks, as the details of a declaration and its entry points order them.
+PLACE = "coalesce(e.line, 9999) * 100 + coalesce(e.col, 999)"
+KIND_RANK = "CASE e.kind WHEN 'calls' THEN 0 WHEN 'instantiates' THEN 1 WHEN 'accesses' THEN 2 WHEN 'renders' THEN 2 WHEN 'tests' THEN 3 WHEN 'overrides' THEN 4 WHEN 'decorates' THEN 4 WHEN 'extends' THEN 5 WHEN 'implements' THEN 5 WHEN 'type_ref' THEN 6 ELSE 10 END"
+LIMITED = "ordered AS (SELECT id, kind, other, row_number() OVER (PARTITION BY id ORDER BY rank, kind, other) AS r, count(*) OVER (PARTITION BY id) AS available FROM refs) SELECT * FROM ordered WHERE r <= {}"
+
+
 def _refs_sql(own: str, far: str, keep: str, wanted: str, limit: int) -> str:
-    ranks = " ".join(f"WHEN '{k}' THEN {v}" for k, v in details.DETAIL_RANK.items())
     return f"""
 WITH refs AS (
-  SELECT e.{own} AS id, e.kind, e.{far} AS other, (CASE e.kind {ranks} ELSE 10 END) * 100000 + coalesce(e.line, 9999) * 100 + 999 AS rank
-  FROM edges e JOIN nodes w ON w.id = e.{own} JOIN nodes n ON n.id = e.{far} WHERE w.kind = '{wanted}' AND e.{keep}
-), ordered AS (SELECT id, kind, other, row_number() OVER (PARTITION BY id ORDER BY rank, kind, other) AS r, count(*) OVER (PARTITION BY id) AS available FROM refs)
-SELECT * FROM ordered WHERE r <= {limit}
+  SELECT e.{own} AS id, e.kind, e.{far} AS other, CASE WHEN test THEN 10000000 ELSE 0 END + {KIND_RANK} * 100000 + {PLACE} AS rank
+  FROM edges e JOIN nodes w ON w.id = e.{own} JOIN flags f ON f.id = e.{far} WHERE w.kind = '{wanted}' AND NOT outside AND e.{keep}
+), {LIMITED.format(limit)}
 """
 
 
@@ -200,67 +285,91 @@ def details_implemented_by(spark, sf, nodes, edges):
     return details.implemented_by(_wanted(nodes, "class"), nodes, edges)
 
 
+@query(_refs_sql("src", "dst", REAL, "method", 3))
+def details_depends_on(spark, sf, nodes, edges):
+    return details.depends_on(_wanted(nodes, "method"), nodes, edges, 3)
+
+
 @query(_refs_sql("dst", "src", REAL, "class", 3))
 def details_depended_on_by(spark, sf, nodes, edges):
     return details.depended_on_by(_wanted(nodes, "class"), nodes, edges, 3)
 
 
-@query("""
+def _entry_sql(own: str, far: str, wanted: str) -> str:
+    return f"""
 WITH refs AS (
-  SELECT e.src AS id, e.kind, e.dst AS other,
-         (CASE WHEN e.kind IN ('calls', 'instantiates', 'renders') THEN 0 WHEN e.kind = 'accesses' THEN 1 WHEN e.kind IN ('type_ref', 'extends', 'implements', 'overrides', 'references') THEN 2 ELSE 3 END) * 100000
-         + coalesce(e.line, 9999) * 100 + 999 AS rank
-  FROM edges e JOIN nodes w ON w.id = e.src AND w.kind = 'function' JOIN nodes n ON n.id = e.dst WHERE e.kind NOT IN ('contains', 'exports', 'imports')
-), ordered AS (SELECT id, kind, other, row_number() OVER (PARTITION BY id ORDER BY rank, kind, other) AS r, count(*) OVER (PARTITION BY id) AS available FROM refs)
-SELECT * FROM ordered WHERE r <= 2
-""")
+  SELECT e.{own} AS id, e.kind, e.{far} AS other, CASE WHEN e.kind = 'references' THEN 2 ELSE {KIND_RANK} END * 100000 + {PLACE} AS rank
+  FROM edges e JOIN nodes w ON w.id = e.{own} AND w.kind = '{wanted}' JOIN nodes n ON n.id = e.{far} WHERE e.{REAL}
+), {LIMITED.format(2)}
+"""
+
+
+@query(_entry_sql("src", "dst", "function"))
 def entry_neighbours(spark, sf, nodes, edges):
     return details.entry_neighbours(_wanted(nodes, "function"), nodes, edges, True)
 
 
-START = "max_by(id, struct_pack(d := in_real + out_real, i := id))"
+@query(_entry_sql("dst", "src", "class"))
+def entry_used_by(spark, sf, nodes, edges):
+    return details.entry_neighbours(_wanted(nodes, "class"), nodes, edges, False)
+
+
 WALK = "kind NOT IN ('contains', 'exports', 'imports')"
 
 
 def _reach_sql(own: str, far: str, kind: str) -> str:
     return f"""
-WITH starts AS (SELECT id AS seed FROM nodes WHERE kind = '{kind}' ORDER BY id LIMIT 5), walk(seed, id, depth) AS (
-  SELECT seed, seed, 0 FROM starts
-  UNION SELECT seed, {far}, depth + 1 FROM walk JOIN (SELECT src, dst FROM edges WHERE {WALK}) e ON e.{own} = walk.id WHERE depth < 3
+WITH walk(seed, id, depth) AS (
+  SELECT id, id, 0 FROM nodes WHERE kind = '{kind}'
+  UNION SELECT seed, {far}, depth + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM edges WHERE {WALK}) e ON e.{own} = walk.id WHERE depth < 3
 ) SELECT seed, id, min(depth) AS depth FROM walk GROUP BY seed, id
 """
 
 
 def _reach(nodes, edges, kind, forward):
-    starts = nodes.filter(F.col("kind") == kind).orderBy("id").limit(5).select(F.col("id").alias("seed"))
+    starts = nodes.filter(F.col("kind") == kind).select(F.col("id").alias("seed"))
     return trace.reach(starts, edges.filter(trace.traversable(F.col("kind"), "all")), 3, forward)
 
 
 @query(_reach_sql("src", "dst", "method"), recursive=True)
 def trace_forward_d3(spark, sf, nodes, edges):
+    """What all methods reach in three steps."""
     return _reach(nodes, edges, "method", True)
 
 
-@query(_reach_sql("dst", "src", "class"), recursive=True)
+@query(_reach_sql("dst", "src", "interface"), recursive=True)
 def trace_reverse_d3(spark, sf, nodes, edges):
-    return _reach(nodes, edges, "class", False)
+    """What reaches any interface in three steps."""
+    return _reach(nodes, edges, "interface", False)
 
 
-def _reach_all(nodes, edges, kind, forward):
-    starts = nodes.filter(F.col("kind") == kind).select(F.col("id").alias("seed"))
-    return trace.reach(starts, edges.filter(trace.traversable(F.col("kind"), "all")), 3, forward)
+def _order_sql(first: str, far: str) -> str:
+    return f"""
+SELECT e.src, e.dst, e.kind, ({first})::BIGINT * 10000000000 + {PLACE} AS rank FROM edges e JOIN nodes n ON n.id = e.{far} JOIN flags f ON f.id = n.id
+WHERE e.{WALK} AND NOT outside
+"""
 
 
-@query()
-def trace_forward_all_d3(spark, sf, nodes, edges):
-    """What ``trace_forward_d3`` has for five methods, for all of them."""
-    return _reach_all(nodes, edges, "method", True)
+TRACE_KIND = "CASE e.kind WHEN 'calls' THEN 0 WHEN 'instantiates' THEN 1 WHEN 'renders' THEN 2 WHEN 'accesses' THEN 3 WHEN 'tests' THEN 4 WHEN 'overrides' THEN 5 WHEN 'decorates' THEN 5 WHEN 'extends' THEN 6 WHEN 'implements' THEN 6 WHEN 'type_ref' THEN 7 ELSE 10 END"
+TRACE_END = "CASE WHEN test THEN 6 WHEN n.kind IN ('function', 'method', 'constructor', 'class') THEN 0 WHEN n.kind = 'variable' THEN 1 WHEN n.kind IN ('property', 'field') THEN 2 WHEN n.kind IN ('interface', 'type') THEN 4 ELSE 3 END"
+IMPACT_END = "CASE WHEN test THEN 0 WHEN exported THEN 1 WHEN external OR ignored THEN 4 ELSE 2 END"
 
 
-@query()
-def trace_reverse_all_d3(spark, sf, nodes, edges):
-    """What ``trace_reverse_d3`` has for five classes, for all of them."""
-    return _reach_all(nodes, edges, "class", False)
+@query(_order_sql(f"{TRACE_KIND} * 100 + {TRACE_END}", "src"))
+def trace_order_reverse(spark, sf, nodes, edges):
+    """All edges that a walk back may take, with the order in which it takes them."""
+    return trace.walkable(nodes, edges, "all", False, False)[0].select("src", "dst", "kind", "rank")
+
+
+@query(_order_sql(f"{IMPACT_END} * 100 + {TRACE_KIND}", "src"))
+def trace_order_impact(spark, sf, nodes, edges):
+    """The same for a walk of impact."""
+    return trace.walkable(nodes, edges, "all", False, False, True)[0].select("src", "dst", "kind", "rank")
+
+
+@query("SELECT id, list_filter([CASE WHEN exported THEN 'exported' END, CASE WHEN test THEN 'test' END], lambda r: r IS NOT NULL)::VARCHAR AS roles FROM nodes JOIN flags USING (id)")
+def trace_roles(spark, sf, nodes, edges):
+    return trace.roles(nodes).select("id", F.concat(F.lit("["), F.array_join("roles", ", "), F.lit("]")).alias("roles"))
 
 
 DISPATCH = f"""
@@ -271,67 +380,80 @@ runs AS (SELECT DISTINCT src AS id FROM edges WHERE {EXEC}), ups AS (
 """
 
 
-def _with_accesses(edges: DataFrame) -> DataFrame:
-    """Parts that override also read, so that they have bodies to dispatch to."""
-    more = edges.filter("kind = 'overrides'").select("src", F.lit("r:0").alias("dst"), F.lit("accesses").alias("kind"), "line").dropDuplicates(["src"])
-    return edges.unionByName(more)
-
-
-@query("WITH " + DISPATCH.replace("FROM edges WHERE", "FROM more WHERE").replace("runs AS", "more AS (SELECT * FROM edges UNION ALL SELECT src, 'r:0', 'accesses', min(line) FROM edges WHERE kind = 'overrides' GROUP BY src), runs AS") + " SELECT base AS src, impl AS dst, 'dispatches' AS kind FROM ups JOIN per USING (base) WHERE n < 12")
+@query("WITH " + DISPATCH + " SELECT base AS src, impl AS dst, 'dispatches' AS kind FROM ups JOIN per USING (base) WHERE n < 12")
 def dispatch_candidates(spark, sf, nodes, edges):
-    return degrees.dispatch_edges(nodes, _with_accesses(edges))[0]
+    return degrees.dispatch_edges(nodes, edges)[0].select("src", "dst", "kind")
 
 
-@query("WITH " + DISPATCH.replace("FROM edges WHERE", "FROM more WHERE").replace("runs AS", "more AS (SELECT * FROM edges UNION ALL SELECT src, 'r:0', 'accesses', min(line) FROM edges WHERE kind = 'overrides' GROUP BY src), runs AS") + " SELECT base AS id, n FROM per WHERE n >= 12")
+@query("WITH " + DISPATCH + " SELECT base AS id, n FROM per WHERE n >= 12")
 def dispatch_hub_cut(spark, sf, nodes, edges):
-    return degrees.dispatch_edges(nodes, _with_accesses(edges))[1]
+    return degrees.dispatch_edges(nodes, edges)[1].groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+
+
+def _ends(edges: DataFrame) -> tuple[str, str]:
+    """Two nodes that call the same part, one of them in the first place."""
+    calls = edges.filter("kind = 'calls' AND src LIKE 'o:%'")
+    row = calls.join(F.broadcast(calls.agg(F.min("dst").alias("dst"))), "dst").agg(F.min("src"), F.max("src")).first()
+    return row[0], row[1]
+
+
+ENDS_SQL = "shared AS (SELECT src FROM edges WHERE kind = 'calls' AND src LIKE 'o:%' AND dst = (SELECT min(dst) FROM edges WHERE kind = 'calls' AND src LIKE 'o:%')), a AS (SELECT min(src) AS id FROM shared), z AS (SELECT max(src) AS id FROM shared)"
 
 
 @query(f"""
-WITH a AS (SELECT min(id) AS id FROM nodes WHERE kind = 'method'), z AS (SELECT max(id) AS id FROM nodes WHERE kind = 'method'),
-near AS (
-  SELECT 0 AS side, dst AS id, kind, 0 AS way FROM edges WHERE {WALK} AND src = (SELECT id FROM a)
-  UNION ALL SELECT 0, src, kind, 1 FROM edges WHERE {WALK} AND dst = (SELECT id FROM a)
-  UNION ALL SELECT 1, dst, kind, 0 FROM edges WHERE {WALK} AND src = (SELECT id FROM z)
-  UNION ALL SELECT 1, src, kind, 1 FROM edges WHERE {WALK} AND dst = (SELECT id FROM z)
-), firsts AS (SELECT side, id, min(struct_pack(way := way, o := CASE WHEN kind = 'accesses' THEN 0 ELSE 1 END, kind := kind)) AS f FROM near GROUP BY side, id)
-SELECT x.id, x.f.kind AS from_kind, y.f.kind AS to_kind,
-       CASE WHEN n.kind IN ('variable', 'property', 'field') THEN 3 ELSE 0 END + CASE WHEN x.f.kind = 'accesses' THEN 2 ELSE 0 END + CASE WHEN y.f.kind = 'accesses' THEN 2 ELSE 0 END AS score
-FROM firsts x JOIN firsts y ON x.id = y.id AND x.side = 0 AND y.side = 1 JOIN nodes n ON n.id = x.id ORDER BY score DESC, x.id LIMIT 4
+WITH {ENDS_SQL}, near AS (
+  SELECT 0 AS side, dst AS id, kind, 0 AS way, {PLACE} AS place FROM edges e WHERE {WALK} AND src = (SELECT id FROM a)
+  UNION ALL SELECT 0, src, kind, 1, {PLACE} FROM edges e WHERE {WALK} AND dst = (SELECT id FROM a)
+  UNION ALL SELECT 1, dst, kind, 0, {PLACE} FROM edges e WHERE {WALK} AND src = (SELECT id FROM z)
+  UNION ALL SELECT 1, src, kind, 1, {PLACE} FROM edges e WHERE {WALK} AND dst = (SELECT id FROM z)
+), firsts AS (SELECT side, id, arg_min(kind, (way, place, kind)) AS kind FROM near GROUP BY side, id)
+SELECT x.id, x.kind AS from_kind, y.kind AS to_kind,
+       CASE WHEN n.kind IN ('variable', 'property', 'field') THEN 3 ELSE 0 END + CASE WHEN x.kind = 'accesses' THEN 2 ELSE 0 END + CASE WHEN y.kind = 'accesses' THEN 2 ELSE 0 END AS score
+FROM firsts x JOIN firsts y ON x.id = y.id AND x.side = 0 AND y.side = 1 JOIN nodes n ON n.id = x.id JOIN flags f ON f.id = x.id WHERE NOT outside ORDER BY score DESC, x.id LIMIT 4
 """)
 def trace_junctions(spark, sf, nodes, edges):
-    ends = nodes.filter("kind = 'method'").agg(F.min("id"), F.max("id")).first()
-    return trace.junctions(nodes, edges, ends[0], ends[1])
+    return trace.junctions(nodes, edges, *_ends(edges))
 
 
-@query(f"""
-WITH starts AS (SELECT id FROM nodes WHERE kind = 'method' ORDER BY id LIMIT 20), hop AS (
+INVOKED = """
+invoked AS (
   SELECT src, dst FROM edges WHERE kind IN ('calls', 'instantiates', 'renders')
-), walk(seed, id, depth) AS (
-  SELECT id, id, 0 FROM starts UNION SELECT seed, dst, depth + 1 FROM walk JOIN hop ON src = walk.id WHERE depth < 4
-) SELECT seed, count(DISTINCT file) AS files FROM walk JOIN nodes USING (id) GROUP BY seed
-""", recursive=True)
-def reach_files_d4(spark, sf, nodes, edges):
-    seeds = nodes.filter("kind = 'method'").orderBy("id").limit(20).select("id")
-    return tour.files_reached(seeds, nodes, edges)
+  UNION SELECT dst, src FROM edges WHERE kind IN ('overrides', 'implements') AND dst NOT IN (SELECT src FROM edges WHERE kind IN ('calls', 'instantiates', 'renders'))
+), hop AS (SELECT DISTINCT src, dst FROM invoked WHERE dst IN (SELECT id FROM production))
+"""
 
 
-@query()
-def reach_files_all_d4(spark, sf, nodes, edges):
-    """What ``reach_files_d4`` has for twenty methods, for all of them."""
+@query(f"""
+WITH {INVOKED}, walk(seed, id, depth) AS (
+  SELECT id, id, 0 FROM nodes WHERE kind = 'method' UNION SELECT seed, dst, depth + 1 FROM walk JOIN hop ON src = walk.id WHERE depth < 4
+) SELECT seed, count(DISTINCT file) FILTER (WHERE seed <> id) AS files FROM walk JOIN nodes USING (id) GROUP BY seed
+""", recursive=True)
+def reach_files_d4(spark, sf, nodes, edges):
+    """Files that all methods reach in four invocations (no method here sees the limit of 400 nodes)."""
     return tour.files_reached(nodes.filter("kind = 'method'").select("id"), nodes, edges)
 
 
-@query(f"""
-WITH {DEGREE}, surface AS (
+SURFACE = """
+surface AS (
   SELECT n.id, greatest(coalesce(d.export_fan_in, 0), coalesce(max(o.export_fan_in), 0)) AS s FROM nodes n LEFT JOIN degree d ON d.id = n.id
   LEFT JOIN edges e ON e.dst = n.id AND e.kind = 'contains' LEFT JOIN nodes p ON p.id = e.src AND p.kind NOT IN ('file', 'module') LEFT JOIN degree o ON o.id = p.id
   GROUP BY n.id, d.export_fan_in
+)
+"""
+
+
+@query(f"WITH {DEGREE}, {SURFACE} SELECT id, s AS public_fan_in FROM surface")
+def public_fan_in(spark, sf, nodes, edges):
+    return tour.public_fan_in(nodes, edges, degrees.degrees(edges))
+
+
+@query(f"""
+WITH {DEGREE}, {INVOKED}, {SURFACE}, fans AS (
+  SELECT dst AS id, count(*) AS fan FROM edges WHERE kind IN ('calls', 'instantiates', 'renders') AND src IN (SELECT id FROM production) GROUP BY dst
 ), seeds AS (
-  SELECT n.id, s, coalesce(in_exec, 0) AS e FROM nodes n JOIN surface USING (id) LEFT JOIN degree USING (id) WHERE s > 0 AND NOT external AND NOT ignored
-), hop AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('calls', 'instantiates', 'renders')),
-walk(seed, id, depth) AS (SELECT id, id, 0 FROM seeds UNION SELECT seed, dst, depth + 1 FROM walk JOIN hop ON src = walk.id WHERE depth < 4),
-reached AS (SELECT seed AS id, count(DISTINCT file) AS files FROM walk JOIN nodes USING (id) GROUP BY seed),
+  SELECT id, s, coalesce(fan, 0) AS e FROM production JOIN surface USING (id) LEFT JOIN fans USING (id) WHERE s > 0
+), walk(seed, id, depth) AS (SELECT id, id, 0 FROM seeds UNION SELECT seed, dst, depth + 1 FROM walk JOIN hop ON src = walk.id WHERE depth < 4),
+reached AS (SELECT seed AS id, count(DISTINCT file) FILTER (WHERE seed <> id) AS files FROM walk JOIN nodes USING (id) GROUP BY seed),
 raws AS (SELECT id, log2(1 + s) * greatest(files / greatest(1, max(files) OVER ()), e / greatest(1, max(e) OVER ())) AS r FROM seeds JOIN reached USING (id))
 SELECT id, CASE WHEN max(r) OVER () > 0 THEN round(100 * r / max(r) OVER (), 4) ELSE 0 END AS centrality FROM raws
 """, recursive=True)
@@ -339,16 +461,48 @@ def centrality(spark, sf, nodes, edges):
     return tour.centrality(nodes, edges, degrees.degrees(edges))
 
 
-@query(f"WITH {DEGREE} SELECT id, in_real, out_exec FROM degree JOIN nodes USING (id) WHERE in_real >= 12 AND out_exec <= 1")
+OPEN_DEGREE = f"""
+closed AS (SELECT id FROM nodes WHERE closure), opened AS (
+  SELECT id, sum(i)::BIGINT AS in_real, sum(x)::BIGINT AS out_exec FROM (
+    SELECT dst AS id, ({REAL})::INT AS i, 0 AS x FROM edges WHERE src NOT IN (SELECT id FROM closed)
+    UNION ALL SELECT src, 0, ({EXEC})::INT FROM edges WHERE dst NOT IN (SELECT id FROM closed)) GROUP BY id
+)
+"""
+
+
+@query(f"""
+WITH {OPEN_DEGREE} SELECT id FROM nodes JOIN flags USING (id) LEFT JOIN opened USING (id)
+WHERE NOT closure AND kind IN ('class', 'function', 'method', 'constructor', 'property', 'field', 'variable', 'module', 'namespace', 'enum')
+  AND (kind NOT IN ('property', 'field') OR out_exec > 0) AND NOT external AND NOT ignored AND line IS NOT NULL AND NOT support
+""")
+def tour_candidates(spark, sf, nodes, edges):
+    return tour.seed_candidates(nodes, degrees.open_degrees(nodes, edges)).select("id")
+
+
+@query(f"WITH {OPEN_DEGREE} SELECT id, in_real, out_exec FROM opened JOIN nodes USING (id) WHERE in_real >= 12 AND out_exec <= 1")
 def shared_utility(spark, sf, nodes, edges):
-    return degrees.shared_utilities(nodes, degrees.degrees(edges))
+    return degrees.shared_utilities(nodes, degrees.open_degrees(nodes, edges))
 
 
-@query("SELECT dst AS id, count(DISTINCT (edges.kind, src, coalesce(edges.line, 0))) AS sites FROM edges JOIN nodes ON nodes.id = dst WHERE edges.kind IN ('calls', 'instantiates', 'renders') AND NOT external GROUP BY dst")
+@query("""
+SELECT src AS id, count(DISTINCT (kind, line, CASE WHEN line IS NULL THEN dst END, CASE WHEN line IS NOT NULL THEN coalesce(col, 0) END)) AS sites
+FROM edges WHERE kind IN ('calls', 'instantiates', 'renders') AND src <> dst AND dst IN (SELECT id FROM production) GROUP BY src
+""")
 def invocation_sites(spark, sf, nodes, edges):
     return tour.invocation_sites(nodes, edges)
 
 
+@query("""
+WITH near AS (
+  SELECT DISTINCT dst AS seed, src AS id, e.kind, len(list_filter(range(1, least(len(string_split(a.file, '/')), len(string_split(b.file, '/')))),
+    lambda i: string_split(a.file, '/')[1:i] = string_split(b.file, '/')[1:i])) AS near
+  FROM edges e JOIN nodes a ON a.id = dst AND a.kind = 'variable' JOIN nodes b ON b.id = src JOIN flags f ON f.id = src WHERE test
+) SELECT seed, id, kind, near::INT AS near FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY near DESC, id, kind) AS r FROM near) WHERE r <= 8
+""")
+def tour_tests(spark, sf, nodes, edges):
+    return tour.test_anchors(nodes.filter("kind = 'variable'").select("id"), nodes, edges)
+
+
 def _items(spark, sf):
     """Line items as edges in the order of a log, with repeats."""
     li = _t(spark, sf, "lineitem")
@@ -379,17 +533,23 @@ def node_dedupe_last(spark, sf, nodes, edges):
 
 
 @query("""
-WITH files AS (SELECT DISTINCT file AS id FROM nodes WHERE NOT external UNION SELECT src FROM edges WHERE kind = 'exports'),
-own AS (SELECT * FROM nodes WHERE NOT external), owners AS (SELECT file, coalesce(qualified_name, name) AS o, min(id) AS owner FROM nodes GROUP BY 1, 2)
-SELECT src, dst FROM edges WHERE kind = 'contains'
-UNION ALL SELECT coalesce(owner, own.file), own.id FROM own LEFT JOIN owners ON owners.file = own.file AND o = CASE WHEN contains(coalesce(qualified_name, name), '.') THEN regexp_extract(coalesce(qualified_name, name), '^(.*)\\.[^.]*$', 1) END
-WHERE own.id NOT IN (SELECT dst FROM edges WHERE kind = 'contains') AND coalesce(owner, own.file) <> own.id
+WITH own AS (SELECT * FROM nodes WHERE NOT external), owners AS (SELECT file, coalesce(qualified_name, name) AS o, max(id) AS owner FROM own GROUP BY 1, 2),
+held AS (SELECT src, dst FROM edges WHERE kind = 'contains'), made AS (
+  SELECT coalesce(owner, own.file) AS src, own.id AS dst FROM own
+  LEFT JOIN owners ON owners.file = own.file AND o = CASE WHEN contains(coalesce(qualified_name, name), '.') THEN regexp_extract(coalesce(qualified_name, name), '^(.*)\\.[^.]*$', 1) END
+)
+SELECT src, dst FROM held UNION ALL SELECT src, dst FROM made WHERE (src, dst) NOT IN (SELECT (src, dst) FROM held)
 """)
 def containment_synthesis(spark, sf, nodes, edges):
     return assembly.synthesise_containment(nodes, edges).filter("kind = 'contains'").select("src", "dst")
 
 
-@query("SELECT file AS id, 'typescript' AS language, regexp_extract(file, '[^/]*$') AS name FROM nodes WHERE NOT external GROUP BY file UNION SELECT src, CASE WHEN count(*) FILTER (WHERE NOT external) > 0 THEN 'typescript' ELSE 'unknown' END, regexp_extract(src, '[^/]*$') FROM (SELECT DISTINCT src FROM edges WHERE kind = 'exports') LEFT JOIN nodes ON file = src GROUP BY src")
+@query("""
+WITH own AS (SELECT file AS id, arg_min(language, id) AS language FROM nodes WHERE NOT external GROUP BY file),
+bare AS (SELECT src AS id, coalesce(arg_min(n.language, dst), 'unknown') AS language FROM edges e LEFT JOIN nodes n ON n.id = dst
+  WHERE src NOT IN (SELECT id FROM nodes) AND src NOT IN (SELECT id FROM own) AND NOT contains(src, '#') GROUP BY src)
+SELECT id, language, regexp_extract(id, '[^/]*$') AS name FROM (SELECT * FROM own UNION ALL SELECT * FROM bare)
+""")
 def file_synthesis(spark, sf, nodes, edges):
     return assembly.synthesise_files(nodes, edges).filter("kind = 'file'").select("id", "language", "name")
 
@@ -512,7 +672,7 @@ def _topology(nodes: DataFrame) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT id, name, qualified_name AS coordinate FROM nodes WHERE kind IN ('namespace', 'module', 'class')),
-e AS (SELECT src, dst, kind FROM edges WHERE kind = 'contains'), hit AS (SELECT id FROM t WHERE name = 'ASIA' OR id = 'ASIA' OR coordinate = 'ASIA'),
+e AS (SELECT src, dst, kind FROM edges WHERE kind = 'contains'), hit AS (SELECT id FROM t WHERE name = 'ASIA' OR id = 'ASIA' OR coordinate = 'ASIA' ORDER BY id LIMIT 100),
 ids AS (SELECT id, min(h) AS hop FROM (SELECT id, 0 AS h FROM hit UNION ALL SELECT dst, 1 FROM e WHERE src IN (SELECT id FROM hit) UNION ALL SELECT src, 1 FROM e WHERE dst IN (SELECT id FROM hit)) GROUP BY id)
 SELECT id, name, hop FROM t JOIN ids USING (id) ORDER BY hop, id LIMIT 100
 """)
@@ -521,6 +681,18 @@ def topology_expand(spark, sf, nodes, edges):
     return kept.select("id", "name", "hop")
 
 
+@query("""
+WITH t AS (SELECT id FROM nodes WHERE kind IN ('namespace', 'module', 'class')), seeds AS (SELECT id FROM t ORDER BY id LIMIT 30),
+e AS (SELECT src, dst, kind FROM edges WHERE kind IN ('contains', 'extends')), used AS (SELECT DISTINCT * FROM e WHERE src IN (SELECT id FROM seeds) OR dst IN (SELECT id FROM seeds)),
+ids AS (SELECT id, min(h) AS hop FROM (SELECT id, 0 AS h FROM seeds UNION ALL SELECT src, 1 FROM used UNION ALL SELECT dst, 1 FROM used) GROUP BY id),
+kept AS (SELECT id FROM t JOIN ids USING (id) ORDER BY hop, id LIMIT 30)
+SELECT * FROM used WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)
+""")
+def topology_edges(spark, sf, nodes, edges):
+    used = edges.filter("kind IN ('contains', 'extends')").select("src", "dst", "kind")
+    return topology.inspect(_topology(nodes), used, None, None, 30)[1].select("src", "dst", "kind")
+
+
 @query("""
 WITH files AS (SELECT DISTINCT file FROM nodes), roots AS (SELECT DISTINCT 'dir:' || regexp_extract(file, '^(.*)/[^/]*$', 1) AS id, regexp_extract(file, '^(.*)/[^/]*$', 1) AS root FROM nodes
   UNION SELECT 'top:' || split_part(file, '/', 1), split_part(file, '/', 1) FROM nodes UNION SELECT 'all', '.')
@@ -559,16 +731,18 @@ def subwords(spark, sf, nodes, edges):
 
 
 def _stem_sql(w: str) -> str:
-    cut = " ".join(f"WHEN ends_with({w}, '{s}') AND len({w}) > {len(s) + 3} THEN left({w}, len({w}) - {len(s)})" for s in X.SUFFIXES)
+    suffixes = ["ation", "ing", "ment", "ence", "ance", "ion", "ity", "ed", "es", "s"]
+    cut = " ".join(f"WHEN ends_with({w}, '{s}') AND len({w}) > {len(s) + 3} THEN left({w}, len({w}) - {len(s)})" for s in suffixes)
     return f"CASE {cut} ELSE {w} END"
 
 
 @query(f"""
 WITH w AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS word FROM documents), c AS (SELECT word, {_stem_sql('word')} AS cut FROM w)
-SELECT word, CASE WHEN ends_with(cut, 'e') AND len(cut) > 4 THEN left(cut, len(cut) - 1) ELSE cut END AS stem FROM c WHERE word SIMILAR TO '[a-z]+'
+SELECT word, CASE WHEN ends_with(cut, 'e') AND len(cut) > 4 THEN left(cut, len(cut) - 1) ELSE cut END AS stem FROM c WHERE regexp_full_match(word, '[a-z]+')
 """)
 def stems(spark, sf, nodes, edges):
-    words = _t(spark, sf, "documents").select(F.lower(F.explode(F.split("text", " "))).alias("word")).filter(F.rlike("word", F.lit("^[a-z]+$"))).distinct()
+    words = _t(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("w")).select(F.lower("w").alias("word"))
+    words = words.filter(F.rlike("word", F.lit("^[a-z]+$")) & ~F.contains("word", F.lit("\n"))).distinct()
     return words.select("word", X.stem_word(F.col("word")).alias("stem"))
 
 
@@ -591,20 +765,26 @@ def canonical_digest(spark, sf, nodes, edges):
     return nodes.select("id", generations.canonical_digest(F.col("id"), F.col("kind"), F.col("name")).alias("digest"))
 
 
-@query("SELECT id, file || '#' || coalesce(qualified_name, name) || ':' || kind AS handle FROM nodes")
+@query(f"SELECT DISTINCT id, file || '#' || unnest([{SHOWN}, CASE WHEN kind IN ('function', 'method', 'constructor') THEN split_part({SHOWN}, '(', 1) ELSE {SHOWN} END]) || ':' || kind AS handle FROM nodes")
 def legacy_handles(spark, sf, nodes, edges):
     return assembly.legacy_handles(nodes)
 
 
 @query(f"""
-WITH ends AS (SELECT (SELECT min(id) FROM nodes WHERE kind = 'method') AS a, (SELECT max(id) FROM nodes WHERE kind = 'class' AND id LIKE 's:%') AS z),
-walk(id, depth) AS (SELECT a, 0 FROM ends UNION SELECT dst, depth + 1 FROM walk JOIN (SELECT src, dst FROM edges e JOIN nodes x ON x.id = e.src JOIN nodes y ON y.id = e.dst WHERE e.{WALK} AND NOT x.external AND NOT y.external) ON src = walk.id WHERE depth < 6)
+WITH {DISPATCH}, ends AS (SELECT (SELECT min(id) FROM nodes WHERE kind = 'namespace') AS a, (SELECT max(id) FROM nodes WHERE kind = 'interface') AS z),
+hop AS (
+  SELECT DISTINCT src, dst FROM (
+    SELECT src, dst FROM edges WHERE {WALK} UNION ALL SELECT base, impl FROM ups JOIN per USING (base) WHERE n < 12 OR impl = (SELECT z FROM ends)
+    UNION ALL SELECT a, (SELECT min(id) FROM nodes WHERE kind = 'method') FROM ends
+  ) JOIN flags ON flags.id = dst WHERE NOT outside
+), walk(id, depth) AS (SELECT a, 0 FROM ends UNION SELECT dst, depth + 1 FROM walk JOIN hop ON src = walk.id WHERE depth < 12)
 SELECT a AS start, z AS goal, coalesce((SELECT min(depth) FROM walk WHERE id = z), -1)::BIGINT AS length FROM ends
 """, recursive=True)
 def trace_shortest_path_len(spark, sf, nodes, edges):
-    start = nodes.filter("kind = 'method'").agg(F.min("id")).first()[0]
-    goal = nodes.filter("kind = 'class' AND id LIKE 's:%'").agg(F.max("id")).first()[0]
-    path = trace.shortest_path(nodes, edges, start, goal, max_depth=6)
+    """From a region to an interface; an edge from it to a method is added, as regions lead nowhere."""
+    start, goal = nodes.filter("kind = 'namespace'").agg(F.min("id")).first()[0], nodes.filter("kind = 'interface'").agg(F.max("id")).first()[0]
+    more = nodes.filter("kind = 'method'").agg(F.min("id").alias("dst")).select(F.lit(start).alias("src"), "dst", F.lit("references").alias("kind"), F.lit(1).alias("line"), F.lit(1).alias("col"))
+    path = trace.shortest_path(nodes, edges.unionByName(more), start, goal)
     return spark.range(1).select(F.lit(start).alias("start"), F.lit(goal).alias("goal"), F.lit(len(path) - 1).cast("long").alias("length"))
 
 
@@ -616,58 +796,101 @@ def trace_bounded(spark, sf, nodes, edges):
     return spark.range(1).select(rows).select("r.*")
 
 
+TERMS = ["supplier", "customer", "3"]
+
+
+def _scores(nodes, edges):
+    own = tour.seed_candidates(nodes, degrees.open_degrees(nodes, edges))
+    return tour.seed_scores(own, tour.centrality(nodes, edges, degrees.degrees(edges)), TERMS)
+
+
 @query()
 def tour_diverse(spark, sf, nodes, edges):
-    degree = degrees.degrees(edges)
-    seeds = tour.pick_diverse(tour.seed_scores(nodes, tour.centrality(nodes, edges, degree), ["brand", "part", "1"]))
+    seeds = tour.pick_diverse(_scores(nodes, edges), terms=TERMS)
     return spark.range(1).select(F.posexplode(F.array(*map(F.lit, seeds)).cast("array<string>")).alias("rank", "id"))
 
 
-@query()
+FIELD = "octet_length(encode({0})) || ':' || {0}"
+
+
+@query(f"""
+WITH d AS (SELECT id, kind, language, {SHOWN} AS shown, sha256({' || '.join(FIELD.format(f) for f in ("'v2'", "language", "'declaration'", "name", "file"))} || '0:0:0:0:') AS digest,
+  sha256({' || '.join(FIELD.format(f) for f in ("'g2'", "language", "'declaration'", "name", "file"))} || '0:0:0:0:' || {' || '.join(FIELD.format(f) for f in ("'g1'", "kind", SHOWN))}) AS scoped FROM nodes),
+n AS (SELECT digest, count(DISTINCT (kind, shown)) AS n FROM d GROUP BY digest)
+SELECT id, CASE WHEN n = 1 THEN '@v2' ELSE '@g2' END || '/' || language || '/' || CASE WHEN n = 1 THEN digest ELSE scoped END || '#' || replace(replace(replace(url_encode(shown), '%28', '('), '%29', ')'), '+', '%20') || ':' || kind AS semantic_id
+FROM d JOIN n USING (digest)
+""")
 def semantic_id(spark, sf, nodes, edges):
     null = F.lit(None).cast("string")
     facts = nodes.select("id", "kind", F.coalesce("qualified_name", "name").alias("display"), "language", F.lit("declaration").alias("role"), F.col("name").alias("symbol"), F.col("file").alias("module"), *[null.alias(c) for c in ("target", "unit", "document", "overload")])
     return identity.semantic_ids(facts, "g1").select("id", "semantic_id")
 
 
+def _sources(nodes):
+    """A source of each part and supplier, in three languages."""
+    name = F.regexp_replace("name", "[^A-Za-z0-9]", "")
+    base = F.concat(F.lit("B"), F.col("line").cast("string"))
+    ts = F.concat(F.lit("import { "), base, F.lit(" } from './base';\n/** One. */\nexport class "), name, F.lit(" extends "), base, F.lit(" {\n  trade(n) {\n    return helper(n);\n  }\n}\nfunction helper(n) {\n  return n;\n}\n"))
+    py = F.concat(F.lit("import os\n\nclass "), name, F.lit("("), base, F.lit("):\n    def trade(self):\n        return helper()\n\ndef helper():\n    return 1\n"))
+    go = F.concat(F.lit('package main\nimport (\n  "fmt"\n)\ntype '), name, F.lit(" struct {\n  n int\n}\nfunc helper() int {\n  return 1\n}\n"))
+    pick = lambda *values: F.element_at(F.array(*values), F.col("line") % 3 + 1)
+    wanted = nodes.filter("kind IN ('function', 'class') AND NOT external")
+    file = F.concat(F.lit("src/"), F.regexp_replace("id", ":", "/"), pick(F.lit(".ts"), F.lit(".py"), F.lit(".go")))
+    return wanted.select(file.alias("file"), pick(F.lit("typescript"), F.lit("python"), F.lit("go")).alias("language"), pick(ts, py, go).alias("text"), name.alias("made"))
+
+
+@query("""
+WITH made AS (SELECT 'src/' || replace(id, ':', '/') || (['.ts', '.py', '.go'])[line % 3 + 1] AS file, line % 3 AS l, regexp_replace(name, '[^A-Za-z0-9]', '', 'g') AS name FROM nodes WHERE kind IN ('function', 'class') AND NOT external)
+SELECT file, name, 'class' AS kind FROM made UNION ALL SELECT file, 'helper', 'function' FROM made UNION ALL SELECT file, 'trade', 'method' FROM made WHERE l < 2
+""")
+def static_declarations(spark, sf, nodes, edges):
+    """Declarations of a generated source for each part and supplier."""
+    facts = tables.extract_facts(_sources(nodes).drop("made"))
+    return facts.filter("fact = 'declaration'").select("file", "name", "kind")
+
+
 @query()
 def static_facts(spark, sf, nodes, edges):
-    """Facts of generated sources: a file of each nation with a class that extends its region's."""
-    body = F.concat(F.lit("import { Region } from './region';\n/** A nation. */\nexport class "), F.regexp_replace("name", "[^A-Za-z]", ""), F.lit(" extends Region {\n  trade(n) {\n    return helper(n);\n  }\n}\nfunction helper(n) {\n  return n;\n}\n"))
-    sources = nodes.filter("kind = 'module'").select(F.concat(F.lit("src/"), "name", F.lit(".ts")).alias("file"), F.lit("typescript").alias("language"), body.alias("text"))
-    return tables.extract_facts(sources)
+    """All facts of these sources."""
+    return tables.extract_facts(_sources(nodes).drop("made"))
 
 
-@query("""
-WITH rel AS (SELECT 'o:' || l_orderkey AS s, 's:' || l_suppkey AS o, l_linenumber % 2 = 1 AS c, l_quantity > 25 AS v, l_returnflag = 'R' AS k FROM lineitem)
-SELECT o AS src, s AS dst, 'contains' AS kind FROM rel WHERE c UNION SELECT s, o, 'overrides' FROM rel WHERE v UNION SELECT o, s, 'calls' FROM rel WHERE k
+@query(f"""
+WITH rel AS (SELECT 'o:' || l_orderkey AS s, 's:' || l_suppkey AS o, (l_partkey * 2654435761 + l_linenumber * 40503) % 1048576 AS roles FROM lineitem)
+SELECT DISTINCT src, dst, kind FROM (
+  SELECT o AS src, s AS dst, 'contains' AS kind FROM rel WHERE roles & {1 << 10} > 0 OR roles & {1 << 17} > 0
+  UNION ALL SELECT o, s, 'extends' FROM rel WHERE roles & {1 << 11} > 0 OR roles & {1 << 15} > 0
+  UNION ALL SELECT s, o, 'overrides' FROM rel WHERE roles & {1 << 12} > 0
+  UNION ALL SELECT o, s, 'calls' FROM rel WHERE roles & {1 << 14} > 0
+  UNION ALL SELECT s, o, 'accesses' FROM rel WHERE roles & {1 << 16} > 0
+  UNION ALL SELECT s, o, 'instantiates' FROM rel WHERE roles & {1 << 19} > 0)
 """)
 def native_relations(spark, sf, nodes, edges):
-    bits = artifacts.RELATIONS
-    role = lambda kind, on: F.when(on, bits[kind][0]).otherwise(0)
     li = _t(spark, sf, "lineitem")
-    roles = role("contains", F.col("l_linenumber") % 2 == 1) + role("overrides", F.col("l_quantity") > 25) + role("calls", F.col("l_returnflag") == "R")
-    rows = li.select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("subject"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("object"), roles.alias("roles"))
-    return artifacts.native_relations(rows)
+    roles = (F.col("l_partkey") * 2654435761 + F.col("l_linenumber") * 40503) % 1048576
+    return artifacts.native_relations(li.select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("subject"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("object"), roles.alias("roles")))
 
 
-@query("""
-WITH occ AS (SELECT 'o:' || l_orderkey AS s, 's:' || l_suppkey AS o, l_linenumber AS line, l_returnflag = 'R' AS c, l_linestatus = 'O' AS r FROM lineitem)
-SELECT s AS src, o AS dst, 'calls' AS kind, line FROM occ WHERE c UNION ALL SELECT s, o, 'type_ref', line FROM occ WHERE r
+@query(f"""
+WITH occ AS (SELECT 'o:' || l_orderkey AS s, 's:' || l_suppkey AS o, l_linenumber AS line, l_partkey % 33 AS k,
+  (l_partkey * 2654435761 + l_linenumber * 40503) % 128 + CASE WHEN l_partkey % 5 = 0 THEN {1 << 20} ELSE 0 END AS roles FROM lineitem)
+SELECT s AS src, o AS dst, 'calls' AS kind, line FROM occ WHERE roles & 32 > 0 UNION ALL SELECT s, o, 'instantiates', line FROM occ WHERE roles & 32 > 0 AND k = 23
+UNION ALL SELECT s, o, 'accesses', line FROM occ WHERE roles & 8 > 0 OR roles & 16 > 0 UNION ALL SELECT s, o, 'references', line FROM occ WHERE roles & 4 > 0
+UNION ALL SELECT s, o, 'type_ref', line FROM occ WHERE (roles & 4 > 0 OR roles & {1 << 20} > 0) AND k IN (6, 7, 8, 9, 10, 11, 12, 28, 29, 31)
 """)
 def native_occurrences(spark, sf, nodes, edges):
-    roles = F.when(F.col("l_returnflag") == "R", artifacts.ROLES["calls"]).otherwise(0) + F.when(F.col("l_linestatus") == "O", artifacts.ROLES["references"]).otherwise(0)
-    occ = _t(spark, sf, "lineitem").select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("owner"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("symbol"), roles.alias("roles"), F.col("l_linenumber").alias("line"))
+    li = _t(spark, sf, "lineitem")
+    roles = (F.col("l_partkey") * 2654435761 + F.col("l_linenumber") * 40503) % 128 + F.when(F.col("l_partkey") % 5 == 0, 1 << 20).otherwise(0)
+    occ = li.select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("owner"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("symbol"), (F.col("l_partkey") % 33).alias("target_kind"), roles.alias("roles"), F.col("l_linenumber").alias("line"))
     return artifacts.native_occurrences(occ, nodes)[0]
 
 
 @query("""
-WITH asked AS (SELECT DISTINCT id AS file, regexp_extract(file, '^(.*)\\.ts$', 1) AS path FROM nodes WHERE kind = 'module' UNION SELECT id, 'none/' || id FROM nodes WHERE kind = 'module')
+WITH asked AS (SELECT DISTINCT id AS file, regexp_extract(file, '^(.*)\\.ts$', 1) AS path FROM nodes UNION SELECT id, 'none/' || id FROM nodes)
 SELECT file, path, path || '.ts' AS target FROM asked WHERE path || '.ts' IN (SELECT file FROM nodes)
 """)
 def resolve_modules(spark, sf, nodes, edges):
-    modules = nodes.filter("kind = 'module'")
-    asked = modules.select(F.col("id").alias("file"), F.regexp_extract("file", r"^(.*)\.ts$", 1).alias("path")).unionAll(modules.select("id", F.concat(F.lit("none/"), "id")))
+    asked = nodes.select(F.col("id").alias("file"), F.regexp_extract("file", r"^(.*)\.ts$", 1).alias("path")).unionAll(nodes.select("id", F.concat(F.lit("none/"), "id")))
     return assembly.resolve_modules(asked, nodes.select("file").distinct(), ["", ".ts", ".tsx", "/index.ts"])
 
 

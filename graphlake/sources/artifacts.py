@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.operators.assembly import innermost_owner
+from graphlake.sources.shared import materialize
 
 # Bits of the roles of an occurrence.
 DEFINITION, IMPORT, WRITE, READ = 1, 2, 4, 8
@@ -86,38 +87,101 @@ def reference_kind(before: Column, after: Column, target: Column) -> Column:
     )
 
 
-# Bits of native roles, the edge kind of each, and of relations with whether their ends change places.
-ROLES = {"calls": 1 << 5, "accesses": (1 << 3) | (1 << 4), "references": 1 << 2, "dynamic": 1 << 6}
-RELATIONS = {"contains": (1 << 9, True), "extends": (1 << 10, True), "overrides": (1 << 11, False), "calls": (1 << 13, True), "accesses": (1 << 16, True)}
+# Bits of native roles, and kinds of native symbols that are types or constructors.
+ROLES = {"reference": 1 << 2, "read": 1 << 3, "write": 1 << 4, "call": 1 << 5, "dynamic": 1 << 6, "name_reference": 1 << 20}
+NATIVE_TYPES = [6, 7, 8, 9, 10, 11, 12, 28, 29, 31]
+NATIVE_CONSTRUCTOR = 23
+# Bits of native relations; the kind of edge that each makes, and whether the object comes first.
+RELATIONS = [
+    ("child_of", 1 << 10, "contains", True),
+    ("contained_by", 1 << 17, "contains", True),
+    ("base_of", 1 << 11, "extends", True),
+    ("extended_by", 1 << 15, "extends", True),
+    ("override_of", 1 << 12, "overrides", False),
+    ("called_by", 1 << 14, "calls", True),
+    ("accessor_of", 1 << 16, "accesses", False),
+    ("specialization_of", 1 << 19, "instantiates", False),
+]
 
 
 def native_occurrences(occurrences: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges of occurrences (owner, symbol, roles, line), one for each role, and those that are dynamic and unresolved."""
-    t = targets.select(F.col("id").alias("symbol"), F.col("kind").alias("t_kind"))
-    joined = occurrences.join(t, "symbol")
-    has = lambda bits: F.col("roles").bitwiseAND(bits) != 0
-    types = F.col("t_kind").isin("class", "interface", "type", "enum")
-    kinds = F.filter(
+    """Edges of occurrences (owner, symbol, target_kind, roles, line), and those that are dynamic and unresolved.
+
+    An occurrence makes an edge for each of its roles: a call of a constructor is
+    a call and an instantiation, a reference to a type a reference and a type
+    reference.
+    """
+    joined = occurrences.join(targets.select(F.col("id").alias("symbol")), "symbol", "left_semi")
+    has = lambda *names: F.col("roles").bitwiseAND(sum(ROLES[n] for n in names)) != 0
+    kinds = F.array_compact(
         F.array(
-            F.when(has(ROLES["calls"]), F.when(F.col("t_kind") == "constructor", "instantiates").otherwise("calls")),
-            F.when(has(ROLES["accesses"]), F.lit("accesses")),
-            F.when(has(ROLES["references"]), F.when(types, "type_ref").otherwise("references")),
-        ),
-        lambda k: k.isNotNull(),
+            F.when(has("call"), F.lit("calls")),
+            F.when(has("call") & (F.col("target_kind") == NATIVE_CONSTRUCTOR), F.lit("instantiates")),
+            F.when(has("read", "write"), F.lit("accesses")),
+            F.when(has("reference"), F.lit("references")),
+            F.when(has("reference", "name_reference") & F.col("target_kind").isin(NATIVE_TYPES), F.lit("type_ref")),
+        )
     )
     edges = joined.select(F.col("owner").alias("src"), F.col("symbol").alias("dst"), F.explode(kinds).alias("kind"), "line").filter("src <> dst")
-    dynamic = occurrences.filter(has(ROLES["dynamic"])).select("owner", "symbol", F.lit("dispatches").alias("family"), F.lit("dynamic").alias("reason"))
+    dynamic = occurrences.filter(has("dynamic")).select("owner", "symbol", F.lit("dispatches").alias("family"), F.lit("dynamic").alias("reason"))
     return edges, dynamic
 
 
 def native_relations(relations: DataFrame) -> DataFrame:
     """Edges of relations (subject, object, roles): a role decides the kind and which end comes first."""
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(swap).alias("swap"), (F.col("roles").bitwiseAND(bits) != 0).alias("on")) for k, (bits, swap) in RELATIONS.items()])
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(swap).alias("swap"), (F.col("roles").bitwiseAND(bit) != 0).alias("on")) for _, bit, kind, swap in RELATIONS])
     rows = relations.select("subject", "object", F.explode(F.filter(each, lambda r: r["on"])).alias("r"))
     a, b = F.when(F.col("r.swap"), F.col("object")).otherwise(F.col("subject")), F.when(F.col("r.swap"), F.col("subject")).otherwise(F.col("object"))
     return rows.select(a.alias("src"), b.alias("dst"), F.col("r.kind").alias("kind")).filter("src <> dst").distinct()
 
 
+# Kinds that a Lua export names, and the kinds of node that they are.
+LUA_KINDS = {"local": "variable", "function": "function", "global": "variable", "field": "field", "method": "method"}
+LUA_PLACE = "struct<file:string,startLine:int,startColumn:int,endLine:int,endColumn:int>"
+LUA = f"schemaVersion int, files array<string>, nodes array<struct<name:string,kind:string,location:{LUA_PLACE},body:{LUA_PLACE}>>, edges array<struct<`from`:int,kind:string,location:{LUA_PLACE}>>, warnings array<string>"
+
+
+def read_lua_export(spark, path: str) -> DataFrame:
+    """Reports of a Lua exporter, one a file; a malformed one, or one of another version, fails when it is read."""
+    doc = spark.read.schema(LUA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    # Both lists depend on the version, so no reader can prune the check away.
+    checked = lambda c: F.when(F.col("schemaVersion") == 2, F.col(c)).otherwise(F.raise_error(F.lit("not an export of version 2")))
+    return doc.withColumns({c: checked(c) for c in ("nodes", "edges")}).withColumn("report", F.input_file_name())
+
+
+def lua_graph(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` and ``edges`` of Lua reports.
+
+    Places are counted from 0 there and from 1 here. Of declarations with one
+    identity (file, name, place, kind) the first counts. A use runs from the
+    innermost declaration whose body holds it to what is declared; the place of
+    the declaration itself, and uses outside of all bodies, say nothing. A
+    relationship has the place of its first use.
+    """
+    declared = reports.select("report", F.posexplode("nodes").alias("pos", "n")).select("report", "pos", "n.*")
+    kinds = F.create_map(*[F.lit(x) for kv in LUA_KINDS.items() for x in kv])
+    start, col = F.col("location.startLine") + 1, F.col("location.startColumn") + 1
+    known = declared.withColumn("node_kind", F.element_at(kinds, F.col("kind"))).filter("node_kind IS NOT NULL").withColumns({"file": F.col("location.file"), "line": start, "col": col})
+    known = known.withColumn("id", F.concat("file", F.lit("#"), "name", F.lit("@"), "line", F.lit(":"), "col", F.lit(":"), "node_kind"))
+    known = materialize(known, "declared")
+    nodes = known.groupBy("id").agg(F.min_by(F.struct(F.col("node_kind").alias("kind"), "name", "file", "line", "col"), F.struct("report", "pos")).alias("f"))
+    nodes = nodes.select("id", "f.*", F.lit("lua").alias("language"), F.lit(False).alias("external"))
+    uses = reports.select("report", F.posexplode("edges").alias("use", "e")).select("report", "use", F.col("e.from").alias("n"), F.col("e.location").alias("at"))
+    target = known.select("report", (F.col("pos") + 1).alias("n"), F.col("id").alias("dst"), F.col("location").alias("own"))
+    uses = uses.join(target, ["report", "n"])
+    place = lambda s: F.struct(F.col(f"{s}.file"), F.col(f"{s}.startLine"), F.col(f"{s}.startColumn"))
+    uses = uses.filter(place("at") != place("own")).withColumn("file", F.col("at.file"))
+    spot = lambda s, e: F.struct(F.col(f"{s}.{e}Line").alias("l"), F.col(f"{s}.{e}Column").alias("c"))
+    spans = known.withColumn("body", F.coalesce("body", "location"))
+    bodies = spans.select("report", F.col("body.file").alias("file"), F.col("id").alias("src"), "pos", spot("body", "start").alias("lo"), spot("body", "end").alias("hi"))
+    at = spot("at", "start")
+    held = uses.join(bodies, ["report", "file"]).filter((F.col("lo") <= at) & (at <= F.col("hi")))
+    inner = held.groupBy("report", "use", "dst", "at").agg(F.max_by("src", F.struct("lo", -F.col("pos"))).alias("src")).filter("src <> dst")
+    first = F.min_by(F.struct((F.col("at.startLine") + 1).alias("line"), (F.col("at.startColumn") + 1).alias("col")), F.struct("report", "use")).alias("f")
+    edges = inner.groupBy("src", "dst").agg(first).select("src", "dst", F.lit("references").alias("kind"), "f.line", "f.col")
+    return nodes, edges
+
+
 def resolve_shard_ends(edges: DataFrame, declared: DataFrame, external: DataFrame) -> DataFrame:
     """Edges between native ids as edges between ids: declared symbols first, then external ones; others go."""
     both = declared.select("native", "id", F.lit(0).alias("p")).unionAll(external.select("native", "id", F.lit(1)))

@@ -11,10 +11,11 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.sources.shared import shared_dir
+from graphlake.sources.shared import materialize, shared_dir
 
 
 def latest_frames(frames: DataFrame) -> DataFrame:
@@ -52,11 +53,26 @@ def canonical_digest(*cols: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def fact_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One digest of a table: its rows' digests, sorted within 256 parts, and the parts' digests in order."""
-    each = rows.select(canonical_digest(*[F.col(k) for k in keys]).alias("d"))
-    parts = each.groupBy(F.substring("d", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda s: s["d"]), ""), 256).alias("digest"))
+def fact_digest(rows: DataFrame, keys: list[str], part_rows: int = 50_000) -> DataFrame:
+    """One digest of a table, whatever the order of its rows (``digest``).
+
+    Rows' digests are sorted and joined within parts that share a beginning, the
+    parts' digests within those that share a shorter one, and so on: no part holds
+    more than about ``part_rows`` of them, whatever the table's size.
+    """
+    level = materialize(rows.select(canonical_digest(*[F.col(k) for k in keys]).alias("d")), "digests")
+    n, digits = level.count(), 0
+    while 16**digits * part_rows < n:
+        digits += 1
+    level = level.withColumn("p", F.col("d"))
+    while True:
+        grouped = level.groupBy(F.substring("p", 1, digits).alias("p")) if digits else level.groupBy(F.lit("").alias("p"))
+        level = grouped.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda s: s["d"]), ""), 256).alias("d"))
+        if not digits:
+            break
+        digits = max(0, digits - 3)
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return level.agg(F.coalesce(F.max("d"), empty).alias("digest"))
 
 
 def fold_first(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -67,40 +83,64 @@ def fold_first(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 class Snapshots:
-    """Published generations under a folder: tables are written first, the pointer last."""
+    """Published generations under a folder: tables are written first, then a numbered pointer that no other may have written.
+
+    A pointer is written aside and moved to its number, which fails if the number
+    is taken, so of two writers with one base one fails, and readers, who follow
+    the highest number, see either generation whole.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
 
-    def _path(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _files(self):
+        return self._at("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _highest(self) -> int:
+        """The number of the last pointer; 0 if there is none."""
+        folder = self._at("pointers")
+        fs = self._files()
+        return max((int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()), default=0) if fs.exists(folder) else 0
 
     def current(self) -> dict | None:
-        fs, path = self._path("CURRENT")
-        if not fs.exists(path):
+        last = self._highest()
+        if not last:
             return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/pointers/{last:020}").collect())) | {"number": last}
 
     def publish(self, tables: dict[str, DataFrame], base: str | None, inputs: dict | None = None) -> str:
         """Write the tables of a generation and make it current, if ``base`` still is."""
-        now = self.current()
-        if (now or {}).get("generation") != base:
+        now = self.current() or {}
+        if now.get("generation") != base:
             raise ValueError("another generation has been published since")
         name = uuid.uuid4().hex
         for t, df in tables.items():
             df.write.parquet(f"{self.root}/{name}/{t}")
-        fs, path = self._path("CURRENT")
-        _, draft = self._path(f".CURRENT-{name}")
-        out = fs.create(draft, True)
+        fs, draft = self._files(), self._at(f"{name}/pointer")
+        out = fs.create(draft, False)
         out.write(bytearray(json.dumps({"generation": name, "base": base, "inputs": inputs or {}}).encode()))
         out.close()
-        fs.delete(path, False)
-        if not fs.rename(draft, path):
-            raise ValueError("the pointer could not be moved")
+        fs.mkdirs(self._at("pointers"))
+        self._move(draft, self._at(f"pointers/{now.get('number', 0) + 1:020}"))
         return name
 
+    def _move(self, source, target) -> None:
+        """Rename without overwriting: the file system decides who is first."""
+        options = getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename")
+        none = self.spark.sparkContext._gateway.new_array(options, 1)
+        none[0] = options.NONE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(source, target, none)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
+                raise ValueError("another generation has been published since") from error
+            raise
+
     def read(self, table: str, generation: str | None = None) -> DataFrame:
         """A table of a generation; the current one is looked up once, so tables of one request agree."""
         generation = generation or (self.current() or {})["generation"]

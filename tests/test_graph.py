@@ -1,5 +1,6 @@
 """Graph operators against plain Python on random graphs, and on small fixtures."""
 
+import hashlib
 import json
 import random
 from collections import Counter, defaultdict, deque
@@ -13,8 +14,8 @@ from graphlake.functions import docs, text
 from graphlake.operators import assembly, degrees, details, handles, identity, lookup, reduce, topology, tour, trace
 from graphlake.plans import registry
 from graphlake.sources import artifacts, dump
-from graphlake.sources.static import extract, masking, tables
-from graphlake.streaming import generations
+from graphlake.sources.static import extract, masking, reexports, tables
+from graphlake.streaming import generations, protocol
 
 NODE = "id string, kind string, language string, name string, qualified_name string, file string, external boolean, ignored boolean, exported boolean, line int"
 EDGE = "src string, dst string, kind string, line int"
@@ -67,8 +68,8 @@ def test_reach_and_shortest_path(random_graph, spark):
 def test_registered_walks_start_from_all_nodes_of_a_kind(random_graph, spark, monkeypatch):
     nodes, edges, n, e = random_graph
     nodes = nodes + [node(f"m{i}", "method") for i in range(25)]
-    edges = edges + [(f"m{i}", f"n{i}", "calls", 1) for i in range(25)]
-    n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
+    edges = edges + [(f"m{i}", f"n{i}", "calls", 1) for i in range(25)] + [(f"n{i}", f"i{i % 8}", "type_ref", 1) for i in range(25)]
+    n, e = spark.createDataFrame(nodes + [node(f"i{i}", "interface") for i in range(8)], NODE), spark.createDataFrame(edges, EDGE)
     monkeypatch.setattr(registry.testgraph, "build", lambda *_: (n, e))
 
     def within(pairs, start, depth):
@@ -80,24 +81,38 @@ def test_registered_walks_start_from_all_nodes_of_a_kind(random_graph, spark, mo
 
     got = __spark_entry__.queries()
     walk = {(a, b) for a, b, k, _ in edges if k not in ("contains", "exports", "imports")}
-    for name, kind, pairs in (("trace_forward_all_d3", "method", walk), ("trace_reverse_all_d3", "class", {(b, a) for a, b in walk})):
+    nodes += [node(f"i{i}", "interface") for i in range(8)]
+    for name, kind, pairs in (("trace_forward_d3", "method", walk), ("trace_reverse_d3", "interface", {(b, a) for a, b in walk})):
         want = {(x[0], i, d) for x in nodes if x[1] == kind for i, d in within(pairs, x[0], 3).items()}
         rows = [(r.seed, r.id, r.depth) for r in got[name](spark, "").collect()]
         assert len(rows) == len(want) and set(rows) == want and len({r[0] for r in rows}) > 5
-    made = [(r.src, r.dst) for r in degrees.dispatch_edges(n, e)[0].collect()]
-    pairs, file = {(a, b) for a, b, k, _ in edges if k in ("calls", "instantiates", "renders")} | set(made), {x[0]: x[5] for x in nodes}
-    want = {x[0]: len({file[i] for i in within(pairs, x[0], 4)}) for x in nodes if x[1] == "method"}
-    assert len(want) > 20 and {r.seed: r.files for r in got["reach_files_all_d4"](spark, "").collect()} == want
+    outside = {x[0] for x in nodes if x[6]}
+    invoke = {(a, b) for a, b, k, _ in edges if k in ("calls", "instantiates", "renders")}
+    pairs = invoke | {(b, a) for a, b, k, _ in edges if k in ("overrides", "implements") and b not in {x for x, _ in invoke}}
+    pairs, file = {(a, b) for a, b in pairs if b not in outside}, {x[0]: x[5] for x in nodes}
+    want = {x[0]: len({file[i] for i in within(pairs, x[0], 4) if i != x[0]}) for x in nodes if x[1] == "method"}
+    assert len(want) > 20 and {r.seed: r.files for r in got["reach_files_d4"](spark, "").collect()} == want
 
 
 def test_tour_looks_past_candidates_that_are_alike(spark):
-    rows = [(f"a{i:03}", f"order{i or str()}", "f.ts", ["order"], 1000.0 - i) for i in range(260)] + [("z", "other", "g.ts", ["order"], 1.0)]
+    rows = [(f"a{i:03}", f"order{'Item%d' % i if i else str()}", "f.ts", ["order"], 1000.0 - i) for i in range(260)] + [("z", "other", "g.ts", ["order"], 1.0)]
     rows += [(f"q{i:03}", f"q{i}", "q.ts", [], 50.0) for i in range(4)] + [("late", "late", "h.ts", [], 49.0)]
     scored = spark.createDataFrame(rows, "id string, name string, file string, terms array<string>, score double")
     own = scored.filter("id < 'b' OR id = 'z'")
     assert tour.pick_diverse(own) == ["a000", "z"]
     assert tour.pick_diverse(scored) == ["a000", "q000", "q001", "q002", "q003"]
     assert tour.pick_diverse(scored.filter("false")) == []
+    assert tour.pick_diverse(scored, 3, []) == ["a000", "a001", "a002"]
+
+
+def test_a_longer_name_is_restated_by_a_shorter_one_too(spark):
+    rows = [("1", "moveInMode", "f.ts", ["move"], 9.0), ("2", "moves", "f.ts", ["move"], 8.0), ("3", "modeMove", "f.ts", ["move"], 7.0), ("4", "move", "g.ts", [], 1.0)]
+    scored = spark.createDataFrame(rows, "id string, name string, file string, terms array<string>, score double")
+    assert tour.pick_diverse(scored, 4, ["move"]) == ["1", "3", "4"]
+    assert tour.mix_seeds(["m", "no"], ["h"], ["n1", "n2", "n3"], ["c1", "n1", "c2"], False, {"m", "h", "n1", "n2", "n3", "c1", "c2"}, 4) == ["m", "n1", "n2", "c1"]
+    assert tour.mix_seeds([], ["h"], [], ["x"], False, {"h"}, 4) == ["h"]
+    assert tour.tells_anew({"a", "b"}, [{"a", "c", "d"}]) and not tour.tells_anew({"a"}, [{"a", "c", "d"}])
+    assert tour.query_terms(["typeOrderItem", "at Order"], "type-orm") == ["order", "item"]
 
 
 def test_trace_dispatches_and_reports_what_it_leaves_out(spark):
@@ -105,16 +120,67 @@ def test_trace_dispatches_and_reports_what_it_leaves_out(spark):
     edges = [("caller", "start", "calls", 1), ("start", "base", "calls", 2), ("i1", "base", "overrides", 1), ("i2", "base", "overrides", 1), ("i1", "l1", "calls", 1), ("i2", "l2", "calls", 1)]
     n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
     t = trace.trace(n, e, "start", max_depth=4)
-    assert [i for i, _ in t.reached] == ["start", "base", "i1", "i2", "l1", "l2"] and not t.truncated
-    assert ("base", "i1", "dispatches", None) in t.hops
+    assert [i for i, _ in t.reached] == ["base", "i1", "i2", "l1", "l2"] and not t.truncated
+    assert ("base", "i1", "dispatches", 1) in t.hops
     assert trace.trace(n, e, "start", max_nodes=3).truncated
     assert trace.trace(n, e, "start", max_depth=1).truncated
     back = trace.trace(n, e, "start", direction="impact")
-    assert [i for i, _ in back.reached] == ["start", "caller"]
+    assert [i for i, _ in back.reached] == ["caller"] and back.hops == [("caller", "start", "calls", 1)]
     many = [node(f"x{i}") for i in range(12)]
     more = [(f"x{i}", "base", "overrides", 1) for i in range(12)] + [(f"x{i}", "l1", "calls", 1) for i in range(12)]
     hub = trace.trace(spark.createDataFrame(nodes + many, NODE), spark.createDataFrame(edges + more, EDGE), "start", max_depth=4)
-    assert hub.truncated and [i for i, _ in hub.reached] == ["start", "base"]
+    assert hub.truncated and [i for i, _ in hub.reached] == ["base"]
+    wide, wider = spark.createDataFrame(nodes + many, NODE), spark.createDataFrame(edges + more, EDGE)
+    assert trace.find_path(wide, wider, "start", "x3").ids == ["start", "base", "x3"]
+    assert trace.find_path(wide, wider, "start", "l1") == trace.Path([], True)
+    assert trace.find_path(wide, wider, "l1", "start") == trace.Path([], False)
+    assert trace.find_path(n, e, "start", "l1", max_depth=2) == trace.Path([], True)
+
+
+def walked(nodes, edges, start, direction, max_depth, max_nodes):
+    """A bounded walk in plain Python: edges of each node in order, limits on nodes and hops."""
+    info, impact, forward = {n[0]: n for n in nodes}, direction == "impact", direction == "forward"
+    runs = {a for a, _, k, _ in edges if k in ("calls", "instantiates", "accesses", "renders")}
+    kind = {"calls": 0, "dispatches": 1, "instantiates": 1, "accesses": 3, "overrides": 5, "type_ref": 7}
+
+    def out(i):
+        own = [(b if forward else a, a, b, k, line) for a, b, k, line in edges if (a if forward else b) == i and k != "contains"]
+        up = {}
+        for a, b, k, line in edges:
+            if forward and b == i and k == "overrides" and i not in runs and a in runs:
+                up[a] = min(line, up.get(a, line))
+        own += [(a, i, a, "dispatches", line) for a, line in up.items()] if len(up) < 12 else []
+        own = [x for x in own if x[0] in info and not info[x[0]][6]]
+        end = lambda j: (0 if info[j][1] in ("function", "class", "method") else 3)
+        mark = lambda j: 1 if info[j][8] else 4 if info[j][7] else 2
+        key = (lambda x: (mark(x[0]), kind[x[3]], x[4], x[0], x[3])) if impact else (lambda x: (kind[x[3]], end(x[0]), x[4], x[0], x[3]))
+        return sorted(own, key=key), len(up) >= 12 and any(not info[a][6] for a in up)
+
+    reached, hops, seen, queue, cut = [], [], {start}, [start], False
+    for depth in range(max_depth + 1):
+        nxt = []
+        for i in queue:
+            own, hub = out(i)
+            cut = cut or hub or depth == max_depth and bool(own)
+            for other, a, b, k, line in own if depth < max_depth else []:
+                if len(hops) >= 2 * max_nodes or other not in seen and len(reached) >= max_nodes:
+                    cut = True
+                    continue
+                hops.append((a, b, k, line))
+                if other not in seen:
+                    seen.add(other)
+                    reached.append((other, depth + 1))
+                    nxt.append(other)
+        queue = nxt
+    return reached, hops, cut
+
+
+@pytest.mark.parametrize("direction, max_depth, max_nodes", [("forward", 3, 12), ("forward", 8, 32), ("reverse", 2, 5), ("impact", 4, 16), ("impact", 1, 2)])
+def test_bounded_walks_match_plain_ones(random_graph, direction, max_depth, max_nodes):
+    nodes, edges, n, e = random_graph
+    for start in ("n0", "n7", "n23"):
+        t = trace.trace(n, e, start, direction, max_depth=max_depth, max_nodes=max_nodes)
+        assert (t.reached, t.hops, t.truncated) == walked(nodes, edges, start, direction, max_depth, max_nodes)
 
 
 def test_junctions(spark):
@@ -156,8 +222,8 @@ def test_export_surface_follows_cycles(spark):
 
 
 def test_overrides_take_unique_members(spark):
-    n = spark.createDataFrame([node("A", "class"), node("B", "interface"), node("A.m", "method", "m(x)"), node("B.m", "method", "m"), node("A.d", "method", "d"), node("A.d2", "method", "d"), node("B.d", "method", "d")], NODE)
-    e = spark.createDataFrame([("A", "B", "implements", 1), *[(m[0], m, "contains", 1) for m in ("A.m", "B.m", "A.d", "A.d2", "B.d")]], EDGE)
+    n = spark.createDataFrame([node("A", "class"), node("B", "interface"), node("A.m", "method", "m( x)"), node("A.m2", "method", "m"), node("B.m", "method", "m(  x)"), node("A.d", "method", "d"), node("A.d2", "method", "d"), node("B.d", "method", "d")], NODE)
+    e = spark.createDataFrame([("A", "B", "implements", 1), *[(m[0], m, "contains", 1) for m in ("A.m", "A.m2", "B.m", "A.d", "A.d2", "B.d")]], EDGE)
     assert [(r.src, r.dst, r.kind) for r in assembly.override_edges(n, e).collect()] == [("A.m", "B.m", "implements")]
 
 
@@ -167,13 +233,14 @@ def test_text_functions(spark):
     assert value(text.subwords(F.lit("HTTPServer.getURLPath_v2x"))) == ["http", "server", "get", "url", "path", "v2x"]
     for word, stem in {"creation": "creat", "runs": "runs", "bees": "bees", "indexing": "index", "store": "stor", "named": "named", "walks": "walk"}.items():
         assert value(text.stem_word(F.lit(word))) in (stem, stem.rstrip("e") if len(stem) > 4 else stem), word
-    for path, is_test in {"src/test/a.ts": True, "a.spec.ts": True, "src/latest/a.ts": False, "x_test.go": True, "FooTest/a.java": True}.items():
+    for path, is_test in {"src/test/a.ts": True, "a.spec.ts": True, "src/latest/a.ts": False, "x_test.go": True, "FooTest/a.java": True, "a/test_foo.py": True, "test-bar.js": True, "attest_x.py": False, "my.spec.d/a.ts": False}.items():
         assert value(text.is_test_path(F.lit(path))) is is_test, path
     assert value(text.is_support_path(F.lit("a.d.ts"))) and not value(text.is_support_path(F.lit("src/a.ts")))
     assert value(text.callable_base(F.lit("m (a)"))) == "m" and value(text.callable_base(F.lit("(x)"))) == "(x)"
     assert value(text.shared_path_depth(F.lit("a/b/c.ts"), F.lit("a/b/d/e.ts"))) == 2
     assert value(text.matched_terms(F.array(F.lit("indexing")), F.array(F.lit("index"), F.lit("other")))) == ["index"]
-    assert value(text.utf16_order(F.lit("ﬁ"))) > value(text.utf16_order(F.lit("\U0001f600")))
+    for path in ("x/__fixtures__/a.ts", "x/__generated__/a.ts", "x/typings.mts", "x.d.cts", "bundled://x"):
+        assert value(text.is_support_path(F.lit(path))), path
     assert docs.parse_id(docs.write_id("a#b.ts", "X.y", "method")) == ("a#b.ts", "X.y", "method")
     assert docs.canonical_json({"b": None, "a": [1, {"d": 2, "c": 3}]}) == '{"a":[1,{"c":3,"d":2}]}'
     assert docs.doc_text(["/**", " * Does it. And more.", " * @param x", " */", "", "function f() {"], 6) == "Does it."
@@ -181,9 +248,11 @@ def test_text_functions(spark):
 
 def test_handles_and_lookup(random_graph, spark):
     n = spark.createDataFrame([node("1", "class", "Store", "app.Store"), node("2", "method", "save(x)", "app.Store.save(x)"), node("3", "function", "save", file="lib/util.ts", exported=True)], NODE)
-    asked = spark.createDataFrame([(h,) for h in ("1", "Store", "app::Store", "Store.save(x)", "util.save", "nothing")], "handle string")
+    n = n.unionByName(spark.createDataFrame([("4", "method", "cpp", "Get", "db.Impl::Get", "db.cc", False, False, False, 1)], NODE))
+    asked = spark.createDataFrame([(h,) for h in ("1", "Store", "app::Store", "Store.save(x)", "Store.save", "UTIL.save", "db.Impl.Get", "Impl::Get", "schema.save(x)", "x#Store:class", "nothing", "no.thing")], "handle string")
     got = {r.handle: (r.status, r.id) for r in handles.resolve(asked, n).collect()}
-    assert got == {"1": ("node", "1"), "Store": ("node", "1"), "app::Store": ("node", "1"), "Store.save(x)": ("node", "2"), "util.save": ("node", "3")}
+    want = {"1": "1", "Store": "1", "app::Store": "1", "Store.save(x)": "2", "Store.save": "2", "UTIL.save": "3", "db.Impl.Get": "4", "Impl::Get": "4", "schema.save(x)": "2", "x#Store:class": "1"}
+    assert got == {h: ("node", i) for h, i in want.items()}
     d = degrees.degrees(spark.createDataFrame([("2", "3", "calls", 1), ("lib/util.ts", "3", "exports", 1)], EDGE))
     assert [r.id for r in lookup.lookup(n, d, "save function").collect()][0] == "3"
     assert lookup.lookup(n, d, "  ").count() == 0
@@ -286,9 +355,11 @@ def test_artifacts(spark, tmp_path):
     cases = [("x = new ", "(1)", "class", "instantiates"), ("", "(1)", "function", "calls"), ("", "?.(1)", "method", "calls"), ("f(", ", 2)", "function", "accesses"), ("a: ", " = 1", "type", "type_ref"), ("<", " />", "function", "renders"), ("a.", ";", "function", "accesses"), ("", ";", "function", "references")]
     df = spark.createDataFrame(cases, "b string, a string, t string, want string")
     assert all(r.want == r.got for r in df.select("want", artifacts.reference_kind(F.col("b"), F.col("a"), F.col("t")).alias("got")).collect())
-    occ = spark.createDataFrame([("m", "c", (1 << 5) | (1 << 2), 4), ("m", "v", 1 << 3, 5), ("m", "v", 1 << 6, 6)], "owner string, symbol string, roles int, line int")
-    e, dyn = artifacts.native_occurrences(occ, spark.createDataFrame([("c", "constructor"), ("v", "variable")], "id string, kind string"))
-    assert {(r.dst, r.kind) for r in e.collect()} == {("c", "instantiates"), ("c", "references"), ("v", "accesses")} and dyn.count() == 1
+    occ = spark.createDataFrame([("m", "c", 23, (1 << 5) | (1 << 2), 4), ("m", "v", 13, 1 << 3, 5), ("m", "v", 13, 1 << 6, 6), ("m", "t", 7, 1 << 20, 7), ("m", "u", 7, 1 << 2, 8)], "owner string, symbol string, target_kind int, roles int, line int")
+    e, dyn = artifacts.native_occurrences(occ, spark.createDataFrame([("c",), ("v",), ("t",), ("u",)], "id string"))
+    assert {(r.dst, r.kind) for r in e.collect()} == {("c", "calls"), ("c", "instantiates"), ("c", "references"), ("v", "accesses"), ("t", "type_ref"), ("u", "references"), ("u", "type_ref")} and dyn.count() == 1
+    rel = spark.createDataFrame([("s", "o", 1 << b) for b in (10, 11, 12, 14, 15, 16, 17, 19)], "subject string, object string, roles int")
+    assert {(r.src, r.kind) for r in artifacts.native_relations(rel).collect()} == {("o", "contains"), ("o", "extends"), ("s", "overrides"), ("o", "calls"), ("s", "accesses"), ("s", "instantiates")}
     pk = spark.createDataFrame([("a", "1", "packages/a", {"b": "^1"}, {"build": "x"}, "./index.js", None), ("b", "1", "packages/b", {}, {}, None, None)], "name string, version string, path string, dependencies map<string,string>, scripts map<string,string>, main string, bin string")
     tn, te = artifacts.package_topology(pk, "w")
     assert {r.kind for r in te.collect()} == {"contains", "depends-on", "entrypoint-of"} and tn.filter("file = 'packages/a/index.js'").count() == 1
@@ -313,12 +384,159 @@ def test_requests(random_graph):
     assert inspect(g, {"type": "lookup", "query": "zzz"})["next"] == "clarify"
     d = inspect(g, {"type": "details", "handles": ["n1", "missing"], "neighbors": True})["result"]
     assert d["unknown"] == ["missing"] and len(d["nodes"]) == 1
-    assert inspect(g, {"type": "trace", "from": "n1"})["result"]["reached"][0] == ("n1", 0)
+    t = inspect(g, {"type": "trace", "from": "n1"})["result"]
+    assert t["start"] == "n1" and t["reached"] == walked(random_graph[0], random_graph[1], "n1", "forward", 3, 12)[0]
+    assert inspect(g, {"type": "trace", "from": "nobody"})["next"] == "outside"
+    e2 = inspect(g, {"type": "entrypoints", "query": "what does `n2` do", "neighbors": 2})
+    assert e2["result"]["mentions"] == [{"handle": "n2", "candidates": ["n2"]}] and e2["next"] == "inspect"
+    told = inspect(g, {"type": "tour", "question": "`n3`", "reinterpretations": ["n5"], "limit": 4})["result"]
+    assert "n3" in told["seeds"] and len(told["answerAnchors"]) <= 14
     assert "entrypoints" in inspect(g, {"type": "entrypoints", "query": "n2", "neighbors": 2})["result"]
-    assert inspect(g, {"type": "topology"})["next"] == "clarify"
+    assert inspect(g, {"type": "topology"})["next"] == "outside"
     assert len(details.DETAIL_RANK) == 10
 
 
+def test_topology_is_fenced_by_the_code_generation(spark, random_graph):
+    n = spark.createDataFrame([node("a.ts", "file", file="a.ts")], NODE)
+    e = random_graph[3].limit(0)
+    topo = spark.createDataFrame([("p", "p", "p", None, ".")], "id string, name string, coordinate string, file string, root string")
+    edges = spark.createDataFrame([], "src string, dst string, kind string")
+    g = Graph(n, e, topo_nodes=topo, topo_edges=edges, project="x", topology_project="x", generation="1")
+    good = inspect(g, {"type": "topology"})
+    assert good["next"] == "answer" and good["result"]["join"]["state"] == "compatible" and good["result"]["files"] == [{"id": "p", "file": "a.ts"}]
+    moved = inspect(g, {"type": "topology", "confirmedGeneration": "2"})["result"]
+    assert moved["join"]["state"] == "unavailable" and moved["files"] == []
+    other = Graph(n, e, topo_nodes=topo, topo_edges=edges, project="x", topology_project="y", generation="1")
+    assert inspect(other, {"type": "topology"})["result"]["join"]["reason"] == "the code and the topology are of different projects"
+    assert inspect(g, {"type": "topology", "query": "nothing"})["next"] == "clarify"
+
+
+def test_an_edge_between_two_neighbours_is_no_part_of_a_topology(spark):
+    t = spark.createDataFrame([(x, x, x) for x in "abcd"], "id string, name string, coordinate string")
+    e = spark.createDataFrame([("a", "b", "contains"), ("c", "a", "contains"), ("b", "c", "contains"), ("c", "d", "contains")], "src string, dst string, kind string")
+    kept, used = topology.inspect(t, e, "a")
+    assert {r.id for r in kept.collect()} == {"a", "b", "c"} and {(r.src, r.dst) for r in used.collect()} == {("a", "b"), ("c", "a")}
+    kept, used = topology.inspect(t, e, None, None, 2)
+    assert [r.id for r in kept.collect()] == ["a", "b"] and {(r.src, r.dst) for r in used.collect()} == {("a", "b")}
+
+
+HELLO = {"provider": "p", "language": "lua", "schemaVersion": 1, "protocolVersion": 1, "tool": "t", "toolVersion": "1"}
+
+
+def frames(tmp_path, name, begin, shards, commit_shards, **commit):
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [{"type": "hello"} | HELLO, {"type": "begin"} | begin]
+    rows += [{"type": "upsertShard", "key": k, "payload": v, "digest": digest(v)} if v is not None else {"type": "deleteShard", "key": k} for k, v in shards]
+    rows += [{"type": "commit", "sequence": begin["sequence"], "generation": begin["generation"], "shards": [{"key": k, "digest": digest(v)} for k, v in commit_shards]} | commit]
+    (tmp_path / name).write_text("\n".join(map(json.dumps, rows)))
+    return f"file://{tmp_path}/{name}"
+
+
+def test_transactions_are_applied_whole_or_not_at_all(spark, tmp_path):
+    first = {"sequence": 1, "generation": "g1", "universe": "u", "targets": ["a"], "manifest": "m1"}
+    read = lambda *a, **b: protocol.read_transaction(spark, frames(tmp_path, *a, **b))
+    held = protocol.apply_transaction(read("1", first, [("a", "x"), ("b", "y")], [("a", "x"), ("b", "y")]), None)
+    assert {(r.key, r.payload) for r in held.shards.collect()} == {("a", "x"), ("b", "y")}
+    delta = first | {"sequence": 2, "generation": "g2", "baseSequence": 1, "baseGeneration": "g1", "manifest": "m2"}
+    new = protocol.apply_transaction(read("2", delta, [("a", "z"), ("b", None), ("c", "w")], [("a", "z"), ("c", "w")]), held)
+    assert {(r.key, r.payload) for r in new.shards.collect()} == {("a", "z"), ("c", "w")}
+    cases = {
+        "the base is not the current generation": (delta | {"baseGeneration": "g0"}, [("a", "z")], [("a", "z"), ("b", "y")], {}),
+        "the sequence does not advance": (delta | {"sequence": 1}, [("a", "z")], [("a", "z"), ("b", "y")], {}),
+        "commit is not of the generation": (delta, [("a", "z")], [("a", "z"), ("b", "y")], {"generation": "other"}),
+        "a shard is there twice": (delta, [("a", "z"), ("a", "z")], [("a", "z"), ("b", "y")], {}),
+        "a shard to delete is not there": (delta, [("q", None), ("a", "z")], [("a", "z"), ("b", "y")], {}),
+        "a shard is not in the commit": (delta, [("a", "z")], [("a", "z")], {}),
+        "the commit names a shard that is not there": (delta, [("a", "z")], [("a", "z"), ("b", "y"), ("n", "n")], {}),
+        "the inputs moved and no shard did": (delta, [("a", "x")], [("a", "x"), ("b", "y")], {}),
+        "the targets moved and a shard stayed": (delta | {"targets": ["b"]}, [("a", "z")], [("a", "z"), ("b", "y")], {}),
+    }
+    for i, (why, (begin, shards, said, more)) in enumerate(cases.items()):
+        with pytest.raises(ValueError, match=why):
+            protocol.apply_transaction(read(f"bad{i}", begin, shards, said, **more), held)
+    with pytest.raises(ValueError, match="facts"):
+        protocol.apply_transaction(read("f", first, [("a", "x")], [("a", "x")], factDigest="no"), None, generations.fact_digest(held.shards, ["key"]))
+    broken = read("1", first, [("a", "x")], [("a", "x")])
+    broken.shards = broken.shards.withColumn("payload", F.lit("other"))
+    with pytest.raises(ValueError, match="not what its digest says"):
+        protocol.apply_transaction(broken, None)
+    (tmp_path / "junk").write_text('{"nope": 1}')
+    with pytest.raises(Exception):
+        protocol.read_transaction(spark, f"file://{tmp_path}/junk")
+
+
+def test_of_two_publishers_one_fails(spark, tmp_path):
+    a, b = (generations.Snapshots(spark, f"file://{tmp_path}/s") for _ in range(2))
+    t = spark.range(3)
+    first = a.publish({"t": t}, None)
+    b.current = lambda: {"generation": first, "number": 1}  # has not seen what a publishes now
+    a.publish({"t": t.limit(1)}, first)
+    with pytest.raises(ValueError):
+        b.publish({"t": t}, first)
+    assert a.read("t").count() == 1
+
+
+def test_fact_digest_knows_rows_and_not_their_order(spark):
+    rows = spark.range(3000).withColumn("x", F.col("id") * 7)
+    one = lambda df, part=50_000: generations.fact_digest(df, ["id", "x"], part).first().digest
+    assert one(rows) == one(rows.orderBy(F.desc("id")).repartition(5)) != one(rows.filter("id > 0"))
+    assert one(rows, 4) == one(rows.repartition(7), 4) and one(rows.limit(0))
+
+
+def test_export_surface_follows_the_barrels_of_a_project(spark):
+    texts = {
+        "src/order.ts": "export class Order {}\nexport function helper() {}\n", "src/index.ts": "export * from './order';\nexport { type Item as Thing } from \"./lib/item\";\nexport * as ns from './hidden';\n",
+        "src/lib/item.ts": "export class Item {}\nexport class Other {}\n", "src/hidden.ts": "export class Hidden {}\n", "main.ts": "x;\n  export { Order, helper as h } from './src/index.js'\nexport * from './src'\nexport * from 'pkg'\n",
+        "pkg/__init__.py": "from .order import (Order, make as m)\nfrom ..top import *  # all\n", "pkg/order.py": "class Order:\n    pass\n", "top.py": "class Top:\n    pass\n", "pkg/mod.py": "from .order import Order\n",
+        "c/src/lib.rs": "pub use crate::order::{Order as O, Line};\npub use self::deep::thing::*;\nuse crate::order::No;\n", "c/src/order.rs": "", "c/src/deep/thing/mod.rs": "",
+    }
+    language = {"ts": "typescript", "py": "python", "rs": "rust"}
+    sources = spark.createDataFrame([(f, language[f.rsplit(".", 1)[1]], t) for f, t in texts.items()], "file string, language string, text string")
+    got = {(r.file, r.source, r.name) for r in reexports.forwards(sources).collect()}
+    assert got == {
+        ("src/index.ts", "src/order.ts", None), ("src/index.ts", "src/lib/item.ts", "Item"), ("main.ts", "src/index.ts", None),
+        ("pkg/__init__.py", "pkg/order.py", "Order"), ("pkg/__init__.py", "pkg/order.py", "make"), ("pkg/__init__.py", "top.py", None),
+        ("c/src/lib.rs", "c/src/order.rs", "Order"), ("c/src/lib.rs", "c/src/order.rs", "Line"), ("c/src/lib.rs", "c/src/deep/thing/mod.rs", None),
+    }
+    rows = [node("src/order.ts#Order:class", "class", "Order", file="src/order.ts", exported=True), node("src/lib/item.ts#Item:class", "class", "Item", file="src/lib/item.ts", exported=True), node("src/lib/item.ts#Other:class", "class", "Other", file="src/lib/item.ts", exported=True), node("pkg/order.py#Order:class", "class", "Order", file="pkg/order.py", exported=True)]
+    own = spark.createDataFrame(rows, NODE)
+    n, e = assembly.finalise(own, spark.createDataFrame([], EDGE), reexports.forwards(sources), spark.createDataFrame([("pkg/order.py",)], "file string"))
+    wire = {(r.src, r.dst.split("#")[1]) for r in e.filter("kind = 'exports'").collect()}
+    assert wire == {("src/order.ts", "Order:class"), ("src/lib/item.ts", "Item:class"), ("src/lib/item.ts", "Other:class"), ("src/index.ts", "Order:class"), ("src/index.ts", "Item:class"), ("main.ts", "Order:class"), ("main.ts", "Item:class"), ("pkg/order.py", "Order:class"), ("pkg/__init__.py", "Order:class")}
+    assert {r.id for r in n.filter("ignored").collect()} == {"pkg/order.py#Order:class"}
+    again = assembly.finalise(n, e, reexports.forwards(sources))
+    assert again[1].count() == e.count() and assembly.violations(n, e.filter("src LIKE 'src/%' OR src LIKE 'pkg/o%'").filter("src <> 'src/index.ts'")).count() == 0
+
+
+def test_validation_names_every_breach(spark):
+    bad = [node("a.ts#a:class", "function", "a", file="a.ts"), node("b", "function", "b", file="../b.ts"), node("c", "function", "c", file="/abs.ts"), node("", "function", "x"), node("d\0", "function", "d"), ("e", "external_symbol", "go", "e", None, "", True, False, False, None), node("f", "file", "f", file=""), ("g", "class", "go", "g", "", "g.go", False, False, False, 0)]
+    n = spark.createDataFrame(bad, NODE)
+    prov = spark.createDataFrame([("p", ["typescript", "zig"], ["f"], ["universe"], "t", 1, 0, "a" * 64, "b" * 64, "c"), ("q", [], [], [], "", 0, -1, "a" * 64, "b" * 64, "c" * 64)], "provider string, languages array<string>, facts array<string>, capabilities array<string>, tool string, schema_version int, protocol_version int, universe string, manifest string, content string")
+    cover = spark.createDataFrame([("p", "typescript", "x", "calls", "partial"), ("p", "typescript", "x", "calls", "partial")], "provider string, language string, target string, family string, state string")
+    left = spark.createDataFrame([("p", "typescript", "x", "calls", "d" * 64), ("p", "typescript", "x", "imports", "a" * 64)], "provider string, language string, target string, family string, universe string")
+    got = Counter(r.rule for r in assembly.violations(n, spark.createDataFrame([("b", "zz", "calls", 1)], EDGE), cover, left, ["typescript"], prov).collect())
+    assert got == Counter({
+        "id does not match its file and kind": 1, "path is not canonical": 3, "identity or name is empty": 3, "missing dst": 1, "line is not positive": 1, "language is not of the dump": 2, "provider claims an absent language": 1,
+        "content is no SHA-256": 1, "the producer's envelope is invalid": 1, "coverage is not exhaustive": 1, "duplicate coverage": 1, "coverage is missing": 1, "unresolved without partial coverage": 1, "unresolved of another universe": 1,
+    })
+
+
+def test_lua_reports_become_edges_between_declarations(spark, tmp_path):
+    at = lambda l, c, l2=None, c2=None: {"file": "a.lua", "startLine": l, "startColumn": c, "endLine": l if l2 is None else l2, "endColumn": c + 1 if c2 is None else c2}  # noqa: E731, E741
+    report = {"schemaVersion": 2, "files": ["a.lua"], "warnings": [], "nodes": [
+        {"name": "outer", "kind": "function", "location": at(0, 0), "body": at(0, 0, 9, 3)}, {"name": "inner", "kind": "local", "location": at(2, 2), "body": at(2, 2, 5, 5)},
+        {"name": "v", "kind": "local", "location": at(1, 2)}, {"name": "odd", "kind": "thing", "location": at(1, 9)}, {"name": "v", "kind": "local", "location": at(1, 2)}],
+        "edges": [{"from": 3, "kind": "r", "location": at(1, 2)}, {"from": 3, "kind": "r", "location": at(3, 3)}, {"from": 3, "kind": "r", "location": at(4, 3)}, {"from": 3, "kind": "r", "location": at(7, 1)},
+                  {"from": 2, "kind": "r", "location": at(8, 1)}, {"from": 2, "kind": "r", "location": at(3, 1)}, {"from": 3, "kind": "r", "location": at(20, 0)}, {"from": 4, "kind": "r", "location": at(3, 1)}]}
+    (tmp_path / "r.json").write_text(json.dumps(report))
+    n, e = artifacts.lua_graph(artifacts.read_lua_export(spark, f"file://{tmp_path}/r.json"))
+    assert {(r.id, r.kind, r.line, r.col) for r in n.collect()} == {("a.lua#outer@1:1:function", "function", 1, 1), ("a.lua#inner@3:3:variable", "variable", 3, 3), ("a.lua#v@2:3:variable", "variable", 2, 3)}
+    assert {(r.src.split("#")[1], r.dst.split("#")[1], r.line) for r in e.collect()} == {("inner@3:3:variable", "v@2:3:variable", 4), ("outer@1:1:function", "v@2:3:variable", 8), ("outer@1:1:function", "inner@3:3:variable", 9)}
+    (tmp_path / "old.json").write_text(json.dumps(report | {"schemaVersion": 1}))
+    with pytest.raises(Exception):
+        artifacts.lua_graph(artifacts.read_lua_export(spark, f"file://{tmp_path}/old.json"))[0].collect()
+
+
 def test_entry_registers_queries():
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert len(q) >= 45 and set(sql) <= set(q)
