@@ -4,8 +4,9 @@ Every round, each node points to the smallest of itself and its neighbours,
 pointers are followed twice, and the edges are drawn again between the nodes
 pointed to.  The smallest node of a component always points to itself, so it is
 what the component ends up as.  A hub's edges are combined to one minimum before
-they are shuffled, and each round's tables lie in the shared folder, so neither
-links nor components ever meet in one task or in the driver.
+they are shuffled, and drawn again where they lie (``join_spread``); each round's
+tables lie in the shared folder, so neither links nor components ever meet in one
+task or in the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import materialize
+from graphlake.llm.common import hot_keys, join_spread, materialize
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -31,16 +32,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     rounds: list[DataFrame] = []
     while not rest.isEmpty():
         ends = rest.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(rest.select("b", "a"))
-        least = ends.groupBy("node").agg(F.min("other").alias("other"))
-        to = materialize(least.select("node", F.least("node", "other").alias("to")), "pointers")
-        up = to.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        to = materialize(to.join(up, "to").select("node", F.col("up").alias("to")), "pointers")
-        rounds.append(to)
-        drawn = (
-            rest.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-            .join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-            .select("x", "y")
-        )
+        least = ends.groupBy("node").agg(F.min("other").alias("other"), F.count("*").alias("n"))
+        to = materialize(least.select("node", F.least("node", "other").alias("to"), "n"), "pointers")
+        pointed = materialize(to.groupBy("to").agg(F.count("*").alias("m")), "pointed")
+        up = pointed.join(to.select(F.col("node").alias("to"), F.col("to").alias("up")), "to")
+        to = materialize(join_spread(to, up.drop("m"), hot_keys(up, "m").drop("m"), ["to"]).select("node", F.col("up").alias("to"), "n"), "pointers")
+        rounds.append(to.drop("n"))
+        hubs = hot_keys(to, "n").drop("n")
+        drawn = rest
+        for end, new in (("a", "x"), ("b", "y")):
+            drawn = join_spread(drawn, *(t.select(F.col("node").alias(end), F.col("to").alias(new)) for t in (to, hubs)), [end])
+        drawn = drawn.select("x", "y")
         rest = materialize(_pairs(drawn, "x", "y"), "edges")
     if not rounds:
         return rest.select(F.col("a").cast(kind).alias("node"), F.col("b").alias("component"))

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from graphlake.llm.common import let, materialize, text_key, words_of
 
 GRAM = 4
-#: Up to this many fingerprints of the benchmark are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Up to this many fingerprints of the benchmark (40 bytes each), and words of its items, are broadcast; beyond, the joins shuffle.
+BROADCAST_ROWS, BROADCAST_WORDS = 500_000, 1_000_000
 
 
 def _later(values: Column, by: int) -> Column:
@@ -138,26 +138,30 @@ def scan_contamination(
         .distinct()
         .filter(F.size("__words") > 0)
     )
-    items = materialize(items.withColumn("__long", F.size("__words") >= span), "items")
+    # Of equal rows one is left, so two hashes of a row tell items apart.
+    named = [F.xxhash64("__item", "__words").alias("__row"), F.hash("__words").alias("__row2")]
+    items = materialize(items.select(*named, "__item", "__words", (F.size("__words") >= span).alias("__long")), "items")
     lengths = sorted(r[0] for r in items.filter(~F.col("__long")).select(F.size("__words")).distinct().collect())
     long_prints = (
         items.filter("__long")
         .select("*", fingerprints(F.col("__words"), span).alias("__prints"), _gram_hashes(F.col("__words")).alias("__grams"))
-        .select("__item", "__words", "__long", "__prints", F.posexplode("__grams").alias("__at", "__value"))
+        .select("__row", "__row2", "__prints", F.posexplode("__grams").alias("__at", "__value"))
         .filter(F.array_contains("__prints", F.col("__value")))
-        .select("__item", "__words", "__long", "__at", "__value")
+        .select("__row", "__row2", "__at", "__value")
     )
     prints = long_prints
     for n in lengths:
         prints = prints.unionByName(
             items.filter(~F.col("__long") & (F.size("__words") == n)).select(
-                "__item", "__words", "__long", F.lit(0).alias("__at"), F.get(_runs(F.col("__words"), n), F.lit(0)).alias("__value")
+                "__row", "__row2", F.lit(0).alias("__at"), F.get(_runs(F.col("__words"), n), F.lit(0)).alias("__value")
             )
         )
     prints = materialize(prints, "prints")
     values = prints.select("__value").distinct()
     if prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         values, prints = F.broadcast(values), F.broadcast(prints)
+    told = items.agg(F.sum(F.size("__words") + 8)).first()[0] or 0
+    texts = F.broadcast(items) if told <= BROADCAST_WORDS else items
 
     every = docs.select(*text_key(id_, text), id_.alias("__id"), text.alias("__text"))
 
@@ -187,8 +191,9 @@ def scan_contamination(
         .select("__key_id", "__key_text", "__value")
         .distinct()
         .join(prints, "__value")
-        .groupBy("__key_id", "__key_text", "__item", "__words", "__long")
+        .groupBy("__key_id", "__key_text", "__row", "__row2")
         .agg(F.collect_set(F.struct("__value", "__at")).alias("__shared"))
+        .join(texts, ["__row", "__row2"])
         .groupBy("__key_id", "__key_text")
         .agg(F.collect_list(F.struct("__item", "__words", "__long", "__shared")).alias("__items"))
     )

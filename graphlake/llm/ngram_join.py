@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import materialize, text_key
+from graphlake.llm.common import bound_batches, materialize, text_key
 from graphlake.llm.components import connected_components
-from graphlake.llm.shingles import shingle_set
+from graphlake.llm.shingles import forget, shingle_set
 
 #: Frequent shingles that are told to all tasks at most (16 bytes each).
 FREQUENT = 300_000
@@ -46,8 +46,8 @@ DIMS = 64
 LEAF = 32
 #: Sets and shingles that one side of a task of the join holds at most.
 BLOCK_SETS, BLOCK_SHINGLES = 4_000, 4_000_000
-#: Representatives are broadcast up to this number of rows; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Representatives are broadcast up to this number of rows (72 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
 
 
 def required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -66,10 +66,13 @@ def _set_id(own: np.ndarray) -> int:
 
 def _read(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches and the shingle sets of their last column."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            yield part, [shingle_set(t, width) for t in part[part.num_columns - 1].cast(pa.binary()).to_pylist()]
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part, [shingle_set(t, width) for t in part[part.num_columns - 1].cast(pa.binary()).to_pylist()]
+    finally:
+        forget()
 
 
 def _batch(names: str, *cols: np.ndarray) -> pa.RecordBatch:
@@ -368,6 +371,7 @@ def shingle_components(
     Sets are told apart by 64-bit hashes of shingles and of sets.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     read = docs.select(*text_key(id_, text), id_.alias("doc_id"), text.alias("text"))
     run, schema = _sets_and_counts(width)

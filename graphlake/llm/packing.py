@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.tokenizing import encode_texts
+from graphlake.llm.common import bound_batches
+from graphlake.llm.tokenizing import encode_texts, forget
 
 END = np.asarray([1], "<u4").tobytes()
 WIDTH = 4
@@ -165,14 +166,18 @@ def pack_documents(
                 part = zip(*taken[at : at + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                for doc_id, ids in zip(part[0].to_pylist(), encode_texts(part[1].to_pylist(), tokenizer_path), strict=True):
-                    packer.add(doc_id, ids + END)
-                yield from rows()
-        packer.drain()
-        yield from rows()
-
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    for doc_id, ids in zip(part[0].to_pylist(), encode_texts(part[1].to_pylist(), tokenizer_path), strict=True):
+                        packer.add(doc_id, ids + END)
+                    yield from rows()
+            packer.drain()
+            yield from rows()
+        finally:
+            forget(tokenizer_path)
+
+    bound_batches(docs.sparkSession)
     read = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return read.mapInArrow(packed, SCHEMA)

@@ -5,23 +5,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from graphlake.llm.common import Remembered
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a number of words."""
-
-    limit = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_WORDS = WordHashes()
+_WORDS = Remembered(xxhash.xxh3_64_intdigest)
 
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -42,3 +32,8 @@ def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
         out ^= out >> _SHIFT
     out += np.uint64(width)
     return np.unique(out)
+
+
+def forget() -> None:
+    """Let go of remembered words, at the end of a task."""
+    _WORDS.clear()

@@ -13,8 +13,8 @@ from functools import cache
 
 import numpy as np
 
-#: Words remembered by a worker; when full, those not seen since the last time go.
-CACHE_WORDS = 500_000
+from graphlake.llm.common import Remembered
+
 # White space, printable ASCII and the Latin letters up to U+017F without U+0130, whose lower case is two characters.
 _UNKNOWN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
@@ -31,22 +31,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class _Words(dict):
-    """Ids of normalised words, found by the tokenizer's model alone."""
+class _Encoder:
+    """Ids of a normalised word, found by the tokenizer's model alone."""
 
     def __init__(self, model) -> None:
-        self.model, self.letters, self.old = model, _byte_letters(), {}
+        self.model, self.letters = model, _byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
-        return found
+    def __call__(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
 
 
 @cache
@@ -54,7 +47,7 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return tokenizer, _Words(tokenizer.model)
+    return tokenizer, Remembered(_Encoder(tokenizer.model))
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
@@ -70,3 +63,8 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
         else:
             out.append(b"".join(map(known.__getitem__, _WORDS.findall(text.lower()))))
     return out
+
+
+def forget(path: str) -> None:
+    """Let go of remembered words, at the end of a task."""
+    _tokenizer(path)[1].clear()

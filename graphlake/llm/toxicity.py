@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import materialize
+from graphlake.llm.common import Remembered, bound_batches, materialize
 
 #: Labelled rows that a classifier is fitted on at most.
 MAX_TRAIN = 8_000
@@ -93,23 +93,20 @@ IDENTITY = [
 ]
 _WORD = re.compile(r"[^\W\d_]+")
 _SWAPS = {w: [v for v in line.split() if v != w] for line in IDENTITY for w in line.split()}
-_known: dict[str, tuple[int, ...]] = {}
 
 
 def _word_features(word: str) -> tuple[int, ...]:
-    found = _known.get(word)
-    if found is None:
-        if len(_known) > 300_000:
-            _known.clear()
-        parts = [f"={word}"] + [f"^{word[:n]}" for n in STEMS if len(word) >= n]
-        found = _known[word] = tuple(xxhash.xxh32_intdigest(p) & 0x7FFFFFFF for p in parts)
-    return found
+    parts = [f"={word}"] + [f"^{word[:n]}" for n in STEMS if len(word) >= n]
+    return tuple(xxhash.xxh32_intdigest(p) & 0x7FFFFFFF for p in parts)
+
+
+_known = Remembered(_word_features)
 
 
 def features(text: str | None) -> np.ndarray:
     """The distinct hashed features of a text, sorted."""
     words = set(_WORD.findall(text.lower())) if text else ()
-    return np.unique(np.fromiter((f for w in words for f in _word_features(w)), np.int64))
+    return np.unique(np.fromiter((f for w in words for f in _known[w]), np.int64))
 
 
 def swapped(text: str | None) -> str | None:
@@ -231,6 +228,7 @@ def train_classifier(
     The rows are those with the smallest hash of the id.  Rows without an id or
     a label are left out; an id with several labels counts with the largest.
     """
+    bound_batches(docs.sparkSession)
     id_ = F.col(f"`{id_col}`")
     chosen = (
         labels.select(id_.cast("long").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__y"))
@@ -245,13 +243,16 @@ def train_classifier(
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """How many of a batch's texts hold a feature, and how many of these are toxic; feature -1 is every text."""
-        for part in parts:
-            for at in range(0, len(part), 500):
-                some = part.iloc[at : at + 500]
-                sets = [np.append(features(t), -1) for t in some["__text"]]
-                names, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-                y = np.repeat(some["__y"].to_numpy(np.float64), [len(s) for s in sets])
-                yield pd.DataFrame({"f": names, "pos": np.bincount(inverse, weights=y).astype(np.int64), "n": np.bincount(inverse)})
+        try:
+            for part in parts:
+                for at in range(0, len(part), 500):
+                    some = part.iloc[at : at + 500]
+                    sets = [np.append(features(t), -1) for t in some["__text"]]
+                    names, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+                    y = np.repeat(some["__y"].to_numpy(np.float64), [len(s) for s in sets])
+                    yield pd.DataFrame({"f": names, "pos": np.bincount(inverse, weights=y).astype(np.int64), "n": np.bincount(inverse)})
+        finally:
+            _known.clear()
 
     stats = rows.mapInPandas(counted, "f long, pos long, n long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     stats = materialize(stats.filter((F.col("n") >= 3) | (F.col("f") < 0)), "features")
@@ -269,12 +270,15 @@ def train_classifier(
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Texts and their counterparts as the chosen features alone."""
-        for part in parts:
-            out = []
-            for i, t, y in zip(part["__id"], part["__text"], part["__y"], strict=True):
-                other = swapped(t)
-                out.append((i, y, np.intersect1d(features(t), kept), None if other is None else np.intersect1d(features(other), kept)))
-            yield pd.DataFrame(out, columns=["i", "y", "f", "c"])
+        try:
+            for part in parts:
+                out = []
+                for i, t, y in zip(part["__id"], part["__text"], part["__y"], strict=True):
+                    other = swapped(t)
+                    out.append((i, y, np.intersect1d(features(t), kept), None if other is None else np.intersect1d(features(other), kept)))
+                yield pd.DataFrame(out, columns=["i", "y", "f", "c"])
+        finally:
+            _known.clear()
 
     found = rows.mapInPandas(read, "i long, y int, f array<long>, c array<long>").toPandas().sort_values("i", kind="stable")
     sets = [np.asarray(x, np.int64) for x in found["f"]]
@@ -295,7 +299,12 @@ def score_toxicity(docs: DataFrame, classifier: Classifier, text_col: str = "tex
     """
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([classifier.score(t) for t in texts], dtype="float64")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in parts:
+                yield pd.Series([classifier.score(t) for t in texts], dtype="float64")
+        finally:
+            _known.clear()
 
+    bound_batches(docs.sparkSession)
     return docs.withColumn("score", score(F.col(f"`{text_col}`")))
