@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import materialize
+from graphlake.llm.common import let, materialize
 from graphlake.llm.components import connected_components
 
 MARKS = r"^[\x20\t]*(>[\x20\t>]*)"
@@ -76,23 +76,23 @@ def _implied(tied: DataFrame) -> DataFrame:
 
 
 def _passages(text: Column) -> Column:
-    """Runs of neighbouring lines of one quote level, with the level and the text without marks."""
+    """Runs of neighbouring lines of one quote level, with the level and the text without marks; linear in the lines."""
     line = lambda x: F.struct(
         F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), r"[^>]", "")).alias("level"),
         F.regexp_replace(x, MARKS, "").alias("text"),
     )
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line)
-    start = F.array().cast("array<struct<level:int,lines:array<string>>>")
+    begins = lambda own: F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i)["level"] != F.get(own, i - 1)["level"]))
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        fresh = F.struct(x["level"].alias("level"), F.array(x["text"]).alias("lines"))
-        grown = F.struct(x["level"].alias("level"), F.array_append(last["lines"], x["text"]).alias("lines"))
-        same = (F.size(done) > 0) & (last["level"] == x["level"])
-        head = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(same, F.array_append(head, grown)).otherwise(F.array_append(done, fresh))
+    def passages(own: Column, starts: Column) -> Column:
+        def passage(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(own))
+            return F.struct(F.get(own, start)["level"].alias("level"), F.transform(F.slice(own, start + 1, end - start), lambda x: x["text"]).alias("lines"))
 
-    return F.aggregate(lines, start, add)
+        return F.transform(starts, passage)
+
+    both = let(lines, lambda own: F.struct(own.alias("own"), begins(own).alias("starts")))
+    return let(both, lambda x: passages(x["own"], x["starts"]))
 
 
 def link_quotes(
@@ -116,6 +116,9 @@ def link_quotes(
     * Null text is empty; a message of quotes alone becomes empty.
     * Null conversations or turns are kept and tied to nothing.
     * Repeated rows are kept and tied alike.  An empty table gives an empty table.
+    * Of several messages that say a passage alike, the first counts (see above).
+    * A text of any length is parsed whole; part of a line links nothing.
+    * Other columns are passed on, but for names that begin with two underscores.
     """
     made = ("reply_conv", "reply_turn", "n_quotes", "n_linked", "thread")
     conv, turn, text = F.col(f"`{conv_col}`"), F.col(f"`{turn_col}`"), F.col(f"`{text_col}`")

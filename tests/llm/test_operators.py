@@ -443,6 +443,7 @@ def test_registered_search_takes_whole_texts(spark, tmp_path, monkeypatch):
 def test_many_terms_are_added_up_exactly(monkeypatch, dense):
     monkeypatch.setattr(bm25, "DENSE", dense)
     monkeypatch.setattr(bm25, "SPREAD", 100)
+    monkeypatch.setattr(bm25, "PANEL", 700)
     rng = np.random.default_rng(3)
     n = 150
     lists = [np.sort(rng.choice(n, rng.integers(1, n), replace=False)).astype(np.uint32) for _ in range(60)]
@@ -558,6 +559,91 @@ def test_wrapped_notices_are_found_and_told_apart(spark):
     assert [got[i].n_words for i in range(len(cases))] == [len(words(t)) for t, _ in cases]
 
 
+def mail(seed=4, conversations=30):
+    """Conversations whose replies quote lines, paragraphs or all of an earlier message, and what they must be tied to."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, want = [], {}
+    for conv in range(conversations):
+        said = []
+        for turn in range(rng.randint(2, 7)):
+            own = [[" ".join(word() for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 3))]
+            quoted, to = [], None
+            if turn and rng.random() < 0.8:
+                to = rng.randrange(turn)
+                flat = [x for p in said[to] for x in p]
+                how = rng.randrange(4)
+                if how == 0:
+                    quoted = [x for p in said[to] for x in [*p, ""]][:-1]
+                elif how == 1:
+                    quoted = rng.choice(said[to])
+                elif how == 2:  # wrapped anew
+                    quoted = " ".join(rng.choice(said[to])).split(" ")
+                    quoted = [" ".join(quoted[i : i + 3]) for i in range(0, len(quoted), 3)]
+                else:
+                    lo = rng.randrange(len(flat))
+                    quoted = flat[lo : rng.randint(lo, len(flat) - 1) + 1]
+            text = "\n".join([f"> {x.upper()}" for x in quoted] + ["\n\n".join("\n".join(p) for p in own)])
+            said.append(own)
+            rows.append((conv, turn, "user", text))
+            want[conv, turn] = (to, bool(quoted), "\n\n".join("\n".join(p) for p in own))
+    return rows, want
+
+
+def test_quotes_of_a_generated_corpus_are_tied_to_what_they_quote(spark):
+    rows, want = mail()
+    got = quote_linking.link_quotes(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert len(got) == len(rows) and sum(q for _, q, _ in want.values()) > 40
+    threads = {}
+    for (conv, turn), (to, _, _) in sorted(want.items()):
+        threads[conv, turn] = turn if to is None else threads[conv, to]
+    for r in got:
+        to, quotes, own = want[r.conv_id, r.turn]
+        assert (r.reply_conv, r.reply_turn) == ((r.conv_id, to) if quotes else (None, None)), r
+        assert (r.n_quotes, r.n_linked, r.text, r.thread) == (int(quotes), int(quotes), own, threads[r.conv_id, r.turn]), r
+
+
+def test_a_long_quoting_text_is_parsed_whole(spark):
+    lines = [f"line {i} of it" for i in range(20_000)]
+    rows = [(1, 0, "\n".join(lines)), (1, 1, "\n".join(f"> {x}\nno" for x in lines[:3_000])), (1, 2, "\n".join("> " + x for x in lines))]
+    got = {r.turn: r for r in quote_linking.link_quotes(spark.createDataFrame(rows, "conv_id long, turn int, text string")).collect()}
+    assert (got[1].n_quotes, got[1].n_linked, got[1].reply_turn) == (3_000, 3_000, 0) and (got[2].n_quotes, got[2].n_linked, got[2].reply_turn) == (1, 1, 0)
+
+
+def test_verdicts_over_a_generated_graph_of_redirects(spark):
+    rng = random.Random(6)
+    urls = [f"http://h{rng.randrange(4)}.{rng.choice(['com', 'net', 'org', 'xyz'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{i}" for i in range(300)]
+    pages = [(i, u, f'<link rel="canonical" href="{rng.choice(urls)}">' if rng.random() < 0.25 else "<p>") for i, u in enumerate(urls)]
+    hub = [(u, urls[0]) for u in urls[200:]]
+    redirects = [(rng.choice(urls), rng.choice(urls)) for _ in range(40)] + hub
+    rules = [("block", "com", "/en/"), ("allow", "h1.com", "/en/"), ("block", "net", "/de/"), ("allow", "org", "/es/")]
+    up = {u: u for u in urls}
+
+    def root(u):
+        while up[u] != u:
+            u = up[u]
+        return u
+
+    links = [*redirects, *((u, h.split('"')[3]) for _, u, h in pages if "canonical" in h)]
+    for a, b in links:
+        up[root(a)] = root(b)
+
+    def rule(u):
+        host, path = u[7:].split("/", 1)
+        fit = [(len(h + p), action == "allow", action) for action, h, p in rules if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        return max(fit)[2] if fit else None
+
+    said = defaultdict(set)
+    for u in urls:
+        said[root(u)].add(rule(u))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = url_filter.judge_urls(table, rules, spark.createDataFrame(redirects, "src string, dst string")).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        others = said[root(r.url)]
+        assert r.verdict == (rule(r.url) or ("allow" if "allow" in others else "block" if "block" in others else "allow")), r
+
+
 # --- language model
 
 
