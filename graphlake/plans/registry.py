@@ -423,13 +423,19 @@ invoked AS (
 """
 
 
-@query(f"""
-WITH {INVOKED}, walk(seed, id, depth) AS (
-  SELECT id, id, 0 FROM nodes WHERE kind = 'method' UNION SELECT seed, dst, depth + 1 FROM walk JOIN hop ON src = walk.id WHERE depth < 4
-) SELECT seed, count(DISTINCT file) FILTER (WHERE seed <> id) AS files FROM walk JOIN nodes USING (id) GROUP BY seed
-""", recursive=True)
+def _files_sql(seeds: str) -> str:
+    """Levels of a walk over ``hop``, each but the first from seeds that have seen fewer than 400 nodes."""
+    out = f"seen0 AS (SELECT id AS seed, id FROM {seeds}), level0 AS (SELECT * FROM seen0)"
+    for n in range(1, 5):
+        few = f"WHERE seed IN (SELECT seed FROM seen{n - 1} GROUP BY seed HAVING count(*) < 400)"
+        out += f""", level{n} AS (SELECT seed, dst AS id FROM level{n - 1} JOIN hop ON src = level{n - 1}.id {few} EXCEPT SELECT * FROM seen{n - 1}),
+        seen{n} AS (SELECT * FROM seen{n - 1} UNION ALL SELECT * FROM level{n})"""
+    return out + ", reached AS (SELECT seed AS id, count(DISTINCT file) FILTER (WHERE seed <> id) AS files FROM seen4 JOIN nodes USING (id) GROUP BY seed)"
+
+
+@query(f"WITH {INVOKED}, methods AS (SELECT id FROM nodes WHERE kind = 'method'), {_files_sql('methods')} SELECT id AS seed, files FROM reached")
 def reach_files_d4(spark, sf, nodes, edges):
-    """Files that all methods reach in four invocations (no method here sees the limit of 400 nodes)."""
+    """Files that all methods reach in four invocations."""
     return tour.files_reached(nodes.filter("kind = 'method'").select("id"), nodes, edges)
 
 
@@ -452,11 +458,10 @@ WITH {DEGREE}, {INVOKED}, {SURFACE}, fans AS (
   SELECT dst AS id, count(*) AS fan FROM edges WHERE kind IN ('calls', 'instantiates', 'renders') AND src IN (SELECT id FROM production) GROUP BY dst
 ), seeds AS (
   SELECT id, s, coalesce(fan, 0) AS e FROM production JOIN surface USING (id) LEFT JOIN fans USING (id) WHERE s > 0
-), walk(seed, id, depth) AS (SELECT id, id, 0 FROM seeds UNION SELECT seed, dst, depth + 1 FROM walk JOIN hop ON src = walk.id WHERE depth < 4),
-reached AS (SELECT seed AS id, count(DISTINCT file) FILTER (WHERE seed <> id) AS files FROM walk JOIN nodes USING (id) GROUP BY seed),
+), {_files_sql('seeds')},
 raws AS (SELECT id, log2(1 + s) * greatest(files / greatest(1, max(files) OVER ()), e / greatest(1, max(e) OVER ())) AS r FROM seeds JOIN reached USING (id))
 SELECT id, CASE WHEN max(r) OVER () > 0 THEN round(100 * r / max(r) OVER (), 4) ELSE 0 END AS centrality FROM raws
-""", recursive=True)
+""")
 def centrality(spark, sf, nodes, edges):
     return tour.centrality(nodes, edges, degrees.degrees(edges))
 
@@ -619,8 +624,9 @@ def merge_overlap(spark, sf, nodes, edges):
 
 
 @query("""
-SELECT 'missing src' AS rule, src || ' ' || dst || ' ' || kind AS subject FROM edges WHERE src NOT IN (SELECT id FROM nodes)
-UNION ALL SELECT 'missing dst', src || ' ' || dst || ' ' || kind FROM edges WHERE dst NOT IN (SELECT id FROM nodes)
+WITH known AS (SELECT id FROM nodes UNION SELECT file FROM nodes)
+SELECT 'missing src' AS rule, src || ' ' || dst || ' ' || kind AS subject FROM edges WHERE src NOT IN (SELECT id FROM known)
+UNION ALL SELECT 'missing dst', src || ' ' || dst || ' ' || kind FROM edges WHERE dst NOT IN (SELECT id FROM known)
 """)
 def validate_endpoints(spark, sf, nodes, edges):
     return assembly.violations(nodes, edges)
