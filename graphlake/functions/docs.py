@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SAFE = "!'()*-._~"  # fixed value: what URI components leave as it is, beside letters and digits
+SAFE = "!'()*-._~"  # fixed value: what URI components leave as it is, beside letters and digits
 
 
 def doc_text(lines: list[str], line: int) -> str | None:
@@ -78,7 +78,7 @@ def encode_component(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def encoded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else quote(t, safe=_SAFE))
+        return texts.map(lambda t: None if t is None else quote(t, safe=SAFE))
 
     return encoded(text)
 

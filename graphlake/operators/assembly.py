@@ -317,6 +317,28 @@ def innermost_owner(uses: DataFrame, scopes: DataFrame) -> DataFrame:
     return held.groupBy(*uses.columns).agg(F.min_by("owner", rank).alias("owner"))
 
 
+def distant_owners(declarations: DataFrame) -> DataFrame:
+    """Contains edges to members that name their owner and lie outside of it: C++ definitions out of line, Swift extensions.
+
+    ``declarations`` (id, language, kind, full, owner_id, owner_name, has_body,
+    exported). In C++ the owner is a type of that name, or else one that is so
+    called without its anonymous namespaces; of several, one with a body, then one
+    that is exported, then the smallest id. In Swift it is the sole type of the name.
+    """
+    types = F.col("kind").isin("class", "interface", "namespace", "module", "enum")
+    loose = declarations.filter("owner_id IS NULL AND owner_name IS NOT NULL").select(F.col("id").alias("dst"), "language", F.col("owner_name").alias("full"))
+    cpp = declarations.filter((F.col("language") == "cpp") & types)
+    bare = F.array_join(F.filter(F.split("full", r"\."), lambda n: n != "(anonymous namespace)"), ".")
+    best = F.struct((~F.col("has_body")).alias("b"), (~F.col("exported")).alias("e"), F.col("id").alias("i"))
+    exact = cpp.select("full", best.alias("k"), F.lit(0).alias("tier"), "id")
+    alias = cpp.filter(bare != F.col("full")).select(bare.alias("full"), best.alias("k"), F.lit(1).alias("tier"), "id")
+    named = exact.unionByName(alias).groupBy("full").agg(F.min_by("id", F.struct("tier", "k")).alias("src"))
+    swift = declarations.filter(F.col("language") == "swift").filter(F.col("kind").isin("class", "interface", "enum", "type"))
+    sole = swift.groupBy("full").agg(F.count("*").alias("n"), F.min("id").alias("src")).filter("n = 1").drop("n")
+    made = loose.filter("language = 'cpp'").join(named, "full").unionByName(loose.filter("language = 'swift'").join(sole, "full"))
+    return made.filter("src <> dst").select("src", "dst", F.lit("contains").alias("kind"))
+
+
 def sole_endpoint(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``target`` of references (ref, name, file): the sole node of the name in the file, else the sole one anywhere.
 

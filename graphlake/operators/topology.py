@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlake.functions.docs import SAFE, encode_component
 from graphlake.functions.text import dirname
+from graphlake.sources.shared import materialize
 
 
 def inspect(nodes: DataFrame, edges: DataFrame, query: str | None = None, relations: list[str] | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -48,6 +53,95 @@ def file_joins(nodes: DataFrame, files: DataFrame, limit: int | None = None) ->
     return every if limit is None else every.orderBy("id", "file").limit(max(0, min(500, limit)))
 
 
+# Families of relations between parts of a repository.
+RELATIONS = "contains depends-on source-of test-of produces invokes entrypoint-of joins-file".split()
+
+
+def node_id(ecosystem: str, configuration: Column, kind: str, coordinate: Column) -> Column:
+    """``repository://ecosystem/configuration/kind/coordinate``, each part as a URI component."""
+    return F.concat(F.lit(f"repository://{quote(ecosystem, safe=SAFE)}/"), encode_component(configuration), F.lit(f"/{quote(kind, safe=SAFE)}/"), encode_component(coordinate))
+
+
+def assemble(providers: dict[str, dict[str, DataFrame]], failed: dict[str, tuple[str, str]], spark: SparkSession) -> dict[str, DataFrame]:
+    """The topology of all providers: ``nodes``, ``edges``, ``coverage``, ``shards`` and ``warnings``.
+
+    ``providers`` has each one's tables of these names (shards: key, digest);
+    ``failed`` an ecosystem and a message of each that has none, which then covers
+    no family. Of equal nodes and edges the first provider's (by name) counts;
+    shards are named after theirs.
+    """
+    order = sorted(providers)
+    stack = lambda t: [providers[p][t].withColumn("__p", F.lit(i)) for i, p in enumerate(order) if t in providers[p]]
+
+    def first(t: str, key: list[str]) -> DataFrame:
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stack(t))
+        rest = [c for c in rows.columns if c not in (*key, "__p")]
+        kept = rows.groupBy(*key).agg(F.min_by(F.struct(F.lit(0).alias("__x"), *rest), F.struct("__p", *rest)).alias("f"))
+        return kept.select(*key, *[F.col(f"f.{c}").alias(c) for c in rest])
+
+    none = spark.createDataFrame([(p, e, "unavailable", f, "unsupported") for p, (e, _) in sorted(failed.items()) for f in RELATIONS], "provider string, ecosystem string, target string, family string, state string")
+    coverage = reduce(lambda a, b: a.unionByName(b), [none, *[df.drop("__p") for df in stack("coverage")]])
+    shards = [providers[p]["shards"].select(F.concat(F.lit(f"{p}/"), "key").alias("key"), "digest") for p in order if "shards" in providers[p]]
+    said = [f"repository context unavailable: {p}: {message}" for p, (_, message) in sorted(failed.items())]
+    out = {"coverage": coverage, "warnings": spark.createDataFrame([(w,) for w in said], "text string")}
+    if order:
+        out |= {"nodes": first("nodes", ["id"]), "edges": first("edges", ["src", "dst", "kind"])}
+    if shards:
+        out["shards"] = reduce(lambda a, b: a.unionByName(b), shards)
+    return out
+
+
+def cargo(packages: DataFrame, members: DataFrame, resolved: DataFrame, workspace: str, folder: str = ".") -> tuple[DataFrame, DataFrame]:
+    """Nodes and relations of resolved Cargo metadata.
+
+    ``packages`` (id, name, version, path, targets: array of (name, kind array,
+    file)), ``members`` (id), ``resolved`` (id, features, dependencies). A package
+    contains its build targets, a target its source set, which is of the package
+    (a test of it, if it is a test or bench) and is joined to its file; binaries,
+    examples, tests and benches have an entry point.
+    """
+    eco = "cargo"
+    config = F.when(F.size("features") > 0, F.concat(F.lit("features="), F.array_join(F.array_sort("features"), ","))).otherwise(F.lit("default"))
+    pkg = packages.join(resolved.select("id", config.alias("configuration"), "dependencies"), "id", "left").fillna("default", ["configuration"])
+    pkg = pkg.join(members.select("id").distinct().withColumn("member", F.lit(True)), "id", "left")
+    pkg = pkg.withColumn("coordinate", F.concat("name", F.lit("@"), "version", F.lit(":"), "path"))
+    pkg = materialize(pkg.withColumn("node", node_id(eco, F.col("configuration"), "package", F.col("coordinate"))), "packages")
+    one = packages.sparkSession.range(1)
+    root = one.select(node_id(eco, F.lit("default"), "workspace", F.lit(folder)).alias("id")).first()["id"]
+    t = pkg.select("node", "id", "configuration", F.explode("targets").alias("t")).withColumn("kinds", F.array_join("t.kind", "+"))
+    t = t.withColumn("coordinate", F.concat("id", F.lit("#"), "t.name", F.lit(":"), "kinds"))
+    t = materialize(t.withColumns({"target": node_id(eco, F.col("configuration"), "build-target", F.col("coordinate")), "set": node_id(eco, F.col("configuration"), "source-set", F.col("coordinate")), "entry": node_id(eco, F.col("configuration"), "entrypoint", F.col("coordinate"))}), "targets")
+    runs = t.filter(F.arrays_overlap("t.kind", F.array(*map(F.lit, ("bin", "example", "test", "bench")))))
+    null = F.lit(None).cast("string")
+    node = lambda df, id_, kind, name, coordinate, external, file=null, root=null: df.select(id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"), coordinate.alias("coordinate"), external.alias("external"), file.alias("file"), root.alias("root"))
+    outside = F.rlike("t.file", F.lit(r"^(/|\.\./)"))
+    nodes = [
+        node(one, F.lit(root), "workspace", F.lit(workspace), F.lit(folder), F.lit(False), root=F.lit(folder)),
+        node(pkg, F.col("node"), "package", F.col("name"), F.col("coordinate"), F.col("member").isNull()),
+        node(t, F.col("target"), "build-target", F.col("t.name"), F.col("coordinate"), outside, F.col("t.file")),
+        node(t, F.col("set"), "source-set", F.col("kinds"), F.col("coordinate"), outside, F.col("t.file")),
+        node(runs, F.col("entry"), "entrypoint", F.col("t.name"), F.col("coordinate"), outside, F.col("t.file")),
+    ]
+    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"))
+    ids = pkg.select(F.col("id").alias("dependency"), F.col("node").alias("to"))
+    deps = pkg.select("node", F.explode("dependencies").alias("dependency")).join(ids, "dependency")
+    tests = F.array_contains("t.kind", "test") | F.array_contains("t.kind", "bench")
+    edges = [
+        edge(pkg.filter("member"), F.lit(root), F.col("node"), "contains"),
+        edge(t, F.col("node"), F.col("target"), "contains"),
+        edge(t, F.col("target"), F.col("set"), "contains"),
+        edge(t, F.col("set"), F.col("node"), "source-of"),
+        edge(t, F.col("set"), F.col("t.file"), "joins-file"),
+        edge(t.filter(tests), F.col("set"), F.col("node"), "test-of"),
+        edge(runs, F.col("target"), F.col("entry"), "contains"),
+        edge(runs, F.col("entry"), F.col("target"), "entrypoint-of"),
+        edge(runs, F.col("entry"), F.col("t.file"), "joins-file"),
+        edge(deps, F.col("node"), F.col("to"), "depends-on"),
+    ]
+    join = lambda rows: reduce(lambda a, b: a.unionByName(b), rows).distinct()
+    return join(nodes), join(edges)
+
+
 def fence(code_project: str, topology_project: str, generation: str | None, confirmed: str | None, published: bool) -> dict[str, str | None]:
     """Whether files of a topology may be tied to code: one project, a topology that was published, and code that stood still while it was read."""
     reason = None

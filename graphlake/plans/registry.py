@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlake.functions import docs
 from graphlake.functions import text as X
-from graphlake.operators import assembly, degrees, details, handles, identity, lookup, overview, reduce, topology, tour, trace, trust
+from graphlake.operators import assembly, contract, degrees, details, handles, identity, lookup, overview, reduce, topology, tour, trace, trust
 from graphlake.plans import testgraph
-from graphlake.sources import artifacts
+from graphlake.sources import artifacts, snapshots
 from graphlake.sources.static import tables
 from graphlake.streaming import generations
 
@@ -900,6 +901,123 @@ def resolve_modules(spark, sf, nodes, edges):
     return assembly.resolve_modules(asked, nodes.select("file").distinct(), ["", ".ts", ".tsx", "/index.ts"])
 
 
+def _native(spark, sf):
+    """A native snapshot of the tables: suppliers and parts are symbols, orders include nations' headers, line items use parts."""
+    s, p, li = _t(spark, sf, "supplier"), _t(spark, sf, "part"), _t(spark, sf, "lineitem")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    owners = s.select(text("s", "s_suppkey").alias("id"), F.lit("").alias("owner"), F.col("s_name").alias("name"), F.lit(7).alias("code"), F.concat(text("src/n", "s_nationkey"), F.lit(".h")).alias("file"), (F.col("s_suppkey") % 50 + 1).alias("line"), (F.col("s_acctbal") > 0).alias("exported"))
+    n = s.count()
+    parts = p.select(text("p", "p_partkey").alias("id"), F.concat(F.lit("s"), (F.col("p_partkey") % n).cast("string")).alias("owner"), F.col("p_name").alias("name"), (F.col("p_partkey") % 35).cast("int").alias("code"), F.concat(text("src/b", "p_size"), F.lit(".cc")).alias("file"), (F.col("p_partkey") % 90 + 1).alias("line"), F.lit(False).alias("exported"))
+    includes = p.select(F.concat(text("src/b", "p_size"), F.lit(".cc")).alias("source"), F.concat(F.lit("src/n"), (F.col("p_partkey") % 25).cast("string"), F.lit(".h")).alias("target"), F.lit(1).alias("line"))
+    modules = _t(spark, sf, "region").select(F.col("r_name").alias("name"), F.concat(text("src/n", "r_regionkey"), F.lit(".h")).alias("file"), F.lit(2).alias("line"))
+    uses = li.select(text("s", "l_suppkey").alias("owner"), text("p", "l_partkey").alias("symbol"), (F.col("l_partkey") % 35).cast("int").alias("target_kind"), F.when(F.col("l_returnflag") == "R", 32).when(F.col("l_returnflag") == "A", 4).otherwise(8).alias("roles"), F.col("l_linenumber").cast("int").alias("line"))
+    relations = li.select(text("p", "l_partkey").alias("subject"), text("s", "l_suppkey").alias("object"), F.when(F.col("l_linestatus") == "O", 1 << 14).otherwise(1 << 16).alias("roles"))
+    macros = _t(spark, sf, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, 4).otherwise(6).alias("roles"), F.concat(text("src/b", "n_nationkey"), F.lit(".cc")).alias("file"), F.concat(text("src/n", "n_nationkey"), F.lit(".h")).alias("definition"), F.lit(3).alias("line"))
+    return {"symbols": owners.unionByName(parts), "includes": includes, "modules": modules, "occurrences": uses, "relations": relations, "macros": macros}
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM supplier), lanes AS (
+  SELECT 0 AS lane, 'src/n' || s_nationkey || '.h' AS src, 's' || s_suppkey AS dst, 'contains' AS kind, s_suppkey % 50 + 1 AS line FROM supplier
+  UNION ALL SELECT 0, 'src/n' || s_nationkey || '.h', 's' || s_suppkey, 'exports', s_suppkey % 50 + 1 FROM supplier WHERE s_acctbal > 0
+  UNION ALL SELECT 0, 's' || (p_partkey % n), 'p' || p_partkey, 'contains', p_partkey % 90 + 1 FROM part, n
+  UNION ALL SELECT 1, 'src/b' || p_size || '.cc', 'src/n' || (p_partkey % 25) || '.h', 'imports', 1 FROM part
+  UNION ALL SELECT 2, 'src/n' || r_regionkey || '.h', 'module:' || r_name, 'imports', 2 FROM region
+  UNION ALL SELECT 3, 's' || l_suppkey, 'p' || l_partkey, unnest(list_filter([
+      CASE WHEN l_returnflag = 'R' THEN 'calls' END, CASE WHEN l_returnflag = 'R' AND l_partkey % 35 = 23 THEN 'instantiates' END, CASE WHEN l_returnflag = 'N' THEN 'accesses' END,
+      CASE WHEN l_returnflag = 'A' THEN 'references' END, CASE WHEN l_returnflag = 'A' AND l_partkey % 35 IN (6, 7, 8, 9, 10, 11, 12, 28, 29, 31) THEN 'type_ref' END], lambda k: k IS NOT NULL)), l_linenumber FROM lineitem
+  UNION ALL SELECT 4, 's' || l_suppkey, 'p' || l_partkey, 'calls', NULL FROM lineitem WHERE l_linestatus = 'O'
+  UNION ALL SELECT 4, 'p' || l_partkey, 's' || l_suppkey, 'accesses', NULL FROM lineitem WHERE l_linestatus <> 'O'
+  UNION ALL SELECT 5, 'src/b' || n_nationkey || '.cc', 'macro:' || n_name, 'references', 3 FROM nation
+  UNION ALL SELECT 5, 'src/n' || n_nationkey || '.h', 'macro:' || n_name, 'contains', 3 FROM nation WHERE n_nationkey % 2 = 1
+) SELECT src, dst, kind, arg_min(line, lane * 100000 + coalesce(line, 99999)) AS line FROM lanes GROUP BY src, dst, kind
+""")
+def native_edges(spark, sf, nodes, edges):
+    return snapshots.native_graph(_native(spark, sf))[1]
+
+
+KINDS = "{1: 'module', 2: 'namespace', 3: 'namespace', 4: 'variable', 5: 'file', 6: 'enum', 7: 'class', 8: 'class', 9: 'interface', 10: 'type', 11: 'type', 12: 'type', 13: 'function', 14: 'variable', 15: 'field', 16: 'field', 17: 'method', 18: 'method', 19: 'method', 20: 'property', 21: 'property', 22: 'property', 23: 'constructor', 24: 'method', 25: 'method', 26: 'parameter', 27: 'type', 28: 'type', 29: 'type', 30: 'parameter', 31: 'interface'}"
+
+
+@query(f"""
+SELECT 's' || s_suppkey AS id, 'class' AS kind FROM supplier UNION ALL SELECT 'p' || p_partkey, coalesce(MAP {KINDS}[p_partkey % 35], 'external_symbol') FROM part
+UNION ALL SELECT 'module:' || r_name, 'module' FROM region UNION ALL SELECT 'macro:' || n_name, 'variable' FROM nation
+UNION ALL SELECT DISTINCT f, 'file' FROM (SELECT 'src/n' || s_nationkey || '.h' AS f FROM supplier UNION ALL SELECT 'src/b' || p_size || '.cc' FROM part UNION ALL SELECT 'src/n' || (p_partkey % 25) || '.h' FROM part
+  UNION ALL SELECT 'src/n' || r_regionkey || '.h' FROM region UNION ALL SELECT unnest(['src/b' || n_nationkey || '.cc', 'src/n' || n_nationkey || '.h']) FROM nation)
+""")
+def native_nodes(spark, sf, nodes, edges):
+    return snapshots.native_graph(_native(spark, sf))[0].select("id", "kind")
+
+
+@query("""
+WITH m AS (SELECT CASE WHEN kind IN ('module', 'class') THEN file ELSE id END AS f, id FROM nodes), moved AS (SELECT coalesce(f, src) AS src, dst, kind FROM edges LEFT JOIN m ON m.id = src)
+SELECT src, dst, kind, count(*) AS n FROM moved GROUP BY src, dst, kind
+""")
+def fold_module_edges(spark, sf, nodes, edges):
+    """Edges with modules and classes as the files they are in."""
+    rows = nodes.withColumn("kind", F.when(F.col("kind") == "class", "module").otherwise(F.col("kind")))
+    return snapshots.fold_modules(rows, edges)[1].groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT 't' || (l_suppkey % 40) AS type, 'm' || (l_partkey % 12) AS name FROM lineitem WHERE l_orderkey % 97 = 0 AND l_suppkey % 40 > 5),
+i AS (SELECT DISTINCT 'i' || (l_suppkey % 40) AS type, 'm' || (l_partkey % 12) AS name FROM lineitem WHERE l_orderkey % 211 = 0 AND l_suppkey % 40 <= 5),
+size AS (SELECT type, count(*) AS n FROM i GROUP BY type), met AS (SELECT m.type AS impl, i.type AS base, name FROM m JOIN i USING (name)),
+fits AS (SELECT impl, base FROM met GROUP BY impl, base HAVING count(*) = (SELECT n FROM size WHERE size.type = base))
+SELECT impl AS src, base AS dst, 'implements' AS kind FROM fits UNION ALL SELECT base || '.' || name, impl || '.' || name, 'dispatches' FROM met JOIN fits USING (impl, base)
+""")
+def go_method_sets(spark, sf, nodes, edges):
+    li, low = _t(spark, sf, "lineitem"), F.col("l_suppkey") % 40 <= 5
+    name = F.concat(F.lit("m"), (F.col("l_partkey") % 12).cast("string"))
+    rows = li.filter(F.when(low, F.col("l_orderkey") % 211 == 0).otherwise(F.col("l_orderkey") % 97 == 0))
+    rows = rows.select(F.concat(F.when(low, "i").otherwise("t"), (F.col("l_suppkey") % 40).cast("string")).alias("type"), low.alias("abstract"), name.alias("name"), F.lit("func()").alias("signature")).distinct()
+    return snapshots.go_dispatches(rows.withColumn("id", F.concat("type", F.lit("."), "name")))
+
+
+@query("""
+WITH own AS (SELECT 'c:' || c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'N' || (c_nationkey % 3) || '.(anonymous namespace).T' || (c_custkey % 60) ELSE 'N' || (c_nationkey % 3) || '.T' || (c_custkey % 60) END AS fullname,
+    c_acctbal > 5000 AS body, c_acctbal > 2000 AS exported, CASE WHEN c_custkey % 5 = 0 THEN 'swift' ELSE 'cpp' END AS language FROM customer),
+keys AS (SELECT fullname AS k, 0 AS tier, * FROM own WHERE language = 'cpp' UNION ALL SELECT replace(fullname, '.(anonymous namespace)', ''), 1, * FROM own WHERE language = 'cpp' AND contains(fullname, '(anonymous')),
+best AS (SELECT k, arg_min(id, (tier, NOT body, NOT exported, id)) AS src FROM keys GROUP BY k), sole AS (SELECT fullname AS k, min(id) AS src FROM own WHERE language = 'swift' GROUP BY fullname HAVING count(*) = 1),
+loose AS (SELECT 'o:' || o_orderkey AS dst, 'N' || (o_custkey % 3) || '.T' || (o_orderkey % 60) AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'swift' ELSE 'cpp' END AS language FROM orders)
+SELECT src, dst, 'contains' AS kind FROM loose JOIN best USING (k) WHERE language = 'cpp' UNION ALL SELECT src, dst, 'contains' FROM loose JOIN sole USING (k) WHERE language = 'swift'
+""")
+def distant_owners(spark, sf, nodes, edges):
+    c, o = _t(spark, sf, "customer"), _t(spark, sf, "orders")
+    text = lambda prefix, e: F.concat(F.lit(prefix), e.cast("string"))
+    middle = F.when(F.col("c_custkey") % 7 == 0, ".(anonymous namespace).T").otherwise(".T")
+    null = F.lit(None).cast("string")
+    types = c.select(text("c:", F.col("c_custkey")).alias("id"), F.when(F.col("c_custkey") % 5 == 0, "swift").otherwise("cpp").alias("language"), F.lit("class").alias("kind"), F.concat(text("N", F.col("c_nationkey") % 3), middle, (F.col("c_custkey") % 60).cast("string")).alias("full"), null.alias("owner_id"), null.alias("owner_name"), (F.col("c_acctbal") > 5000).alias("has_body"), (F.col("c_acctbal") > 2000).alias("exported"))
+    owner = F.concat(text("N", F.col("o_custkey") % 3), text(".T", F.col("o_orderkey") % 60))
+    loose = o.select(text("o:", F.col("o_orderkey")).alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "swift").otherwise("cpp").alias("language"), F.lit("method").alias("kind"), text("m", F.col("o_orderkey")).alias("full"), null.alias("owner_id"), owner.alias("owner_name"), F.lit(True).alias("has_body"), F.lit(False).alias("exported"))
+    return assembly.distant_owners(types.unionByName(loose))
+
+
+@query("""
+WITH a AS (SELECT 'x' || (s_suppkey % 60) AS id, min(s_name) AS name FROM supplier GROUP BY 1), b AS (SELECT 'x' || c_custkey AS id, c_name AS name FROM customer WHERE c_custkey < 90)
+SELECT id, name FROM a UNION ALL SELECT id, name FROM b WHERE id NOT IN (SELECT id FROM a)
+""")
+def topology_assemble(spark, sf, nodes, edges):
+    """Nodes of two providers, the first one's first."""
+    s, c = _t(spark, sf, "supplier"), _t(spark, sf, "customer").filter("c_custkey < 90")
+    one = s.select(F.concat(F.lit("x"), (F.col("s_suppkey") % 60).cast("string")).alias("id"), F.col("s_name").alias("name"))
+    two = c.select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
+    none = spark.createDataFrame([], "src string, dst string, kind string, authority string")
+    return topology.assemble({"a": {"nodes": one, "edges": none}, "b": {"nodes": two, "edges": none}}, {"c": ("cargo", "gone")}, spark)["nodes"].select("id", "name")
+
+
+@query("""
+SELECT id FROM nodes WHERE NOT (CASE line % 4 WHEN 0 THEN true WHEN 1 THEN kind = 'class' WHEN 2 THEN coalesce(qualified_name, name) = name ELSE language = 'cpp' END)
+""")
+def semantic_mismatches(spark, sf, nodes, edges):
+    """Ids made with another kind, name or language than the node has."""
+    shown, four = F.coalesce("qualified_name", "name"), F.col("line") % 4
+    display = docs.encode_component(F.when(four == 2, F.col("name")).otherwise(shown))
+    made = F.concat(F.lit("@v2/"), F.when(four == 3, "cpp").otherwise(F.col("language")), F.lit("/"), F.sha2("id", 256), F.lit("#"), display, F.lit(":"), F.when(four == 1, "class").otherwise(F.col("kind")))
+    rows = nodes.select(F.col("id").alias("old"), made.alias("id"), "language", "kind", "name", "qualified_name")
+    return contract.semantic_violations(rows).join(rows.select("id", "old").distinct(), "id").select(F.col("old").alias("id"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

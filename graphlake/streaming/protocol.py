@@ -69,8 +69,12 @@ def next_shards(t: Transaction, held: Published | None) -> DataFrame:
     return held.shards.select("key", "digest", "payload").join(t.shards.select("key"), "key", "left_anti").unionByName(fresh)
 
 
-def header_errors(t: Transaction, held: Published | None) -> list[str]:
-    """What is wrong with the frames around the shards."""
+def header_errors(t: Transaction, held: Published | None, gapless: bool = False) -> list[str]:
+    """What is wrong with the frames around the shards.
+
+    ``gapless`` is how topology is told: the first transaction is number 1 and has
+    no base, every other is the next one on top of the last.
+    """
     errors = []
     if t.order and t.order != ["hello", "begin", "commit"]:
         errors.append("a transaction is hello, begin, shards and commit")
@@ -85,7 +89,11 @@ def header_errors(t: Transaction, held: Published | None) -> list[str]:
         errors.append("the base is not the current generation")
     if held is not None and t.begin["sequence"] <= before["sequence"]:
         errors.append("the sequence does not advance")
-    if based and held is not None and any(t.hello.get(f) != held.hello.get(f) for f in IDENTITY):
+    if gapless and t.begin.get("sequence") != (before.get("sequence") or 0) + 1:
+        errors.append("the sequence has a gap")
+    if gapless and based != (held is not None):
+        errors.append("the first transaction has no base, and every other has one")
+    if (based or gapless) and held is not None and any(t.hello.get(f) != held.hello.get(f) for f in IDENTITY):
         errors.append("the producer changed across a delta")
     return errors
 
@@ -124,13 +132,13 @@ def shard_errors(t: Transaction, held: Published | None) -> DataFrame:
     return out
 
 
-def apply_transaction(t: Transaction, held: Published | None, facts: DataFrame | None = None) -> Published:
+def apply_transaction(t: Transaction, held: Published | None, facts: DataFrame | None = None, gapless: bool = False) -> Published:
     """What is published after a transaction, whole or not at all: with any error nothing is.
 
     ``facts`` (``digest``) is the digest of the assembled rows, to be held against
     the one that the commit says.
     """
-    errors = header_errors(t, held)
+    errors = header_errors(t, held, gapless)
     if not errors:
         errors = [f"{r['rule']}: {r['subject']}" for r in shard_errors(t, held).orderBy("rule", "subject").limit(20).collect()]
     if not errors and facts is not None and facts.first()["digest"] != t.commit.get("factDigest"):

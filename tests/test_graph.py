@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from graphlake.api import Graph, inspect
 from graphlake.functions import docs, text
-from graphlake.operators import assembly, degrees, details, handles, identity, lookup, reduce, topology, tour, trace
+from graphlake.operators import assembly, contract, degrees, details, handles, identity, lookup, reduce, topology, tour, trace
 from graphlake.plans import registry
-from graphlake.sources import artifacts, dump
+from graphlake.sources import artifacts, dump, snapshots
 from graphlake.sources.static import extract, masking, reexports, tables
 from graphlake.streaming import generations, protocol
 
@@ -537,6 +537,76 @@ def test_lua_reports_become_edges_between_declarations(spark, tmp_path):
         artifacts.lua_graph(artifacts.read_lua_export(spark, f"file://{tmp_path}/old.json"))[0].collect()
 
 
+def test_dump_rules_and_folded_modules(spark):
+    rows = [("m", "module", "typescript", "m", "a.ts", False, None, None), ("m2", "module", "typescript", "m2", "a.ts", False, None, None), ("f", "function", "typescript", "f", "a.ts", False, ["x"], None), ("e", "enum", "typescript", "e", "b.ts", False, ["x"], ["y"])]
+    n = spark.createDataFrame(rows, "id string, kind string, language string, name string, file string, external boolean, literals array<string>, enum_members array<string>")
+    e = spark.createDataFrame([("m", "f", "contains"), ("m2", "f", "contains"), ("f", "m", "calls"), ("gone", "f", "calls")], "src string, dst string, kind string")
+    folded, moved = snapshots.fold_modules(n, e)
+    assert {(r.id, r.kind) for r in folded.collect()} == {("a.ts", "file"), ("f", "function"), ("e", "enum")} and {r.src for r in moved.collect()} == {"a.ts", "f", "gone"}
+    got = Counter(r.rule for r in snapshots.dump_violations(n, e, spark.createDataFrame([("a.ts",)], "file string")).collect())
+    assert got == {"literals of another kind": 1, "duplicate edge after folding": 1, "unknown or folded target": 1, "unknown source": 1, "facts of a file that was not loaded": 1}
+
+
+def test_rust_shards_and_go_tests(spark):
+    n = spark.createDataFrame([("1", "f", False), ("2", "g", False), ("3", "std", True)], "id string, name string, external boolean")
+    ids = spark.createDataFrame([("1", "a#f:function"), ("2", "a#g:function")], "native string, id string")
+    e = spark.createDataFrame([("1", "2", "calls", 3), ("1", "9", "calls", 4)], "src string, dst string, kind string, line int")
+    u = spark.createDataFrame([("calls", "dynamic", ["9", "2"]), ("dispatches", "dynamic", [])], "family string, reason string, candidates array<string>")
+    own, kept, sites, bad = snapshots.rust_shard(n, e, u, ids)
+    assert {r.id for r in own.collect()} == {"a#f:function", "a#g:function"} and [(r.src, r.dst, r.line) for r in kept.collect()] == [("a#f:function", "a#g:function", 3)]
+    assert {(r.family, tuple(r.candidates)) for r in sites.collect()} == {("calls", ("9", "a#g:function")), ("dispatches", ())} and [r.end for r in bad.collect()] == ["9"]
+    cases = [("a_test.go", "TestX", "func(t *testing.T)", True), ("a_test.go", "Testx", "func(t *testing.T)", False), ("a.go", "TestX", "func(t *testing.T)", False), ("a_test.go", "ExampleRun", "func()", True), ("a_test.go", "Helper", "func()", False)]
+    df = spark.createDataFrame(cases, "f string, n string, s string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", snapshots.is_go_test(F.col("f"), F.col("n"), F.col("s")).alias("got")).collect())
+
+
+def test_contracts_and_the_choice_of_providers(spark):
+    p = contract.Provider("p", "compiler", ("go",), ("calls",))
+    n = spark.createDataFrame([("a", "go", "a.go"), ("b", "zig", "b.zig")], "id string, language string, file string")
+    e = spark.createDataFrame([("a", "a.go", "calls"), ("a", "x", "imports")], "src string, dst string, kind string")
+    got = Counter(r.rule for r in contract.contract_violations(p, n, e, {"provider": "q", "authority": "compiler", "facts": ["calls", "tests"]}, ["go", "lua"]).collect())
+    assert got == {"a language that it does not own": 1, "provenance has another provider": 1, "provenance claims other facts": 1, "an edge of a family that it cannot prove": 1, "a node of a language that the slice does not name": 1, "an absent end": 1}
+    fall = contract.Provider("c2", "index", ("c", "cpp"), ("calls",))
+    registry_ = [p, contract.Provider("c1", "compiler", ("c", "cpp"), ("calls",), (fall,))]
+    chosen, warned = contract.select_providers(registry_, ["c", "go"], {"p": "go is off"}, {"c2", "p"})
+    assert chosen == [{"provider": "c2", "languages": ["c"], "fallbacks": []}] and warned == ["go is off", "c: c1 was not found"]
+    assert contract.select_providers(registry_, ["c"], {}, {"c1"}, strict=False)[0] == []
+    assert contract.registry_errors([p, contract.Provider("p", "x", ("go",), ("a", "a")), contract.Provider("z", "x", (), ())]) == ["p is registered twice", "p repeats a family", "p and p both own go", "z owns no language"]
+    with pytest.raises(ValueError):
+        contract.select_providers([p, p], ["go"], {}, set())
+    seen = {"tool": "t", "toolVersion": "1", "universe": "u"}
+    assert [contract.refresh_mode(*a) for a in ((None, seen, 1, 0), (seen, seen | {"universe": "v"}, 1, 0), (seen, seen, 0, 3), (seen, seen, 1, 2), (seen, seen, 3, 0))] == ["initial", "reload", "unchanged", "incremental", "rebuild"]
+
+
+def test_cargo_and_the_topology_of_several_providers(spark):
+    target = "array<struct<name:string,kind:array<string>,file:string>>"
+    pk = spark.createDataFrame([("i1", "app", "1.0", ".", [("app", ["bin"], "src/main.rs"), ("t", ["test"], "tests/t.rs")]), ("i2", "dep", "2.0", "/home/dep", [("dep", ["lib"], "/home/dep/lib.rs")])], f"id string, name string, version string, path string, targets {target}")
+    resolved = spark.createDataFrame([("i1", ["b", "a"], ["i2"]), ("i2", [], [])], "id string, features array<string>, dependencies array<string>")
+    n, e = topology.cargo(pk, spark.createDataFrame([("i1",)], "id string"), resolved, "w")
+    kinds, edges = Counter(r.kind for r in n.collect()), Counter(r.kind for r in e.collect())
+    assert kinds == {"workspace": 1, "package": 2, "build-target": 3, "source-set": 3, "entrypoint": 2} and n.filter("external").count() == 3
+    assert edges == {"contains": 1 + 3 + 3 + 2, "source-of": 3, "joins-file": 5, "test-of": 1, "entrypoint-of": 2, "depends-on": 1}
+    assert n.filter("kind = 'package' AND name = 'app'").first().id == "repository://cargo/features%3Da%2Cb/package/app%401.0%3A."
+    shards = spark.createDataFrame([("s", "d")], "key string, digest string")
+    cover = spark.createDataFrame([("cargo", "cargo", "x", "contains", "complete")], "provider string, ecosystem string, target string, family string, state string")
+    out = topology.assemble({"cargo": {"nodes": n, "edges": e, "shards": shards, "coverage": cover}, "npm": {"nodes": n.limit(2), "edges": e, "shards": shards}}, {"gradle": ("gradle", "no tool")}, spark)
+    assert out["nodes"].count() == n.count() and out["edges"].count() == e.count() and {r.key for r in out["shards"].collect()} == {"cargo/s", "npm/s"}
+    assert out["coverage"].filter("state = 'unsupported'").count() == 8 and [r.text for r in out["warnings"].collect()] == ["repository context unavailable: gradle: no tool"]
+
+
+def test_topology_transactions_have_no_gaps(spark, tmp_path):
+    read = lambda *a: protocol.read_transaction(spark, frames(tmp_path, *a))
+    first = {"sequence": 1, "generation": "g1", "manifest": "m"}
+    held = protocol.apply_transaction(read("t1", first, [("a", "x")], [("a", "x")]), None, gapless=True)
+    delta = {"sequence": 2, "generation": "g2", "baseSequence": 1, "baseGeneration": "g1", "manifest": "m"}
+    assert protocol.apply_transaction(read("t2", delta, [("b", "y")], [("a", "x"), ("b", "y")]), held, gapless=True).shards.count() == 2
+    for i, bad in enumerate((delta | {"sequence": 3}, first | {"sequence": 2})):
+        with pytest.raises(ValueError, match="gap|base"):
+            protocol.apply_transaction(read(f"t3{i}", bad, [("b", "y")], [("a", "x"), ("b", "y")]), held, gapless=True)
+    with pytest.raises(ValueError, match="gap"):
+        protocol.apply_transaction(read("t4", first | {"sequence": 2}, [("a", "x")], [("a", "x")]), None, gapless=True)
+
+
 def test_entry_registers_queries():
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert len(q) >= 45 and set(sql) <= set(q)
