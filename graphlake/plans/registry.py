@@ -454,15 +454,18 @@ def public_fan_in(spark, sf, nodes, edges):
     return tour.public_fan_in(nodes, edges, degrees.degrees(edges))
 
 
-@query(f"""
-WITH {DEGREE}, {INVOKED}, {SURFACE}, fans AS (
+CENTRAL = f"""
+{DEGREE}, {INVOKED}, {SURFACE}, fans AS (
   SELECT dst AS id, count(*) AS fan FROM edges WHERE kind IN ('calls', 'instantiates', 'renders') AND src IN (SELECT id FROM production) GROUP BY dst
 ), seeds AS (
   SELECT id, s, coalesce(fan, 0) AS e FROM production JOIN surface USING (id) LEFT JOIN fans USING (id) WHERE s > 0
 ), {_files_sql('seeds')},
-raws AS (SELECT id, log2(1 + s) * greatest(files / greatest(1, max(files) OVER ()), e / greatest(1, max(e) OVER ())) AS r FROM seeds JOIN reached USING (id))
-SELECT id, CASE WHEN max(r) OVER () > 0 THEN round(100 * r / max(r) OVER (), 4) ELSE 0 END AS centrality FROM raws
-""")
+raws AS (SELECT id, log2(1 + s) * greatest(files / greatest(1, max(files) OVER ()), e / greatest(1, max(e) OVER ())) AS r FROM seeds JOIN reached USING (id)),
+central AS (SELECT id, CASE WHEN max(r) OVER () > 0 THEN round(100 * r / max(r) OVER (), 4) ELSE 0 END AS centrality FROM raws)
+"""
+
+
+@query(f"WITH {CENTRAL} SELECT * FROM central")
 def centrality(spark, sf, nodes, edges):
     return tour.centrality(nodes, edges, degrees.degrees(edges))
 
@@ -806,11 +809,32 @@ def trace_bounded(spark, sf, nodes, edges):
 TERMS = ["supplier", "customer", "3"]
 
 
+def _matched_sql(words: str) -> str:
+    """How many of the terms, none of which has an ending to lose, a list of words matches."""
+    alike = "len(list_filter({0}, lambda w: w = '{1}' OR {2} = '{1}' OR (len('{1}') >= 6 AND len({2}) >= 6 AND left({2}, 6) = left('{1}', 6)))) > 0"
+    stem = lambda w: f"regexp_replace({_stem_sql(w)}, '^(....+)e$', '\\1')"
+    return " + ".join(f"({alike.format(words, t, stem('w'))})::INT" for t in TERMS)
+
+
 def _scores(nodes, edges):
     own = tour.seed_candidates(nodes, degrees.open_degrees(nodes, edges))
     return tour.seed_scores(own, tour.centrality(nodes, edges, degrees.degrees(edges)), TERMS)
 
 
+@query(f"""
+WITH {CENTRAL}, {OPEN_DEGREE}, own AS (
+  SELECT nodes.*, list_concat({WORDS.format('name')}, {WORDS.format("coalesce(qualified_name, '')")}) AS words, {WORDS.format('file')} AS path FROM nodes JOIN flags USING (id) LEFT JOIN opened USING (id)
+  WHERE NOT closure AND kind IN ('class', 'function', 'method', 'constructor', 'property', 'field', 'variable', 'module', 'namespace', 'enum')
+    AND (kind NOT IN ('property', 'field') OR out_exec > 0) AND NOT external AND NOT ignored AND line IS NOT NULL AND NOT support
+), matched AS (SELECT *, 8 * ({_matched_sql('words')}) + 2 * ({_matched_sql('path')}) AS m FROM own),
+scored AS (SELECT id, round((coalesce(centrality, 0) + m) * CASE WHEN m >= 24 THEN 1.45 WHEN m >= 8 THEN 1.15 ELSE 0.45 END
+  * CASE WHEN starts_with({SHOWN}, '_') OR contains({SHOWN}, '._') THEN 0.25 ELSE 1 END, 6) AS score FROM matched LEFT JOIN central USING (id))
+SELECT id, score FROM scored WHERE score > 0
+""")
+def tour_scores(spark, sf, nodes, edges):
+    return _scores(nodes, edges).select("id", "score")
+
+
 @query()
 def tour_diverse(spark, sf, nodes, edges):
     seeds = tour.pick_diverse(_scores(nodes, edges), terms=TERMS)
