@@ -129,6 +129,8 @@ def scan_contamination(
       all its rows.
     * Rows of ``docs`` that are equal get equal results.
     * Empty tables on either side give no hits.
+    * A text of any length is read whole; a task holds its words and their hashes.
+      Items that tie in every way are all reported.
     """
     if span < GRAM:
         raise ValueError(f"span is at least {GRAM}")

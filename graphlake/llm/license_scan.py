@@ -102,7 +102,10 @@ def scan_licenses(
 
     * Null or empty text has no words, places or matches.
     * Repeated rows get equal results; ids may be null.
-    * Other columns are not read.  An empty table gives an empty table.
+    * Other columns are not read, whatever their names.  An empty table gives an
+      empty table.
+    * A text of any length is read whole.  Of lines that match a label alike the
+      containment is the same, so ties are of no matter.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
@@ -186,7 +189,8 @@ def scan_notices(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     notice's words anywhere are looked through; nothing is shuffled.
 
     * Null or empty text has no words or matches.
-    * Repeated rows get equal results; ids may be null.
+    * Repeated rows get equal results; ids may be null; no rows give no rows.
+    * Other columns are not read.  A text of any length is read whole.
     """
     kind = "array<struct<label:string,containment:double>>"
     array = lambda ws: F.array(*map(F.lit, ws))

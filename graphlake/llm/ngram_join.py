@@ -366,7 +366,10 @@ def shingle_components(
       component of its own.
     * Null ids are allowed: they take part, and a component of none but null ids
       has a null ``component_id``. Repeated rows are exact copies.
-    * Other columns are not read.  An empty table gives an empty table.
+    * Other columns are not read, whatever their names.  An empty table gives an
+      empty table.
+    * A text of any length is one set; a task holds the texts of 1,000 rows, and
+      those of the sets that it joins.  No order among equals is used.
 
     Sets are told apart by 64-bit hashes of shingles and of sets.
     """
@@ -470,7 +473,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     """One document of each component, the one with the smallest id; all columns as they were.
 
     Of repeated rows one stays.  Documents without shingles all stay, but for
-    repeated rows.
+    repeated rows.  Of different rows with one id the one with the smallest hash
+    of its text stays.  Columns may have any names that do not begin with two
+    underscores.  No rows give no rows; long texts are kept whole.
     """
     found = shingle_components(docs, width, percent, id_col, text_col)
     best = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("x"), F.col(f"`{id_col}`").alias("i"), "__key_id", "__key_text")).alias("best")

@@ -225,8 +225,10 @@ def train_classifier(
 ) -> Classifier:
     """Fit on at most ``max_train`` labelled rows whose crc32(id) mod 3 is not 1.
 
-    The rows are those with the smallest hash of the id.  Rows without an id or
-    a label are left out; an id with several labels counts with the largest.
+    The rows are those with the smallest hash of the id (ties: the smallest id).
+    Rows without an id or a label are left out; an id with several labels counts
+    with the largest, and every row of documents with it is read, its text whole.
+    Without rows, or with one label only, the score is constant.
     """
     bound_batches(docs.sparkSession)
     id_ = F.col(f"`{id_col}`")
@@ -295,7 +297,8 @@ def score_toxicity(docs: DataFrame, classifier: Classifier, text_col: str = "tex
     """All columns of ``docs`` with ``score`` (0 to 1, higher: likelier toxic), in place of one of that name.
 
     Null and empty texts get the score of a text without words.  Only the text is
-    read for it.
+    read for it, whole, whatever its length; equal texts score alike, and no rows
+    give no rows.  Other columns are passed on, whatever their names.
     """
 
     @F.pandas_udf("double")

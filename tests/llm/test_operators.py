@@ -644,6 +644,29 @@ def test_verdicts_over_a_generated_graph_of_redirects(spark):
         assert r.verdict == (rule(r.url) or ("allow" if "allow" in others else "block" if "block" in others else "allow")), r
 
 
+def test_very_long_texts_are_read_to_their_ends(spark):
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(30_000))
+    item = " ".join(f"item{i}" for i in range(12))
+    rows = [(1, f"{long}\nAll rights reserved {item}"), (2, f"{long} tail"), (3, "short"), (4, long.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    assert [(p["at"], p["label"]) for p in found[1].places] == [(30_000, "reserved")] and found[2].n_words == 30_001
+    hit = {r.doc_id: r for r in decontaminate.scan_contamination(docs, spark.createDataFrame([("x", item)], "item_id string, text string")).collect()}
+    assert [sorted(h["at"]) for h in hit[1].hits] == [list(range(30_003, 30_015))] and not hit[2].hits
+    groups = {r.doc_id: r.component_id for r in ngram_join.shingle_components(docs).collect()}
+    assert groups == {1: 1, 2: 1, 3: 3, 4: 1}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
+    scores = toxicity.score_toxicity(docs, toxicity.train_classifier(docs, labels)).collect()
+    assert len(scores) == 4 and all(0 <= r.score <= 1 for r in scores)
+    index = bm25.build_index(docs)
+    terms = bm25.key_terms(docs.select(F.col("doc_id").alias("query_id"), "text"), bm25.document_frequencies(index), 4)
+    best = {r.query_id: r.doc_id for r in bm25.search(index, terms, k=1).collect()}
+    assert best[1] == 1 and best[3] == 3
+    page = spark.createDataFrame([(1, "http://a.org/1", "x" * 300_000 + '<link rel="canonical" href="http://b.com/en/1">'), (2, "http://b.com/en/1", "")], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(page).collect()} == {1: "block", 2: "block"}
+
+
 # --- language model
 
 
