@@ -49,6 +49,21 @@ def node_id(file="file", name="qualified_name", kind="kind"):
     return F.concat(F.col(file), F.lit("#"), F.col(name), F.lit(":"), F.col(kind))
 
 
+def first_types(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """``src``, ``dst``, ``kind``, ``line`` of supertypes and decorators: the first target of the name, in its own file before all others.
+
+    Order is that of files by path, then of places by id. In C# and Swift the kind
+    of the target decides: a class extends a class, and implements what is an
+    interface; an interface extends.
+    """
+    joined = refs.join(targets.select("language", "name", "t_file", "dst", "t_kind"), ["language", "name"]).filter("src <> dst")
+    order = F.struct((F.col("t_file") != F.col("file")).alias("far"), "t_file", "dst")
+    first = joined.groupBy("src", "language", "kind", "name", "relation", "line").agg(F.min_by(F.struct("dst", "t_kind"), order).alias("t"))
+    by_target = F.when((F.col("t.t_kind") == "interface") & (F.col("kind") != "interface"), "implements").otherwise("extends")
+    decided = F.col("language").isin("csharp", "swift") & F.col("relation").isin("extends", "implements")
+    return first.select("src", F.col("t.dst").alias("dst"), F.when(decided, by_target).otherwise(F.col("relation")).alias("kind"), "line")
+
+
 def static_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes`` and ``edges`` of source texts.
 
@@ -76,7 +91,7 @@ def static_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
         return best.groupBy("src", "file", "name", "relation").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("dst"), F.min("t_kind").alias("t_kind"), F.min("line").alias("line")).filter("n = 1")
 
     typed = facts.filter("fact IN ('supertype', 'decorator')").withColumn("src", node_id())
-    typed = resolved(typed.select("src", "file", "language", "name", "relation", "line")).select("src", "dst", F.col("relation").alias("kind"), "line")
+    typed = first_types(typed.select("src", "file", "language", "kind", "name", "relation", "line"), targets).select("src", "dst", "kind", "line")
     # The innermost declaration of the file that holds the line; an equi-join on the file and a range within it.
     scopes = nodes.select("file", F.col("id").alias("scope"), F.col("line").alias("lo"), F.col("end_line").alias("hi"))
     known = targets.select("language", "name").distinct()

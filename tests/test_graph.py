@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 from collections import Counter, defaultdict, deque
 
 import pytest
@@ -333,6 +334,35 @@ def test_declarations_of_each_language(file):
         assert extract.imports(body, language)
 
 
+MASKED = [
+    ("typescript", "a = `x ${f(`in ${g} it`)} y`; b = /no[/]t'/.test(c); d = 1 / e / h;", {"a", "f", "g", "b", "test", "c", "d", "e", "h"}),
+    ("typescript", "return /x\\/y/g // z", {"return", "g"}),
+    ("lua", "a = [==[ no ]] no ]==] b --[=[ not\n here ]=] c\n-- d\ne", {"a", "b", "c", "e"}),
+    ("ruby", "a = <<~ONE + b\n  not this\n  ONE\nc = %w(not (these) either) + d % e; f =~ /not #x/", {"a", "b", "c", "d", "e", "f", "ONE"}),
+    ("php", "$a = <<<'EOT'\nnot this\n  EOT;\n$b = 1;", {"a", "b", "EOT"}),
+    ("python", "a = \'\'\'not\nthis\'\'\' + b # not", {"a", "b"}),
+]
+
+
+@pytest.mark.parametrize("language, body, names", MASKED)
+def test_literals_and_comments_are_blank(language, body, names):
+    got = masking.mask(body, language)
+    assert len(got) == len(body) and got.count("\n") == body.count("\n")
+    assert set(re.findall(r"[A-Za-z]+", got)) - {"w"} == names
+
+
+def test_imports_name_each_module_once():
+    assert extract.imports("import os, sys as s, a.b  # c, d\nimport os\nfrom x import y\n", "python") == ["os", "sys", "a.b", "x"]
+    assert len(extract.imports("\n".join(f"import m{i}" for i in range(2_000)), "python")) == 1_500
+
+
+def test_of_several_types_the_first_counts(spark):
+    texts = [("b.cs", "csharp", "namespace N {\n  public interface I {\n  }\n  public class A : I {\n  }\n  public interface J : I {\n  }\n}\n"), ("a.cs", "csharp", "public class I {\n}\npublic class Z : B {\n}\n"), ("c.cs", "csharp", "public class B {\n}\n"), ("d.cs", "csharp", "public class B {\n}\n")]
+    nodes, edges = tables.static_graph(spark.createDataFrame(texts, "file string, language string, text string"))
+    got = {(r.src.split("#")[0], r.src.split("#")[1], r.kind, r.dst.split("#")[0]) for r in edges.filter("kind IN ('extends', 'implements')").collect()}
+    assert got == {("b.cs", "N.A:class", "implements", "b.cs"), ("b.cs", "N.J:interface", "extends", "b.cs"), ("a.cs", "Z:class", "extends", "c.cs")}
+
+
 def test_static_graph(spark):
     rows = [(f, lang, body) for f, (lang, body) in SOURCES.items()]
     nodes, edges = tables.static_graph(spark.createDataFrame(rows, "file string, language string, text string"))
