@@ -82,10 +82,15 @@ def _named(graph: Graph, ids: DataFrame) -> DataFrame:
 
 
 def _signatures(graph: Graph, rows: list[dict[str, Any]]) -> None:
-    """Add what is known of the heads of a few declarations."""
+    """Add what is known of the heads and decorators of a few declarations."""
+    own = graph.nodes.filter(F.col("id").isin([r["id"] for r in rows]))
+    if rows and "decorators" in graph.nodes.columns:
+        decorated = {r["id"]: r["d"] for r in _rows(own.select("id", docs.decorators_of(F.col("decorators")).alias("d")))}
+        for r in rows:
+            if decorated.get(r["id"]):
+                r["decorators"] = decorated[r["id"]]
     if not rows or "signature" not in graph.nodes.columns:
         return
-    own = graph.nodes.filter(F.col("id").isin([r["id"] for r in rows]))
     if graph.sources is None:
         known = {r["id"]: r["signature"] for r in own.select("id", "signature").collect()}
     else:

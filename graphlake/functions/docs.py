@@ -83,6 +83,11 @@ def encode_component(text: Column) -> Column:
     return encoded(text)
 
 
+def decorators_of(decorators: Column) -> Column:
+    """A declaration's decorators, or null for none."""
+    return F.when(F.size(decorators) > 0, decorators)
+
+
 def canonical_json(value) -> str:
     """Keys sorted, nothing between the parts, nulls of objects left out."""
 

@@ -142,6 +142,65 @@ def cargo(packages: DataFrame, members: DataFrame, resolved: DataFrame, workspac
     return join(nodes), join(edges)
 
 
+#: Lines of a Gradle model: a letter and fields in URL-safe base64 without padding, between tabs.
+GRADLE = {"M": ("path", "name", "folder"), "T": ("path", "task", "name"), "S": ("path", "kind", "folder", "generated"), "D": ("path", "module")}
+
+
+def read_gradle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The rows of a Gradle model by their letter: modules, tasks, source folders and dependencies."""
+    parts = spark.read.text(path).select(F.split("value", "\t", -1).alias("p"))
+
+    def field(i: int) -> Column:
+        text = F.translate(F.get("p", F.lit(i)), "-_", "+/")
+        return F.decode(F.unbase64(F.rpad(text, F.ceil(F.length(text) / 4) * 4, F.lit("="))), "UTF-8")
+
+    return {k: parts.filter(F.get("p", F.lit(0)) == k).select(*[field(i).alias(c) for i, c in enumerate(names, 1)]) for k, names in GRADLE.items()}
+
+
+def gradle(model: dict[str, DataFrame], workspace: str, root: str) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes and relations of a Gradle model, and how many dependencies name no module, or several.
+
+    The workspace contains projects, a project its build target and its tasks
+    (which are never run), a target its source folders; a folder is of the project,
+    and a test of it if its kind says so. A dependency is a module's path, or a
+    name that one module alone has.
+    """
+    eco, default, null = "gradle", F.lit("default"), F.lit(None).cast("string")
+    ident = lambda kind, coordinate: node_id(eco, default, kind, coordinate)
+    relative = lambda c: F.when(c == root, F.lit(".")).when(F.startswith(c, F.lit(root + "/")), F.substring(c, len(root) + 2, 1 << 20)).otherwise(c)
+    m = materialize(model["M"].withColumns({"project": ident("project", F.col("path")), "target": ident("build-target", F.col("path"))}), "modules")
+    one = m.sparkSession.range(1)
+    top = one.select(ident("workspace", F.lit(".")).alias("id")).first()["id"]
+    s = model["S"].join(m.select("path", "project", "target"), "path").withColumn("at", relative(F.col("folder")))
+    s = s.withColumn("coordinate", F.concat("path", F.lit(":"), "at")).withColumn("role", F.when(F.col("generated") == "true", "generated-root").otherwise("source-root"))
+    s = materialize(s.withColumn("id", F.when(F.col("role") == "source-root", ident("source-root", F.col("coordinate"))).otherwise(ident("generated-root", F.col("coordinate")))), "folders")
+    t = model["T"].join(m.select("path", "project"), "path").withColumn("id", ident("task", F.col("task")))
+    node = lambda df, id_, kind, name, coordinate, external=F.lit(False), folder=null: df.select(id_.alias("id"), kind.alias("kind"), name.alias("name"), coordinate.alias("coordinate"), external.alias("external"), null.alias("file"), folder.alias("root"))
+    nodes = [
+        node(one, F.lit(top), F.lit("workspace"), F.lit(workspace), F.lit(".")),
+        node(m, F.col("project"), F.lit("project"), F.col("name"), F.col("path")),
+        node(m, F.col("target"), F.lit("build-target"), F.col("path"), F.col("path")),
+        node(s, F.col("id"), F.col("role"), F.substring_index("folder", "/", -1), F.col("coordinate"), F.startswith("at", F.lit("/")), F.col("at")),
+        node(t, F.col("id"), F.lit("task"), F.col("name"), F.col("task")),
+    ]
+    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"))
+    by_path = m.select(F.col("path").alias("module"), F.col("project").alias("p"))
+    by_name = m.groupBy(F.col("name").alias("module")).agg(F.count("*").alias("n"), F.min("project").alias("q")).filter("n = 1").drop("n")
+    d = model["D"].join(m.select("path", "project"), "path").join(by_path, "module", "left").join(by_name, "module", "left")
+    d = materialize(d.select("project", F.coalesce("p", "q").alias("to")), "dependencies")
+    edges = [
+        edge(m, F.lit(top), F.col("project"), "contains"),
+        edge(m, F.col("project"), F.col("target"), "contains"),
+        edge(s, F.col("target"), F.col("id"), "contains"),
+        edge(s, F.col("id"), F.col("project"), "source-of"),
+        edge(s.filter(F.startswith("kind", F.lit("test"))), F.col("id"), F.col("project"), "test-of"),
+        edge(t, F.col("project"), F.col("id"), "contains"),
+        edge(d.filter("to IS NOT NULL"), F.col("project"), F.col("to"), "depends-on"),
+    ]
+    join = lambda rows: reduce(lambda a, b: a.unionByName(b), rows).distinct()
+    return join(nodes), join(edges), d.filter("to IS NULL").count()
+
+
 def fence(code_project: str, topology_project: str, generation: str | None, confirmed: str | None, published: bool) -> dict[str, str | None]:
     """Whether files of a topology may be tied to code: one project, a topology that was published, and code that stood still while it was read."""
     reason = None

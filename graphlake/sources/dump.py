@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.schema import DUMP
+from graphlake.schema import DUMP, EDGE, NODE
 
 # Extension and languages of a source file.
 LANGUAGES = {
@@ -45,10 +45,43 @@ def wire_spans(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("evidence", F.when(F.col("evidence.file") == F.col("file"), F.col("evidence").dropFields("file")).otherwise(F.col("evidence").dropFields("file")))
 
 
-def write_dump(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges as JSON lines, each table in a folder of its own."""
-    nodes.write.mode("errorifexists").json(f"{path}/nodes")
-    edges.write.mode("errorifexists").json(f"{path}/edges")
+def wire_edge_spans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Spans of edges without the file where it is their source node's, or the source is a file itself."""
+    files = nodes.select(F.col("id").alias("src"), F.col("file").alias("__f"))
+    own = F.coalesce("__f", "src")
+    bare = F.when(F.col("evidence.file") == own, F.col("evidence").withField("file", F.lit(None).cast("string"))).otherwise(F.col("evidence"))
+    return edges.join(files, "src", "left").withColumn("evidence", bare).select(*edges.columns)
+
+
+def write_dump(tables: dict[str, DataFrame], path: str) -> None:
+    """The tables of a dump (as ``read_dump`` gives them) as JSON lines, each in a folder of its own; ``read_lines`` reads them back."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").option("ignoreNullFields", True).json(f"{path}/{name}")
+
+
+def read_lines(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables that ``write_dump`` wrote, by name and schema; a malformed line fails."""
+    return {name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{name}") for name, schema in schemas.items()}
+
+
+#: What a Go exporter writes, as one document.
+GO = (
+    f"schemaVersion int, projectRoot string, languages array<string>, tool struct<name:string,version:string,compilerVersion:string,protocolVersion:int>, universe string, "
+    f"capabilities array<string>, sources array<struct<file:string,checkerDigest:string,diskDigest:string>>, nodes array<{NODE}>, edges array<{EDGE}>, "
+    "diagnostics array<struct<file:string,line:int,column:int,code:string,message:string,severity:string>>, warnings array<string>"
+)
+
+
+def read_go_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a Go snapshot: nodes and edges with their order, sources, diagnostics, and the header."""
+    doc = spark.read.schema(GO).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    nodes = doc.select(F.posexplode("nodes").alias("ord", "n")).select("ord", "n.*").withColumnRenamed("qualifiedName", "qualified_name")
+    nodes = nodes.withColumn("line", F.col("evidence.startLine"))
+    for flag in ("external", "ignored", "exported", "closure"):
+        nodes = nodes.withColumn(flag, F.coalesce(flag, F.lit(False)))
+    edges = doc.select(F.posexplode("edges").alias("ord", "e")).select("ord", F.col("e.from").alias("src"), F.col("e.to").alias("dst"), "e.kind", "e.evidence", F.col("e.evidence.startLine").alias("line"))
+    out = {"nodes": nodes, "edges": edges, "header": doc.select("schemaVersion", "projectRoot", "languages", "tool", "universe", "capabilities")}
+    return out | {t: doc.select(F.explode(t).alias("x")).select("x.*") for t in ("sources", "diagnostics")}
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Graph operators against plain Python on random graphs, and on small fixtures."""
 
+import base64
 import hashlib
 import json
 import random
@@ -297,6 +298,14 @@ def test_dump_reader(spark, tmp_path):
     n, e = t["nodes"].first(), t["edges"].first()
     assert (n.ord, n.line, n.evidence.file, n.exported) == (0, 3, "a.ts", False) and (e.src, e.evidence.file, e.line) == ("a", "a.ts", 4)
     assert t["warnings"].first().text == "w"
+    slim = dump.wire_edge_spans(t["edges"], t["nodes"])
+    assert slim.first().evidence.file is None and slim.first().evidence.startLine == 4
+    dump.write_dump({"nodes": t["nodes"], "edges": t["edges"]}, f"file://{tmp_path}/lines")
+    back = dump.read_lines(spark, f"file://{tmp_path}/lines", {"nodes": t["nodes"].schema, "edges": t["edges"].schema})
+    assert back["nodes"].collect() == t["nodes"].collect() and back["edges"].collect() == t["edges"].collect()
+    (tmp_path / "go.json").write_text(json.dumps({"schemaVersion": 1, "languages": ["go"], "tool": {"name": "g"}, "sources": [{"file": "a.go", "checkerDigest": "x"}], "nodes": doc["nodes"], "edges": doc["edges"]}))
+    go = dump.read_go_snapshot(spark, f"file://{tmp_path}/go.json")
+    assert (go["nodes"].count(), go["edges"].first().kind, go["sources"].first().file, go["header"].first().languages, go["diagnostics"].count()) == (1, "calls", "a.go", ["go"], 0)
     (tmp_path / "bad.json").write_text("{nope")
     with pytest.raises(Exception):
         dump.read_dump(spark, f"file://{tmp_path}/bad.json")["nodes"].collect()
@@ -624,6 +633,18 @@ def test_cargo_and_the_topology_of_several_providers(spark):
     assert out["coverage"].filter("state = 'unsupported'").count() == 8 and [r.text for r in out["warnings"].collect()] == ["repository context unavailable: gradle: no tool"]
 
 
+def test_gradle_models(spark, tmp_path):
+    line = lambda k, *f: "\t".join([k, *(base64.urlsafe_b64encode(x.encode()).decode().rstrip("=") for x in f)])
+    lines = [line("V", "8.1"), line("M", ":app", "app", "/w/app"), line("M", ":lib", "lib", "/w/lib"), line("M", ":x:lib2", "dup", "/w/x"), line("M", ":y:lib2", "dup", "/w/y"), line("T", ":app", ":app:run", "run"),
+             line("S", ":app", "source", "/w/app/src/größe", "false"), line("S", ":app", "test", "/w/app/test", "false"), line("S", ":lib", "source", "/out/gen", "true"), line("D", ":app", "lib"), line("D", ":app", "dup"), line("D", ":lib", ":x:lib2"), line("D", ":lib", "gone")]
+    (tmp_path / "m.txt").write_text("\n".join(lines))
+    n, e, left = topology.gradle(topology.read_gradle(spark, f"file://{tmp_path}/m.txt"), "w", "/w")
+    assert Counter(r.kind for r in n.collect()) == {"workspace": 1, "project": 4, "build-target": 4, "source-root": 2, "generated-root": 1, "task": 1} and left == 2
+    assert Counter(r.kind for r in e.collect()) == {"contains": 4 + 4 + 3 + 1, "source-of": 3, "test-of": 1, "depends-on": 2}
+    assert {(r.root, r.external) for r in n.filter("root IS NOT NULL").collect()} == {("app/src/größe", False), ("app/test", False), ("/out/gen", True)}
+    assert n.filter("name = 'größe'").first().id == "repository://gradle/default/source-root/%3Aapp%3Aapp%2Fsrc%2Fgr%C3%B6%C3%9Fe"
+
+
 def test_topology_transactions_have_no_gaps(spark, tmp_path):
     read = lambda *a: protocol.read_transaction(spark, frames(tmp_path, *a))
     first = {"sequence": 1, "generation": "g1", "manifest": "m"}
