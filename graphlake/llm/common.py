@@ -119,9 +119,10 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 HOT_KEYS = 10_000
 
 
-def hot_keys(counts: DataFrame, n: str) -> DataFrame:
-    """The rows of a table of keys whose number ``n`` is over 1 / HOT_KEYS of the sum: fewer than HOT_KEYS rows, whatever the table."""
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+def hot_keys(counts: DataFrame, n: str, total: int | None = None) -> DataFrame:
+    """The rows of a table of keys whose number ``n`` is over 1 / HOT_KEYS of the sum (``total``, if it is known): fewer than HOT_KEYS rows, whatever the table."""
+    if total is None:
+        total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     return counts.filter(F.col(n) * HOT_KEYS > total)
 
 

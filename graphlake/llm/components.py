@@ -34,14 +34,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         ends = rest.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(rest.select("b", "a"))
         least = ends.groupBy("node").agg(F.min("other").alias("other"), F.count("*").alias("n"))
         to = materialize(least.select("node", F.least("node", "other").alias("to"), "n"), "pointers")
-        pointed = materialize(to.groupBy("to").agg(F.count("*").alias("m")), "pointed")
-        up = pointed.join(to.select(F.col("node").alias("to"), F.col("to").alias("up")), "to")
-        to = materialize(join_spread(to, up.drop("m"), hot_keys(up, "m").drop("m"), ["to"]).select("node", F.col("up").alias("to"), "n"), "pointers")
+        # No more nodes point to a node than it has edges, so hubs are all that many rows of either join can meet in.
+        total = to.agg(F.sum("n")).first()[0]
+        pair = lambda df, key, value: df.select(F.col("node").alias(key), F.col("to").alias(value))  # noqa: E731, B023
+        up = pair(to, "to", "up"), pair(hot_keys(to, "n", total), "to", "up")
+        to = materialize(join_spread(to, *up, ["to"]).select("node", F.col("up").alias("to"), "n"), "pointers")
         rounds.append(to.drop("n"))
-        hubs = hot_keys(to, "n").drop("n")
         drawn = rest
         for end, new in (("a", "x"), ("b", "y")):
-            drawn = join_spread(drawn, *(t.select(F.col("node").alias(end), F.col("to").alias(new)) for t in (to, hubs)), [end])
+            drawn = join_spread(drawn, pair(to, end, new), pair(hot_keys(to, "n", total), end, new), [end])
         drawn = drawn.select("x", "y")
         rest = materialize(_pairs(drawn, "x", "y"), "edges")
     if not rounds:
@@ -49,5 +50,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     found = rounds[0].select("node", F.col("to").alias("component"))
     for to in rounds[1:]:
         nxt = to.select(F.col("node").alias("component"), F.col("to").alias("next"))
-        found = found.join(nxt, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        found = materialize(found, "components")
+        hot = hot_keys(found.groupBy("component").agg(F.count("*").alias("n")), "n").join(nxt, "component").select("component", "next")
+        found = join_spread(found, nxt, hot, ["component"]).select("node", F.coalesce("next", "component").alias("component"))
     return materialize(found, "components")
