@@ -6,11 +6,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("graphlake.llm")
@@ -464,6 +466,42 @@ def test_many_terms_are_added_up_exactly(monkeypatch, dense):
         assert sorted(heap) == sorted([(round(s, 9), -ids[d]) for d, s in total.items()] + old)[-7:]
 
 
+def test_term_counts_are_those_of_the_pattern():
+    pattern, rng = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), random.Random(5)
+    texts = [None, b"", b" ", bytes(range(256)), "Ünï ÀÉ éa-É\x85b\xa0c\u2003d".encode()]
+    texts += [bytes(rng.choices(range(256) if i % 2 else b"aAbZ09 \n\x1c", k=400)) for i in range(40)]
+    for text in texts:
+        own, count, n = bm25.term_counts(text)
+        want = Counter(pattern.findall(text.lower())) if text else Counter()
+        hashed = {int(np.uint64(xxhash.xxh3_64_intdigest(w)).astype(np.int64)): c for w, c in want.items()}
+        assert dict(zip(own.tolist(), count.tolist(), strict=True)) == hashed and n == sum(want.values())
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_a_shard_visits_only_queries_whose_bounds_reach_their_floor(monkeypatch, few):
+    texts = ["common " + " ".join(f"w{i}" for i in range(j, j + 20)) for j in range(30)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(30)), "text": texts})
+    [shard] = bm25._index(iter([batch]), 10**6)
+    own = [bm25.term_counts(t.encode())[0] for t in texts]
+    df = Counter(t for ts in own for t in ts.tolist())
+    told = bm25.Told(np.repeat(np.arange(100, 130), [len(o) for o in own]), np.concatenate(own), np.array([df[t] for o in own for t in o.tolist()]))
+    held = shard.select([n for n in shard.schema.names if n != "level"])
+
+    def found(floors):
+        run = bm25._searched(SimpleNamespace(value=told), SimpleNamespace(value=floors), 30, 21.0, 3, few)
+        return {q: sorted((-s, d) for x, d, s in rows if x == q) for rows in [[tuple(r.values()) for b in run(iter([held])) for r in b.to_pylist()]] for q in range(100, 130)}
+
+    free = found({})
+    assert all(len(x) == 3 and x[0][1] == q - 100 for q, x in free.items())
+    visited, cursor, scores = [], bm25._Shard.cursor, bm25.Postings.scores
+    monkeypatch.setattr(bm25._Shard, "cursor", lambda self, row, order: visited.append(1) or cursor(self, row, order))
+    monkeypatch.setattr(bm25.Postings, "scores", lambda self, wanted: visited.extend([1] * len(wanted)) or scores(self, wanted))
+    # Floors that are reached exactly lose nothing.
+    assert found({q: -x[2][0] for q, x in free.items()}) == free and visited
+    visited.clear()
+    assert not any(found(dict.fromkeys(free, 1e4)).values()) and not visited
+
+
 def test_block_max_wand_is_exact():
     rng = random.Random(8)
     for _ in range(200):
