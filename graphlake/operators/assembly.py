@@ -344,7 +344,13 @@ def sole_endpoint(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A tie gives no row.
     """
-    n = nodes.select("name", F.col("id").alias("target"), F.col("file").alias("at"))
-    tier = F.when(F.col("at") == F.col("file"), 0).otherwise(1)
-    ranked = refs.join(n, "name").withColumn("tier", tier).withColumn("least", F.min("tier").over(W.partitionBy("ref"))).filter("tier = least")
-    return ranked.groupBy("ref").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1").drop("n")
+    in_file = nodes.groupBy("name", "file").agg(F.count("*").alias("n"), F.min("id").alias("target"))
+    anywhere = in_file.groupBy("name").agg(F.sum("n").alias("all_n"), F.min("target").alias("all_target"))
+    # Counts meet the references, never the nodes themselves: names that thousands share make no pairs.
+    near = refs.select("ref", "name", "file").join(in_file, ["name", "file"], "left")
+    far = near.filter("n IS NULL").select("ref", "name").join(anywhere, "name")
+    none = F.lit(None).cast("string")
+    every = near.filter("n IS NOT NULL").select("ref", "n", "target", F.lit(0).cast("long").alias("all_n"), none.alias("all_target"))
+    every = every.unionByName(far.select("ref", F.lit(0).cast("long").alias("n"), none.alias("target"), "all_n", "all_target"))
+    found = every.groupBy("ref").agg(*[F.sum(c).alias(c) for c in ("n", "all_n")], *[F.min(c).alias(c) for c in ("target", "all_target")])
+    return found.filter("n = 1 OR n = 0 AND all_n = 1").select("ref", F.coalesce("target", "all_target").alias("target"))

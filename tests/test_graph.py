@@ -229,6 +229,41 @@ def test_overrides_take_unique_members(spark):
     assert [(r.src, r.dst, r.kind) for r in assembly.override_edges(n, e).collect()] == [("A.m", "B.m", "implements")]
 
 
+def most_rows(df):
+    """The most rows that any operator of a table's plan puts out, when it is read."""
+    df.collect()
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        plan = left.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(plan.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            left.append(plan.plan())
+            continue
+        rows = plan.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        left += [plan.children().apply(i) for i in range(plan.children().size())]
+    return most
+
+
+def test_sole_endpoint_counts_names_and_makes_no_pairs(spark):
+    rng = random.Random(2)
+    refs = [(f"r{i}", rng.choice("abcdefgh"), f"{rng.randrange(4)}.ts") for i in range(60)] + [("r0", "a", "1.ts"), ("none", "zz", "1.ts")]
+    names = [(f"n{i}", rng.choice("abcdefg"), f"{rng.randrange(4)}.ts") for i in range(14)] + [("h", "h", "9.ts")]
+    want = {}
+    for ref in {r[0] for r in refs}:
+        hits = [(at != file, i) for r, name, file in refs if r == ref for i, x, at in names if x == name]
+        least = [i for tier, i in hits if tier == min(hits)[0]]
+        if len(least) == 1:
+            want[ref] = least[0]
+    got = assembly.sole_endpoint(spark.createDataFrame(refs, "ref string, name string, file string"), spark.createDataFrame(names, "id string, name string, file string"))
+    assert len(want) > 5 and {r.ref: r.target for r in got.collect()} == want
+    many = spark.range(1000).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("x").alias("name"), F.lit("a.ts").alias("file"))
+    assert most_rows(assembly.sole_endpoint(many.withColumnRenamed("id", "ref"), many)) <= 1000
+
+
 def test_text_functions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("v")).first().v
