@@ -96,6 +96,37 @@ def test_registered_walks_start_from_all_nodes_of_a_kind(random_graph, spark, mo
     assert len(want) > 20 and {r.seed: r.files for r in got["reach_files_d4"](spark, "").collect()} == want
 
 
+def test_files_reached_is_a_walk_from_each_seed_with_and_without_a_budget(spark):
+    rng = random.Random(3)
+    for ids, hops, files, budget in ((30, 45, 4, 6), (60, 100, 9, 8), (25, 30, 3, 3)):
+        nodes = [node(f"n{i}", file=f"src/{rng.randrange(files)}.ts", external=rng.random() < 0.1) for i in range(ids)]
+        edges = list({(a, b, "calls", 1) for a, b in ((f"n{rng.randrange(ids)}", f"n{rng.randrange(ids)}") for _ in range(hops))})
+        file, out = {x[0]: x[5] for x in nodes}, {x[0] for x in nodes if x[6]}
+
+        def walk(seed, most):
+            seen, level = {seed}, {seed}
+            for _ in range(4):
+                if len(seen) >= most:
+                    break
+                level = {b for a, b, *_ in edges if a in level and b not in out} - seen
+                seen |= level
+            return len({file[i] for i in seen - {seed}})
+
+        n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
+        for most in (None, budget):
+            got = {r.seed: r.files for r in tour.files_reached(n.select("id"), n, e, budget=most).collect()}
+            assert got == {i: walk(i, most or 10**9) for i in file}
+
+
+def test_registered_reach_goes_on_behind_many_nodes(spark, monkeypatch):
+    nodes = [node("m", "method"), node("last", file="src/last.ts"), *(node(f"a{i:03}", file="src/many.ts") for i in range(450))]
+    edges = [*(("m", f"a{i:03}", "calls", 1) for i in range(450)), ("a449", "last", "calls", 1)]
+    n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
+    monkeypatch.setattr(registry.testgraph, "build", lambda *_: (n, e))
+    assert [(r.seed, r.files) for r in __spark_entry__.queries()["reach_files_d4"](spark, "").collect()] == [("m", 2)]
+    assert [r.files for r in tour.files_reached(n.filter("id = 'm'"), n, e, budget=400).collect()] == [1]
+
+
 def test_tour_looks_past_candidates_that_are_alike(spark):
     rows = [(f"a{i:03}", f"order{'Item%d' % i if i else str()}", "f.ts", ["order"], 1000.0 - i) for i in range(260)] + [("z", "other", "g.ts", ["order"], 1.0)]
     rows += [(f"q{i:03}", f"q{i}", "q.ts", [], 50.0) for i in range(4)] + [("late", "late", "h.ts", [], 49.0)]
