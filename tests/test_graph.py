@@ -67,6 +67,23 @@ def test_reach_and_shortest_path(random_graph, spark):
     assert trace.shortest_path(n, e, "n0", "nowhere") == []
 
 
+def test_reach_writes_what_a_node_reaches_once(spark, monkeypatch):
+    edges = [*((f"s{i}", "hub", "calls", 1) for i in range(60)), *(("hub", f"n{i}", "calls", 1) for i in range(1500)), ("n7", "s3", "calls", 1)]
+    written, write = [], trace.materialize
+
+    def count(df, label="step"):
+        out = write(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(trace, "materialize", count)
+    starts = spark.createDataFrame([(f"s{i}",) for i in range(60)], "seed string")
+    got = trace.reach(starts, spark.createDataFrame(edges, EDGE), 3)
+    want = {(f"s{i}", x, d) for i in range(60) for x, d in [(f"s{i}", 0), ("hub", 1), *((f"n{k}", 2) for k in range(1500)), *([("s3", 3)] if i != 3 else [])]}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert sum(written) < 4 * len(edges) < len(want)
+
+
 def test_registered_walks_start_from_all_nodes_of_a_kind(random_graph, spark, monkeypatch):
     nodes, edges, n, e = random_graph
     nodes = nodes + [node(f"m{i}", "method") for i in range(25)]
