@@ -331,6 +331,18 @@ def test_text_functions(spark):
     assert docs.doc_text(["/**", " * Does it. And more.", " * @param x", " */", "", "function f() {"], 6) == "Does it."
 
 
+def test_sources_of_one_partition_are_read_in_many(spark):
+    rows = spark.range(400, numPartitions=1).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("file"), F.lit("python").alias("language"), F.lit("def f():\n    return 1\n").alias("text"))
+    facts = tables.extract_facts(rows).filter("fact = 'declaration'")
+    assert facts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert facts.count() == 400
+
+
+def test_texts_are_masked_once_and_between_openers_nothing_is_looked_at():
+    text = "plain words, " * 20_000 + "'a b' // c\n"
+    assert masking.mask(text, "typescript").endswith("'   '     \n") and masking.mask(text, "typescript") is masking.mask(text, "typescript")
+
+
 def test_handles_and_lookup(random_graph, spark):
     n = spark.createDataFrame([node("1", "class", "Store", "app.Store"), node("2", "method", "save(x)", "app.Store.save(x)"), node("3", "function", "save", file="lib/util.ts", exported=True)], NODE)
     n = n.unionByName(spark.createDataFrame([("4", "method", "cpp", "Get", "db.Impl::Get", "db.cc", False, False, False, 1)], NODE))
