@@ -56,17 +56,17 @@ def literal_members(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _limited(refs: DataFrame, limit: int, distinct: bool) -> DataFrame:
-    """The first references of each id by rank; with ``distinct``, one of each (kind, other).
+    """The first references of each id by rank, and how many there are; with ``distinct``, one of each (kind, other).
 
-    The count is an aggregate of its own: the window that only ranks can then be
-    cut in each task before a hub's edges meet.
+    All of an id meet once: distinct rows, order and count need no other shuffle,
+    and what ``refs`` joins is read once.
     """
+    refs = refs.select("id", "kind", "other", "rank").repartition("id")
     if distinct:
         refs = refs.groupBy("id", "kind", "other").agg(F.min("rank").alias("rank"))
-    order = F.row_number().over(W.partitionBy("id").orderBy("rank", "kind", "other"))
-    first = refs.withColumn("r", order).filter(F.col("r") <= limit)
-    total = refs.groupBy("id").agg(F.count("*").alias("available"))
-    return first.join(total, "id").select("id", "kind", "other", "r", "available")
+    order, every = W.partitionBy("id").orderBy("rank", "kind", "other"), W.partitionBy("id")
+    counted = refs.withColumns({"r": F.row_number().over(order), "available": F.count("*").over(every)})
+    return counted.filter(F.col("r") <= limit).select("id", "kind", "other", "r", "available")
 
 
 def references(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, kinds: list[str] | None, forward: bool, limit: int, distinct: bool = True, include_external: bool = False) -> DataFrame:
@@ -82,9 +82,9 @@ def references(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, kinds: lis
     n = nodes if include_external else nodes.filter(~is_external(F.col("external"), F.col("file")))
     if distinct:
         n = n.filter("kind <> 'file'")
-    found = found.join(n.select(F.col("id").alias("other"), "file"), "other")
     test = F.when(is_test_path(F.col("file")), 10_000_000).otherwise(0)
-    rank = test + kind_rank(F.col("kind"), DETAIL_RANK) * 100_000 + F.col("place") + bundled_last(F.col("file"))
+    found = found.join(n.select(F.col("id").alias("other"), (test + bundled_last(F.col("file"))).alias("late")), "other")
+    rank = F.col("late") + kind_rank(F.col("kind"), DETAIL_RANK) * 100_000 + F.col("place")
     return _limited(found.withColumn("rank", rank), limit, distinct)
 
 
@@ -113,6 +113,6 @@ def entry_neighbours(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, forw
     own, far = ("src", "dst") if forward else ("dst", "src")
     found = edges.filter(~F.col("kind").isin(STRUCTURAL)).join(wanted.select(F.col("id").alias(own)).distinct(), own, "left_semi")
     found = found.select(F.col(own).alias("id"), F.col(far).alias("other"), "kind", place_rank(edges).alias("place"))
-    n = nodes.filter("kind <> 'file'").select(F.col("id").alias("other"), "file")
-    rank = kind_rank(F.col("kind"), ENTRY_RANK) * 100_000 + F.col("place") + bundled_last(F.col("file"))
+    n = nodes.filter("kind <> 'file'").select(F.col("id").alias("other"), bundled_last(F.col("file")).alias("late"))
+    rank = kind_rank(F.col("kind"), ENTRY_RANK) * 100_000 + F.col("place") + F.col("late")
     return _limited(found.join(n, "other").withColumn("rank", rank), min(2, limit), True)

@@ -312,6 +312,17 @@ def test_sole_endpoint_counts_names_and_makes_no_pairs(spark):
     assert most_rows(assembly.sole_endpoint(many.withColumnRenamed("id", "ref"), many)) <= 1000
 
 
+def test_details_join_their_edges_once(random_graph):
+    _, edges, n, e = random_graph
+    for made in (details.calls(n, n, e), details.depends_on(n, n, e, 3), details.entry_neighbours(n, n, e, False)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    got = {(r.id, r.r): (r.kind, r.other, r.available) for r in details.entry_neighbours(n, n, e, False).collect()}
+    for i in {x[1] for x in edges}:
+        refs = {(k, a): details.ENTRY_RANK.get(k, 10) * 100_000 + line * 100 + 999 for a, b, k, line in edges if b == i and k not in ("contains", "exports", "imports")}
+        first = sorted(refs, key=lambda x: (refs[x], *x))[:2]
+        assert [got.get((i, r + 1)) for r in range(len(first))] == [(*x, len(refs)) for x in first]
+
+
 def test_text_functions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("v")).first().v
